@@ -66,14 +66,18 @@ def _order(name: str, seen: list[str]) -> None:
 
 
 def sql(body: str, *blocks: str, recursive: bool = False) -> str:
-    """``body`` preceded by the named blocks and whatever they need, as common table expressions."""
+    """``body`` preceded by the named blocks and whatever they need, as common table expressions.
+
+    A body that starts with a comma adds expressions of its own.
+    """
     seen: list[str] = []
     for name in blocks:
         _order(name, seen)
     if not seen:
         return body
     head = "WITH RECURSIVE " if recursive else "WITH "
-    return head + ",\n".join(f"{n} AS ({BLOCKS[n]})" for n in seen) + "\n" + body
+    head += ",\n".join(f"{n} AS ({BLOCKS[n]})" for n in seen)
+    return head + body if body.startswith(",") else head + "\n" + body
 
 
 def vector_block(prefix: str, source: str, key: str, text: str, needs: tuple[str, ...] = (), dim: int = 64) -> str:
