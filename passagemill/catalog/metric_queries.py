@@ -127,10 +127,12 @@ def answers(spark, sf):
     return turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("gold"), F.max_by("text", "turn").alias("got"))
 
 
-NORM = "array_to_string(regexp_extract_all(lower({}), " + W + "), ' ')"
+def norm_sql(column: str) -> str:
+    return f"array_to_string(regexp_extract_all(lower({column}), {W}), ' ')"
 
 
-@query("exact_accuracy", sql(f"SELECT count(*) AS n, round(avg(({NORM.format('got')} = {NORM.format('gold')})::INT), 6) AS accuracy FROM an", "an"))
+
+@query("exact_accuracy", sql(f"SELECT count(*) AS n, round(avg(({norm_sql('got')} = {norm_sql('gold')})::INT), 6) AS accuracy FROM an", "an"))
 def _(spark, sf):
     return metrics.exact_accuracy(answers(spark, sf), "got", "gold")
 
