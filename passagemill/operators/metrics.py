@@ -184,19 +184,16 @@ def bleu(pairs: DataFrame, key: str, got: str, gold: str, longest: int = 4) -> D
     """Corpus score: geometric mean of clipped precisions times the brevity penalty."""
     words = pairs.select(key, X.tokens(F.col(got)).alias("a"), X.tokens(F.col(gold)).alias("b"))
 
+    def cut(side: str, n: int) -> Column:
+        def at(i: Column) -> Column:
+            return F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *[F.get(side, i + j) for j in range(n)]).alias("gram"))
+
+        starts = F.when(F.size(side) >= n, F.sequence(F.lit(0), F.size(side) - n))
+        return F.coalesce(F.transform(starts, at), F.array().cast("array<struct<n:int,gram:string>>"))
+
     def counted(side: str, name: str) -> DataFrame:
-        size = F.size(side)
-        cuts = []
-        for n in range(1, longest + 1):
-            starts = F.when(size >= n, F.sequence(F.lit(0), size - n))
-            cut = F.transform(
-                starts,
-                lambda i, n=n: F.struct(
-                    F.lit(n).alias("n"), F.concat_ws(" ", *[F.get(side, i + j) for j in range(n)]).alias("gram")
-                ),
-            )
-            cuts.append(F.coalesce(cut, F.array().cast("array<struct<n:int,gram:string>>")))
-        return words.select(key, F.inline(F.concat(*cuts))).groupBy(key, "n", "gram").agg(F.count(F.lit(1)).alias(name))
+        rows = words.select(key, F.inline(F.concat(*[cut(side, n) for n in range(1, longest + 1)])))
+        return rows.groupBy(key, "n", "gram").agg(F.count(F.lit(1)).alias(name))
 
     both = counted("a", "n_got").join(counted("b", "n_gold"), [key, "n", "gram"], "left")
     clipped = both.groupBy("n").agg(

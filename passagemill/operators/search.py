@@ -124,13 +124,14 @@ def _block_kernel(k: int | None, metric: str, skip_self: bool, low: float | None
     return run
 
 
-def _scored(
-    queries: DataFrame, items: DataFrame, kernel: Callable, query_rows: int, block_rows: int, lane: str | None = None
-) -> DataFrame:
+def _sides(queries: DataFrame, items: DataFrame, lane: str | None = None):
+    """Both sides with float vectors and a lane, and the schema of their hits."""
     usable = "vec IS NOT NULL AND size(vec) > 0"
-    q = queries.select("query_id", F.col("vec").cast(V.VECTOR).alias("vec")).where(usable)
+    vec = F.col("vec").cast(V.VECTOR).alias("vec")
     lane_column = F.col(lane) if lane else F.lit(0)
-    d = items.select("item_id", F.col("vec").cast(V.VECTOR).alias("vec"), lane_column.alias("lane")).where(usable)
+    extra = ["cell"] if "cell" in queries.columns else []
+    q = queries.select("query_id", vec, *extra).where(usable)
+    d = items.select("item_id", vec, lane_column.alias("lane"), *extra).where(usable)
     schema = T.StructType(
         [
             T.StructField("query_id", q.schema["query_id"].dataType),
@@ -139,11 +140,31 @@ def _scored(
             T.StructField("lane", d.schema["lane"].dataType),
         ]
     )
-    arrow = pa.schema([(f.name, _ARROW[f.dataType.typeName()]) for f in schema.fields])
+    return q, d, schema, pa.schema([(f.name, _ARROW[f.dataType.typeName()]) for f in schema.fields])
 
+
+def _tabled(arrow: pa.Schema) -> Callable:
     def table(found) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x).cast(t) for x, t in zip(found, arrow.types)], schema=arrow)
 
+    return table
+
+
+def knn_in_cells(queries: DataFrame, items: DataFrame, k: int, metric: str = "dot", skip_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Best ``k`` among the items that share a cell with the query; both sides carry ``cell``."""
+    q, d, schema, arrow = _sides(queries, items)
+    kernel = _block_kernel(k, metric, skip_self, None)
+    found = _in_blocks(q, d, _meeting(kernel, _tabled(arrow), arrow), schema, block_rows).drop("lane")
+    # a pair may share several cells
+    return ranked(found.groupBy("query_id", "item_id").agg(F.max("score").alias("score")), k)
+
+
+def _scored(
+    queries: DataFrame, items: DataFrame, kernel: Callable, query_rows: int, block_rows: int, lane: str | None = None
+) -> DataFrame:
+    q, d, schema, arrow = _sides(queries, items, lane)
+    table = _tabled(arrow)
+
     head = q.limit(query_rows + 1).toArrow()  # reads no more than the bound
     if head.num_rows <= query_rows:
         shared = q.sparkSession.sparkContext.broadcast((_ids(head["query_id"]), _matrix(head["vec"])))
@@ -155,16 +176,13 @@ def _scored(
                 yield table(found)
 
         out = d.mapInArrow(scan, schema)
-        return out.withColumnRenamed("lane", lane) if lane else out.drop("lane")
-
-    q_blocks, d_blocks = -(-q.count() // block_rows), max(1, -(-d.count() // block_rows))
+    else:
+        whole = F.lit(0).alias("cell")
+        out = _in_blocks(q.select("*", whole), d.select("*", whole), _meeting(kernel, table, arrow), schema, block_rows)
+    return out.withColumnRenamed("lane", lane) if lane else out.drop("lane")
 
-    # hashing the whole row spreads equal ids as well
-    q_at = F.pmod(F.xxhash64("query_id", "vec"), F.lit(q_blocks)).cast("int")
-    d_at = F.pmod(F.xxhash64("item_id", "vec"), F.lit(d_blocks)).cast("int")
-    q_side = q.withColumn("qb", q_at).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1))))
-    d_side = d.withColumn("db", d_at).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
 
+def _meeting(kernel: Callable, table: Callable, arrow: pa.Schema) -> Callable:
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
         if left.num_rows and right.num_rows:
@@ -172,8 +190,37 @@ def _scored(
             parts = [table(found) for found in kernel(_ids(left["query_id"]), _matrix(left["vec"]), pieces)]
         return pa.Table.from_batches(parts, schema=arrow)
 
-    out = q_side.groupBy("qb", "db").cogroup(d_side.groupBy("qb", "db")).applyInArrow(meet, schema)
-    return out.withColumnRenamed("lane", lane) if lane else out.drop("lane")
+    return meet
+
+
+def _in_blocks(q: DataFrame, d: DataFrame, meet: Callable, schema: T.StructType, q_rows: int, d_rows: int | None = None) -> DataFrame:
+    """Every query of a cell meets every item of that cell, in blocks of bounded size.
+
+    Both sides carry ``cell``. A cell is cut into as many query and item blocks as its two counts
+    ask for, each query block is sent to all item blocks of its cell and the other way round, and an
+    equi-join on (cell, query block, item block) brings them together. A cell that holds a third of
+    all rows becomes many equal blocks.
+    """
+
+    def parts(df: DataFrame, rows: int, name: str) -> DataFrame:
+        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+
+    shape = parts(q, q_rows, "q_parts").join(parts(d, d_rows or q_rows, "d_parts"), "cell")
+
+    def laid_out(df: DataFrame, own: str, other: str, own_parts: str, other_parts: str) -> DataFrame:
+        # hashing the whole row spreads equal ids as well
+        row = F.xxhash64(*[c for c in df.columns if c != "cell"])
+        return (
+            df.join(shape, "cell")
+            .withColumn(own, F.pmod(row, F.col(own_parts)).cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_parts) - 1)))
+            .drop("q_parts", "d_parts")
+        )
+
+    keys = ["cell", "q_block", "d_block"]
+    q_side = laid_out(q, "q_block", "d_block", "q_parts", "d_parts")
+    d_side = laid_out(d, "d_block", "q_block", "d_parts", "q_parts")
+    return q_side.groupBy(*keys).cogroup(d_side.groupBy(*keys)).applyInArrow(meet, schema)
 
 
 def ranked(scored: DataFrame, k: int | None, *by: str) -> DataFrame:
