@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemill.functions import text as X
+from passagemill.plans.session import cut_lineage
 from passagemill.plans.skew import salted_join
 
+LONGEST_RUN, LONGEST_CHARS = 5, 3
+
 # Patterns that mark private information.
 PRIVATE = (
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
@@ -145,56 +148,64 @@ def build_qrels(
 ) -> DataFrame:
     """Judgements from known passages: the item's text occurs in the document.
 
-    An occurrence repeats the item's inner words as whole words, so every match shares the item's
-    leading inner words; items of one or two words share their leading characters instead. Both
-    give keys for an equi-join; ``contains`` then decides.
+    An occurrence repeats the item's inner words as whole words, so a match has every run of them;
+    items of one or two words give runs of characters instead. Each item is looked up by the run
+    that the fewest documents have, so a stock phrase shared by many does not make candidates, and
+    ``contains`` then decides.
     """
-    longest = 5
-    words = F.split(F.col(text), " ")
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    width = F.least(F.size(inner), F.lit(longest))
-    keyed = items.where(F.length(text) > 0).select(
-        F.col(item_id).alias("query_id"),
-        F.col(text).alias("item_text"),
-        F.when(width > 0, F.xxhash64(F.lit("w"), F.array_join(F.slice(inner, 1, longest), " ")))
-        .otherwise(F.xxhash64(F.lit("c"), F.substring(F.col(text), 1, 3)))
-        .alias("gram"),
-        F.when(width > 0, width).otherwise(-F.least(F.length(text), F.lit(3))).alias("gram_size"),
+    items = items.where(F.length(text) > 0).select(F.col(item_id).alias("query_id"), F.col(text).alias("item_text"))
+    cut = items.withColumn("words", F.split("item_text", " ")).withColumn("n_inner", F.greatest(F.size("words") - 2, F.lit(0)))
+    cut = cut.select(
+        "query_id",
+        F.slice("words", 2, F.col("n_inner")).alias("words"),
+        F.col("item_text").alias("chars"),
+        F.when(F.col("n_inner") > 0, F.least("n_inner", F.lit(LONGEST_RUN)))
+        .otherwise(-F.least(F.length("item_text"), F.lit(LONGEST_CHARS)))
+        .alias("size"),
+    )
+    asked = cut.select("query_id", F.explode(F.array_distinct(_runs(F.array("size")))).alias("run"))
+    sizes = cut.agg(F.collect_set("size")).scalar()  # at most eight numbers: only these lengths are cut
+    docs = documents.select(F.col(doc_id).alias("item_id"), F.col(text).alias("chars"), F.split(text, " ").alias("words"))
+    doc_runs = docs.withColumn("sizes", sizes).select("item_id", F.explode(_runs(F.col("sizes"))).alias("run"))
+    met = cut_lineage(doc_runs.join(asked.select("run").distinct(), "run", "left_semi").distinct(), "runs")
+
+    df = met.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (
+        asked.join(df, "run", "left")
+        .groupBy("query_id")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("best"))
+        .select("query_id", F.col("best.run").alias("run"))
     )
-    sizes = keyed.select("gram_size").distinct()  # at most longest + 3 rows
-    present = sizes.agg(F.collect_set("gram_size").alias("sizes"))
-    # a scalar of at most eight numbers says which gram lengths occur, so documents are cut only into those
-    tagged = documents.select(F.col(doc_id).alias("item_id"), F.col(text), F.split(text, " ").alias("words")).withColumn(
-        "sizes", present.scalar()
+    found = salted_join(met, rarest, "run", df).select("query_id", "item_id").distinct()
+    named = cut_lineage(found.join(items, "query_id"), "candidates")
+    return (
+        named.join(documents.select(F.col(doc_id).alias("item_id"), F.col(text).alias("doc_text")), "item_id")
+        .where(F.contains("doc_text", "item_text"))
+        .select("query_id", "item_id", F.lit(1).alias("relevance"))
     )
 
+
+def _runs(sizes: Column) -> Column:
+    """Hashes of all runs of ``words`` (positive sizes) and ``chars`` (negative sizes) of the given lengths."""
+
     def places(length: Column, n: int) -> Column:
-        """Starts of the pieces of length ``n``; none when no item asks for that length."""
         return F.when(length >= n, F.sequence(F.lit(0), length - n))
 
-    def word_grams(n: int) -> Column:
+    def word_runs(n: int) -> Column:
         def at(i: Column) -> Column:
             return F.xxhash64(F.lit("w"), F.concat_ws(" ", *[F.get("words", i + j) for j in range(n)]))
 
-        return F.when(F.array_contains("sizes", n), F.transform(places(F.size("words"), n), at))
+        return F.when(F.array_contains(sizes, n), F.transform(places(F.size("words"), n), at))
 
-    def char_grams(n: int) -> Column:
+    def char_runs(n: int) -> Column:
         def at(i: Column) -> Column:
-            return F.xxhash64(F.lit("c"), F.substring(F.col(text), i + 1, F.lit(n)))
+            return F.xxhash64(F.lit("c"), F.substring(F.col("chars"), i + 1, F.lit(n)))
 
-        return F.when(F.array_contains("sizes", -n), F.transform(places(F.length(text), n), at))
+        return F.when(F.array_contains(sizes, -n), F.transform(places(F.length("chars"), n), at))
 
     none = F.array().cast("array<bigint>")
-    cuts = [word_grams(n) for n in range(1, longest + 1)] + [char_grams(n) for n in range(1, 4)]
-    grams = F.concat(*[F.coalesce(cut, none) for cut in cuts])
-    doc_grams = tagged.select("item_id", F.explode(grams).alias("gram"))
-    found = doc_grams.join(keyed.select("query_id", "gram"), "gram").select("query_id", "item_id").distinct()
-    return (
-        found.join(keyed.select("query_id", "item_text"), "query_id")
-        .join(documents.select(F.col(doc_id).alias("item_id"), F.col(text).alias("doc_text")), "item_id")
-        .where(F.contains("doc_text", "item_text"))
-        .select("query_id", "item_id", F.lit(1).alias("relevance"))
-    )
+    cuts = [word_runs(n) for n in range(1, LONGEST_RUN + 1)] + [char_runs(n) for n in range(1, LONGEST_CHARS + 1)]
+    return F.concat(*[F.coalesce(c, none) for c in cuts])
 
 
 def page_neighbours(df: DataFrame, group: str, position: str, text: str, reach: int = 1) -> DataFrame:

@@ -82,7 +82,7 @@ def entity_profiles(mentions: DataFrame, chunks: DataFrame, n: int = 3, text: st
     """entity -> text for look-up: its ``n`` best chunks, best first."""
     w = Window.partitionBy("entity").orderBy(F.desc("score"), "chunk_id")
     best = mentions.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
-    rows = best.join(chunks.select("chunk_id", text), "chunk_id")
+    rows = cut_lineage(best, "best").join(chunks.select("chunk_id", text), "chunk_id")
     listed = F.array_sort(F.collect_list(F.struct("place", F.col(text).alias("t"))))
     return rows.groupBy("entity").agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\n").alias("profile"))
 

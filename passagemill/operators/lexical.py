@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from passagemill.functions import text as X
 from passagemill.operators.search import DIGITS, ranked
+from passagemill.plans.session import cut_lineage
 from passagemill.plans.skew import salted_join
 
 K1, B = 1.2, 0.75
@@ -42,14 +43,24 @@ def corpus_size(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def asked_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
+
+
+def asked_frequencies(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df) for the given terms only; documents are not shuffled, only partial counts are."""
+    words = docs.select(F.explode(F.array_distinct(X.tokens(F.col(text)))).alias("term"))
+    return words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def score_terms(tf: DataFrame, weights: DataFrame, key: str, value: Column) -> DataFrame:
     """Sum of ``value`` over the terms a query and a document share: (query_id, item_id, score).
 
-    ``weights(query_id, term, ...)`` is broadcast while Spark finds it small; then the sums stay in
-    the documents' layout. A larger table is joined by term.
+    ``weights(query_id, term, ...)`` is stored first, so its size is known: a small table is
+    broadcast and the sums stay in the documents' layout, a large one is joined by term.
     """
     return (
-        tf.join(weights, "term")
+        tf.join(cut_lineage(weights, "weights"), "term")
         .groupBy(key, "query_id")
         .agg(F.round(F.sum(value), DIGITS).alias("score"))
         .select("query_id", F.col(key).alias("item_id"), "score")
@@ -57,16 +68,18 @@ def score_terms(tf: DataFrame, weights: DataFrame, key: str, value: Column) -> D
 
 
 def bm25_scores(queries: DataFrame, docs: DataFrame, key: str, text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """Sparse score of every matching (query, document); idf = ln(1 + (N - df + 0.5) / (df + 0.5))."""
-    tf = term_frequencies(docs, key, text)
-    size = corpus_size(docs, text)
+    """Sparse score of every matching (query, document); idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
+
+    First pass: corpus size and the asked terms' counts. Second pass: scores, document by document.
+    """
+    size = cut_lineage(corpus_size(docs, text), "size")
     n_docs, avg_len = size.select("n_docs").scalar(), size.select("avg_len").scalar()
-    asked = queries.select("query_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    # only asked terms need document counts
-    df = tf.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = asked.join(df, "term").withColumn("idf", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len")))
-    return score_terms(tf.withColumn("avg_len", avg_len), weights.select("query_id", "term", "idf"), key, part)
+    asked = asked_terms(queries)
+    df = asked_frequencies(docs, asked, text)
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = asked.join(df, "term").select("query_id", "term", idf.alias("idf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / avg_len))
+    return score_terms(term_frequencies(docs, key, text), weights, key, part)
 
 
 def bm25_search(queries: DataFrame, docs: DataFrame, key: str, k: int = 5, text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
@@ -75,9 +88,7 @@ def bm25_search(queries: DataFrame, docs: DataFrame, key: str, k: int = 5, text:
 
 def overlap_scores(queries: DataFrame, docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Number of different words a query and a document share."""
-    tf = term_frequencies(docs, key, text)
-    asked = queries.select("query_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    return score_terms(tf, asked, key, F.lit(1.0))
+    return score_terms(term_frequencies(docs, key, text), asked_terms(queries), key, F.lit(1.0))
 
 
 def hard_negatives(queries: DataFrame, docs: DataFrame, positives: DataFrame, key: str, n: int = 5) -> DataFrame:
@@ -120,18 +131,16 @@ def query_expansion(queries: DataFrame, docs: DataFrame, hits: DataFrame, key: s
     Co-occurrence is read from the hits alone, at most k documents per query. A word's score is its
     number of hit documents times its idf in the whole corpus.
     """
-    tf = term_frequencies(docs, key, text)
     size = docs.agg(F.count(F.lit(1)).alias("n_docs")).scalar()
-    mine = hits.select("query_id", F.col("item_id").alias(key)).join(docs.select(key, text), key)
+    mine = cut_lineage(hits.select("query_id", F.col("item_id").alias(key)), "hits").join(docs.select(key, text), key)
     seen = (
         mine.select("query_id", F.explode(F.array_distinct(X.tokens(F.col(text)))).alias("term"))
         .where(F.length("term") >= min_length)
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("together"))
     )
-    asked = queries.select("query_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    fresh = seen.join(asked, ["query_id", "term"], "left_anti")
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    fresh = cut_lineage(seen.join(asked_terms(queries), ["query_id", "term"], "left_anti"), "terms")
+    df = asked_frequencies(docs, fresh, text)
     scored = fresh.join(df, "term").select(
         "query_id", F.col("term").alias("item_id"), F.round(F.col("together") * F.log(size / F.col("df")), DIGITS).alias("score")
     )
@@ -146,7 +155,7 @@ def query_expansion(queries: DataFrame, docs: DataFrame, hits: DataFrame, key: s
 
 def focus_sentences(queries: DataFrame, hits: DataFrame, docs: DataFrame, key: str, n: int = 3, text: str = "text") -> DataFrame:
     """Best sentences of the retrieved documents: shared words over the sentence's distinct words."""
-    rows = hits.select("query_id", F.col("item_id").alias(key)).join(docs.select(key, text), key)
+    rows = cut_lineage(hits.select("query_id", F.col("item_id").alias(key)), "hits").join(docs.select(key, text), key)
     sentences = rows.select("query_id", F.col(key).alias("doc"), F.posexplode(X.sentences(X.format_text(F.col(text)))).alias("pos", "sentence"))
     asked = queries.select("query_id", F.array_distinct(X.tokens(F.col("text"))).alias("asked"))
     own = F.array_distinct(X.tokens(F.col("sentence")))

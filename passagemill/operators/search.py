@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.functions import vectors as V
+from passagemill.plans.session import cut_lineage
 
 DIGITS = 6
 QUERY_ROWS = 4096
@@ -263,8 +264,12 @@ def pairs_above(
 
 
 def hits_with_text(hits: DataFrame, items: DataFrame, item: str = "item_id") -> DataFrame:
-    """Attach stored columns to hits. The hits are the small side: at most k rows per query."""
-    return hits.join(items, item)
+    """Attach stored columns to hits.
+
+    The hits are stored first: k rows per query are mostly few, and with their true size known the
+    planner broadcasts them and leaves the items where they are; many hits are joined by key.
+    """
+    return cut_lineage(hits, "hits").join(items, item)
 
 
 def hit_page_lookup(hits: DataFrame, pages: DataFrame, page_offset: int = 0) -> DataFrame:
@@ -328,7 +333,7 @@ def expanded_query_vector(queries: DataFrame, drafts: DataFrame, dim: int) -> Da
 def rerank(hits: DataFrame, queries: DataFrame, items: DataFrame, k: int = 5, scorer: Callable[[Column, Column], Column] = V.cosine_similarity) -> DataFrame:
     """Reorder candidate hits by a second scorer; only the candidates are read and scored."""
     pairs = (
-        hits.select("query_id", "item_id", F.col("rank").alias("first_rank"))
+        cut_lineage(hits.select("query_id", "item_id", F.col("rank").alias("first_rank")), "hits")
         .join(items.select("item_id", F.col("vec").alias("d_vec")), "item_id")
         .join(queries.select("query_id", F.col("vec").alias("q_vec")), "query_id")
     )
