@@ -7,23 +7,76 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from passagemill.functions.text import BLANKS
+from passagemill.plans.skew import spread_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+# Result columns that are 32-bit in Spark, where the oracle's engine counts in 64 bits.
+INTEGER_COLUMNS = {
+    "load_pages": "page_number",
+    "page_stats": "page_char_count page_word_count page_sentence_count_raw",
+    "split_sentences": "n_sentences",
+    "split_paragraphs": "pos",
+    "group_sentences": "chunk_no group_size",
+    "make_chunks": "chunk_no chunk_char_count chunk_word_count",
+    "window_chunks": "window_no n_words",
+    "min_token_filter": "chunk_no chunk_char_count chunk_word_count",
+    "sample_per_group": "row_no",
+    "first_n_per_deck": "row_no",
+    "max_per_item": "row_no",
+    "head_rows": "chunk_no chunk_char_count chunk_word_count",
+    "l2_normalize": "pos",
+    "embed_text": "pos",
+    "knn_exact": "rank",
+    "search_report": "rank",
+    "hits_with_text": "rank",
+    "hit_page_lookup": "rank page_chars",
+    "cross_modal_knn": "rank",
+    "expanded_query_vector": "rank",
+    "rerank": "first_rank rank",
+    "multi_store_search": "store_rank rank",
+    "dynamic_k": "rank",
+    "write_vectors_csv": "n",
+    "read_vectors_csv": "pos",
+    "write_vectors_parquet": "pos",
+    "knn_lsh": "rank",
+    "maxsim": "rank",
+    "batch_encode": "pos",
+    "late_chunk_pool": "span_no pos",
+    "late_chunk_long": "span_no pos",
+    "inverted_index": "doc_len",
+    "bm25_search": "rank",
+    "hybrid_search": "rank",
+    "hybrid_search_weighted": "rank",
+    "query_expansion": "rank",
+    "focus_sentences": "pos rank",
+    "hard_negatives": "rank",
+    "context_budget": "rank",
+    "local_search": "rank",
+    "global_search": "rank",
+    "dual_level_search": "rank",
+    "organise_context": "position",
+    "prune_paths": "rank position",
+    "graph_vector_search": "rank",
+    "stream_chunks": "chunk_no chunk_char_count chunk_word_count",
+}
+
+
 def query(name: str, sql: str | None = None):
     def keep(fn: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = sql
+            casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in INTEGER_COLUMNS.get(name, "").split())
+            ORACLES[name] = f"SELECT * REPLACE ({casts}) FROM ({sql})" if casts else sql
         return fn
 
     return keep
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_out(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 # Named building blocks of the oracle SQL.

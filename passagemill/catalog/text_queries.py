@@ -8,6 +8,7 @@ from passagemill.catalog.base import query, sql, table
 from passagemill.functions import text as X
 from passagemill.functions.text import BLANKS
 from passagemill.operators import chunk, curate, summary
+from passagemill.plans.session import cut_lineage
 from passagemill.sources import corpus
 
 CHUNK_COLUMNS = ("doc_id", "page_number", "chunk_no", "sentence_chunk", "chunk_char_count", "chunk_word_count", "chunk_token_count")
@@ -58,7 +59,7 @@ def eval_triple(spark, sf):
     return corpus.load_eval_triple(
         docs.select(F.col("doc_id").alias("item_id"), "text"),
         bench.select(F.col("item_id").alias("query_id"), "text"),
-        curate.build_qrels(bench, docs),
+        cut_lineage(curate.build_qrels(bench, docs), "qrels"),
     )
 
 

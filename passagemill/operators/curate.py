@@ -166,7 +166,8 @@ def build_qrels(
     asked = cut.select("query_id", F.explode(F.array_distinct(_runs(F.array("size")))).alias("run"))
     sizes = cut.agg(F.collect_set("size")).scalar()  # at most eight numbers: only these lengths are cut
     docs = documents.select(F.col(doc_id).alias("item_id"), F.col(text).alias("chars"), F.split(text, " ").alias("words"))
-    doc_runs = docs.withColumn("sizes", sizes).select("item_id", F.explode(_runs(F.col("sizes"))).alias("run"))
+    # the outer form keeps Spark from cutting the text a second time in an inferred filter
+    doc_runs = docs.withColumn("sizes", sizes).select("item_id", F.explode_outer(_runs(F.col("sizes"))).alias("run"))
     met = cut_lineage(doc_runs.join(asked.select("run").distinct(), "run", "left_semi").distinct(), "runs")
 
     df = met.groupBy("run").agg(F.count(F.lit(1)).alias("n"))

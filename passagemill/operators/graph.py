@@ -28,7 +28,7 @@ def extract_entities(
         return extractor(chunks)
     tf = lexical.term_frequencies(chunks, "chunk_id", text).where(F.length("term") >= min_length)
     n_chunks = chunks.agg(F.count(F.lit(1)).alias("n")).scalar()
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = cut_lineage(lexical.document_frequencies(chunks, text).where(F.length("term") >= min_length), "df")
     scored = salted_join(tf, df, "term", df, "df").withColumn("score", F.round(F.col("tf") * F.log(n_chunks / F.col("df")), DIGITS))
     w = Window.partitionBy("chunk_id").orderBy(F.desc("score"), "term")
     top = scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= m)
@@ -129,13 +129,12 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     e, before = cut_lineage(e), None
     for _ in range(rounds):
         around = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = around.groupBy("u").agg(F.min(F.least("u", "v")).alias("low"), F.count(F.lit(1)).alias("n"))
+        low = cut_lineage(around.groupBy("u").agg(F.min(F.least("u", "v")).alias("low"), F.count(F.lit(1)).alias("n")))
         large = salted_join(around, low.select("u", "low"), "u", low).where("v > u")
-        e = large.select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("n"))
+        e = cut_lineage(large.select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct())
+        low = cut_lineage(e.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("n")))
         small = salted_join(e, low.select("u", "low"), "u", low).select(F.col("v").alias("u"), F.col("low").alias("v"))
-        e = small.unionByName(low.select("u", F.col("low").alias("v"))).where("u <> v").distinct()
-        e = cut_lineage(e)
+        e = cut_lineage(small.unionByName(low.select("u", F.col("low").alias("v"))).where("u <> v").distinct())
         after = _state(e)
         if after == before:
             break

@@ -18,22 +18,30 @@ K1, B = 1.2, 0.75
 FUSION_CONSTANT = 60
 
 
+def words_of(docs: DataFrame, keep: list, words: Column) -> DataFrame:
+    """One row per word. The outer form keeps Spark from cutting the text a second time in an
+    inferred filter."""
+    return docs.select(*keep, F.explode_outer(words).alias("term")).where(F.col("term").isNotNull())
+
+
 def term_frequencies(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, doc_len, term, tf). Laid out by document, so counting needs no second shuffle."""
-    words = docs.select(key, X.tokens(F.col(text)).alias("words")).repartition(key)
-    rows = words.select(key, F.size("words").alias("doc_len"), F.explode("words").alias("term"))
+    """(key, doc_len, term, tf). Laid out by document, so counting needs no second shuffle; texts are
+    moved before they are cut, which is less to move."""
+    words = docs.select(key, text).repartition(key).select(key, X.tokens(F.col(text)).alias("words"))
+    rows = words_of(words, [key, F.size("words").alias("doc_len")], F.col("words"))
     return rows.groupBy(key, "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def document_frequencies(tf: DataFrame) -> DataFrame:
-    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df): only partial counts are shuffled."""
+    words = words_of(docs, [], F.array_distinct(X.tokens(F.col(text))))
+    return words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def inverted_index(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(term, key, tf, doc_len, df), one row per posting; a common term's postings stay spread."""
-    tf = term_frequencies(docs, key, text)
-    df = document_frequencies(tf).select("term", "df")
-    return salted_join(tf, df, "term", df, "df")
+    df = cut_lineage(document_frequencies(docs, text), "df")
+    return salted_join(term_frequencies(docs, key, text), df, "term", df, "df")
 
 
 def corpus_size(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -49,7 +57,7 @@ def asked_terms(queries: DataFrame) -> DataFrame:
 
 def asked_frequencies(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """(term, df) for the given terms only; documents are not shuffled, only partial counts are."""
-    words = docs.select(F.explode(F.array_distinct(X.tokens(F.col(text)))).alias("term"))
+    words = words_of(docs, [], F.array_distinct(X.tokens(F.col(text))))
     return words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 

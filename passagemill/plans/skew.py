@@ -5,21 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passagemill.plans.session import cut_lineage
+
 _SALT = "__salt"
 _PARTS = "__parts"
 
 
-def heavy_keys(key_counts: DataFrame, key: str, n: str, parts: int) -> DataFrame:
+def heavy_keys(key_counts: DataFrame, key: str, n: str, parts: int, total: int) -> DataFrame:
     """Keys holding more than 1/parts of all rows, with the number of pieces to cut them into.
 
     At most ``parts`` keys can hold more than that share, so the result is bounded by ``parts``.
     """
-    total = key_counts.agg(F.sum(n)).scalar()
-    return (
-        key_counts.select(key, n)
-        .where(F.col(n) * parts > total)
-        .select(key, F.ceil(F.col(n) * parts / total).cast("int").alias(_PARTS))
-    )
+    pieces = F.ceil(F.col(n) * parts / F.lit(total)).cast("int").alias(_PARTS)
+    return key_counts.where(F.col(n) * parts > total).select(key, pieces)
 
 
 def salted_join(
@@ -33,14 +31,18 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join on ``key`` in which heavy keys of ``big`` are spread over several tasks.
 
-    ``small`` rows are repeated only for heavy keys. ``key_counts`` (key, n) may be passed when
-    the counts are known already; otherwise one partial aggregation over ``big`` finds them.
+    One look at the counts per key comes first: ``key_counts`` (key, n) where they are known, else a
+    partial aggregation over ``big``. Without a heavy key the join stays a plain one. With some, at
+    most ``parts`` keys are stored, and ``small`` rows are repeated for those alone.
     """
     spark = big.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if key_counts is None:
         key_counts, n = big.groupBy(key).agg(F.count(F.lit(1)).alias("__n")), "__n"
-    heavy = F.broadcast(heavy_keys(key_counts, key, n, parts))
+    top, total = key_counts.agg(F.max(n), F.sum(n)).first()
+    if (top or 0) * parts <= (total or 0):
+        return big.join(small, key, how)
+    heavy = F.broadcast(cut_lineage(heavy_keys(key_counts, key, n, parts, total), "heavy"))
     # the salt comes from the row's own content: a retried task spreads its rows the same way
     spread = F.pmod(F.xxhash64(*[big[c] for c in big.columns]), F.coalesce(_PARTS, F.lit(1)))
     left = big.join(heavy, key, "left").withColumn(_SALT, spread.cast("int")).drop(_PARTS)
@@ -52,6 +54,10 @@ def salted_join(
     return left.join(right, [key, _SALT], how).drop(_SALT)
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """True when ``df`` has no more than ``rows`` rows; reads no further than that."""
-    return df.limit(rows + 1).count() <= rows
+def spread_out(df: DataFrame) -> DataFrame:
+    """Deal rows over all cores when the input comes in fewer splits than there are cores.
+
+    A large input has many splits and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
