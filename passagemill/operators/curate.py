@@ -69,8 +69,8 @@ def overlap(a: Column, b: Column) -> Column:
 
 def low_overlap_filter(pairs: DataFrame, question: str, passage: str, limit: float = 0.1) -> DataFrame:
     """Pairs whose question and passage share few words; the overlap is computed inside the row."""
-    score = overlap(X.tokens(F.col(question)), X.tokens(F.col(passage)))
-    return pairs.withColumn("overlap", score).where(F.col("overlap") <= limit)
+    cut = pairs.withColumns({"__a": X.tokens(F.col(question)), "__b": X.tokens(F.col(passage))})
+    return cut.withColumn("overlap", overlap(F.col("__a"), F.col("__b"))).where(F.col("overlap") <= limit).drop("__a", "__b")
 
 
 def self_sufficient_filter(
@@ -241,14 +241,14 @@ def bridge_pairs(answers: DataFrame, questions: DataFrame) -> DataFrame:
     with the number of partners and the first partner, from one aggregate per entity that holds
     the count and the two lowest ids.
     """
-    q = questions.select("entity", "question_id").distinct()
+    q = cut_lineage(questions.select("entity", "question_id").distinct(), "questions")
     lowest = q.groupBy("entity").agg(F.count(F.lit(1)).alias("mentions"), F.min("question_id").alias("first_id"))
     rest = salted_join(q, lowest.select("entity", "first_id"), "entity", lowest, "mentions").where(
         F.col("question_id") != F.col("first_id")
     )
     second = rest.groupBy("entity").agg(F.min("question_id").alias("second_id"))
     per_entity = lowest.join(second, "entity", "left")
-    a = answers.select("question_id", "entity").distinct()
+    a = cut_lineage(answers.select("question_id", "entity").distinct(), "answers")
     own = q.select("question_id", "entity", F.lit(1).alias("own"))
     rows = salted_join(a, per_entity, "entity").join(own, ["question_id", "entity"], "left")
     partners = F.col("mentions") - F.coalesce("own", F.lit(0))

@@ -1,6 +1,6 @@
 """Entity and similarity graphs as tables: nodes, edges(src, dst, weight), mentions(chunk_id, entity).
 
-Iterative jobs checkpoint every round to the shared folder and stop on an unchanged state. Joins on a
+Iterative jobs write every round to the shared folder and stop on an unchanged state. Joins on a
 node or entity go through ``salted_join``, because hubs and common entities are the rule here.
 """
 
@@ -151,7 +151,7 @@ def communities(edges: DataFrame, rounds: int = 3) -> DataFrame:
     A node takes the label with the largest summed weight among its neighbours, the lowest label on
     ties. Both steps are partial aggregations; a hub's edges are spread by the salted join.
     """
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    degree = cut_lineage(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")), "degree")
     labels = degree.select(F.col("src").alias("node"), F.col("src").alias("community"))
     for _ in range(rounds):
         sent = salted_join(edges, labels.withColumnRenamed("node", "src"), "src", degree)
@@ -217,7 +217,7 @@ def merge_graph_increment(old: DataFrame, new: DataFrame, keys: list[str], count
 
 def k_hop(edges: DataFrame, seeds: DataFrame, k: int = 2) -> DataFrame:
     """(query_id, node, hop): nodes within ``k`` hops of the query's seeds, at their shortest distance."""
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    degree = cut_lineage(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")), "degree")
     links = edges.select("src", "dst")
     frontier = seeds.select("query_id", "node").distinct()
     seen = frontier.withColumn("hop", F.lit(0))
@@ -244,7 +244,7 @@ def relational_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     its ends, so the rows handled for a pair stay below the number of edges, hubs included.
     """
     links = edges.select("src", "dst").distinct()
-    degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    degree = cut_lineage(links.groupBy("src").agg(F.count(F.lit(1)).alias("n")), "degree")
     s = seeds.select("query_id", F.col("node").alias("s")).distinct()
     pairs = s.join(s.select("query_id", F.col("s").alias("t")), "query_id").where("s < t")
 

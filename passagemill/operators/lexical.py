@@ -166,11 +166,11 @@ def focus_sentences(queries: DataFrame, hits: DataFrame, docs: DataFrame, key: s
     rows = cut_lineage(hits.select("query_id", F.col("item_id").alias(key)), "hits").join(docs.select(key, text), key)
     sentences = rows.select("query_id", F.col(key).alias("doc"), F.posexplode(X.sentences(X.format_text(F.col(text)))).alias("pos", "sentence"))
     asked = queries.select("query_id", F.array_distinct(X.tokens(F.col("text"))).alias("asked"))
-    own = F.array_distinct(X.tokens(F.col("sentence")))
-    share = F.size(F.array_intersect(own, F.col("asked"))) / F.size(own)
-    scored = sentences.join(asked, "query_id").where(F.size(own) > 0).withColumn("score", F.round(share, DIGITS))
+    cut = sentences.withColumn("own", F.array_distinct(X.tokens(F.col("sentence")))).where(F.size("own") > 0)
+    share = F.size(F.array_intersect("own", "asked")) / F.size("own")
+    scored = cut.join(asked, "query_id").withColumn("score", F.round(share, DIGITS))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc", "pos")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).drop("asked")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).drop("asked", "own")
 
 
 # Openings that tell a system what to do and are not part of the question.

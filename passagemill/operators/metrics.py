@@ -143,26 +143,39 @@ def exact_accuracy(pairs: DataFrame, got: str, gold: str) -> DataFrame:
     return pairs.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(same.cast("double")), DIGITS).alias("accuracy"))
 
 
-def ngrams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(key, gram, count) of a text's n-grams."""
-    words = df.select(key, X.tokens(F.col(text)).alias("words"))
-    starts = F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n))
-    at = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get("words", i + j) for j in range(n)]))
-    return words.select(key, F.explode(at).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
+def gram_counts(pairs: DataFrame, key: str, got: str, gold: str, sizes: list[int]) -> DataFrame:
+    """(key, n, gram, n_got, n_gold) of both texts of a pair in one pass.
+
+    Pairs are laid out by key before they are cut, so counting and the sums per pair need no further
+    shuffle. A pair without any n-gram keeps one row with an empty gram.
+    """
+    laid_out = pairs.select(key, got, gold).repartition(key)
+    words = laid_out.select(key, X.tokens(F.col(got)).alias("w_got"), X.tokens(F.col(gold)).alias("w_gold"))
+
+    def cut(side: str, n: int) -> Column:
+        w = f"w_{side}"
+
+        def at(i: Column) -> Column:
+            gram = F.concat_ws(" ", *[F.get(w, i + j) for j in range(n)])
+            return F.struct(F.lit(n).alias("n"), gram.alias("gram"), F.lit(int(side == "got")).alias("is_got"))
+
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n))
+        return F.coalesce(F.transform(starts, at), F.array().cast("array<struct<n:int,gram:string,is_got:int>>"))
+
+    cuts = F.concat(*[cut(side, n) for n in sizes for side in ("got", "gold")])
+    rows = words.select(key, F.inline_outer(cuts))
+    n_got = F.sum(F.coalesce("is_got", F.lit(0)))
+    n_gold = F.sum(1 - F.coalesce("is_got", F.lit(1)))
+    return rows.groupBy(key, "n", "gram").agg(n_got.alias("n_got"), n_gold.alias("n_gold"))
 
 
 def gram_match(pairs: DataFrame, key: str, got: str, gold: str, n: int) -> DataFrame:
     """Per pair: matched n-grams (clipped counts) and the totals on both sides."""
-    a = ngrams(pairs, key, got, n).select(key, "gram", F.col("n").alias("n_got"))
-    b = ngrams(pairs, key, gold, n).select(key, "gram", F.col("n").alias("n_gold"))
-    both = a.join(b, [key, "gram"], "full")
-    sums = both.groupBy(key).agg(
-        F.sum(F.coalesce(F.least("n_got", "n_gold") * F.when(F.col("n_got").isNotNull() & F.col("n_gold").isNotNull(), 1), F.lit(0))).alias("matched"),
-        F.sum(F.coalesce("n_got", F.lit(0))).alias("total_got"),
-        F.sum(F.coalesce("n_gold", F.lit(0))).alias("total_gold"),
+    return gram_counts(pairs, key, got, gold, [n]).groupBy(key).agg(
+        F.sum(F.least("n_got", "n_gold")).alias("matched"),
+        F.sum("n_got").alias("total_got"),
+        F.sum("n_gold").alias("total_gold"),
     )
-    zero = {"matched": 0, "total_got": 0, "total_gold": 0}
-    return pairs.select(key).join(sums, key, "left").na.fill(zero)
 
 
 def with_f(matches: DataFrame) -> DataFrame:
@@ -183,30 +196,20 @@ def rouge_n(pairs: DataFrame, key: str, got: str, gold: str, n: int = 2) -> Data
 
 def bleu(pairs: DataFrame, key: str, got: str, gold: str, longest: int = 4) -> DataFrame:
     """Corpus score: geometric mean of clipped precisions times the brevity penalty."""
-    words = pairs.select(key, X.tokens(F.col(got)).alias("a"), X.tokens(F.col(gold)).alias("b"))
-
-    def cut(side: str, n: int) -> Column:
-        def at(i: Column) -> Column:
-            return F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *[F.get(side, i + j) for j in range(n)]).alias("gram"))
-
-        starts = F.when(F.size(side) >= n, F.sequence(F.lit(0), F.size(side) - n))
-        return F.coalesce(F.transform(starts, at), F.array().cast("array<struct<n:int,gram:string>>"))
-
-    def counted(side: str, name: str) -> DataFrame:
-        rows = words.select(key, F.inline(F.concat(*[cut(side, n) for n in range(1, longest + 1)])))
-        return rows.groupBy(key, "n", "gram").agg(F.count(F.lit(1)).alias(name))
-
-    both = counted("a", "n_got").join(counted("b", "n_gold"), [key, "n", "gram"], "left")
-    clipped = both.groupBy("n").agg(
-        F.sum(F.least(F.col("n_got"), F.coalesce("n_gold", F.lit(0)))).alias("matched"), F.sum("n_got").alias("total")
+    counts = gram_counts(pairs, key, got, gold, list(range(1, longest + 1)))
+    levels = (
+        counts.where("n IS NOT NULL")
+        .groupBy("n")
+        .agg(F.sum(F.least("n_got", "n_gold")).alias("matched"), F.sum("n_got").alias("total"), F.sum("n_gold").alias("gold"))
     )
-    logs = clipped.agg(
-        F.count(F.lit(1)).alias("levels"),
-        F.min("matched").alias("least_matched"),
-        F.avg(F.when(F.col("matched") > 0, F.log(F.col("matched") / F.col("total")))).alias("mean_log"),
+    asked = F.col("total") > 0
+    both_rows = levels.agg(
+        F.count(F.when(asked, 1)).alias("levels"),
+        F.min(F.when(asked, F.col("matched"))).alias("least_matched"),
+        F.avg(F.when(asked & (F.col("matched") > 0), F.log(F.col("matched") / F.col("total")))).alias("mean_log"),
+        F.coalesce(F.sum(F.when(F.col("n") == 1, F.col("total"))), F.lit(0)).alias("got_len"),
+        F.coalesce(F.sum(F.when(F.col("n") == 1, F.col("gold"))), F.lit(0)).alias("gold_len"),
     )
-    lengths = words.agg(F.sum(F.size("a")).alias("got_len"), F.sum(F.size("b")).alias("gold_len"))
-    both_rows = logs.select("*", lengths.select("got_len").scalar().alias("got_len"), lengths.select("gold_len").scalar().alias("gold_len"))
     brevity = F.when(F.col("got_len") >= F.col("gold_len"), 1.0).otherwise(F.exp(1 - F.col("gold_len") / F.col("got_len")))
     score = F.when((F.col("levels") == longest) & (F.col("least_matched") > 0), brevity * F.exp("mean_log")).otherwise(0.0)
     return both_rows.select("got_len", "gold_len", F.round(score, DIGITS).alias("bleu"))

@@ -30,6 +30,10 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
         column = column.combine_chunks()
     if len(column) == 0:
         return np.zeros((0, 0))
+    if pa.types.is_binary(column.type):  # packed float32, all rows of one width
+        ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+        raw = np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
+        return raw.view(np.float32).reshape(len(column), -1).astype(np.float64)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
@@ -107,8 +111,9 @@ def _block_kernel(k: int | None, metric: str, skip_self: bool, low: float | None
         step = max(1, 4_000_000 // len(q_ids))
         kept: dict = {}
         for all_ids, all_items, lanes in batches:
-            for lane in np.unique(lanes):
-                mine = lanes == lane
+            present = np.unique(lanes)
+            for lane in present:
+                mine = lanes == lane if len(present) > 1 else slice(None)  # no copy for a single lane
                 ids, items = all_ids[mine], _scale(all_items[mine], metric)
                 best = kept.setdefault(lane, Best(k, len(q_ids))) if k else None
                 for start in range(0, len(ids), step):
@@ -126,13 +131,17 @@ def _block_kernel(k: int | None, metric: str, skip_self: bool, low: float | None
 
 
 def _sides(queries: DataFrame, items: DataFrame, lane: str | None = None):
-    """Both sides with float vectors and a lane, and the schema of their hits."""
-    usable = "vec IS NOT NULL AND size(vec) > 0"
-    vec = F.col("vec").cast(V.VECTOR).alias("vec")
+    """Both sides with float or packed vectors and a lane, and the schema of their hits."""
+
+    def side(df: DataFrame, *columns) -> DataFrame:
+        if isinstance(df.schema["vec"].dataType, T.BinaryType):
+            return df.where("vec IS NOT NULL AND octet_length(vec) > 0").select(*columns, F.col("vec").alias("vec"))
+        return df.where("vec IS NOT NULL AND size(vec) > 0").select(*columns, F.col("vec").cast(V.VECTOR).alias("vec"))
+
     lane_column = F.col(lane) if lane else F.lit(0)
     extra = ["cell"] if "cell" in queries.columns else []
-    q = queries.select("query_id", vec, *extra).where(usable)
-    d = items.select("item_id", vec, lane_column.alias("lane"), *extra).where(usable)
+    q = side(queries, "query_id", *extra)
+    d = side(items, "item_id", lane_column.alias("lane"), *extra)
     schema = T.StructType(
         [
             T.StructField("query_id", q.schema["query_id"].dataType),
@@ -206,7 +215,8 @@ def _in_blocks(q: DataFrame, d: DataFrame, meet: Callable, schema: T.StructType,
     def parts(df: DataFrame, rows: int, name: str) -> DataFrame:
         return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
 
-    shape = parts(q, q_rows, "q_parts").join(parts(d, d_rows or q_rows, "d_parts"), "cell")
+    # stored, so that the planner knows it for the small table it is
+    shape = cut_lineage(parts(q, q_rows, "q_parts").join(parts(d, d_rows or q_rows, "d_parts"), "cell"), "shape")
 
     def laid_out(df: DataFrame, own: str, other: str, own_parts: str, other_parts: str) -> DataFrame:
         # hashing the whole row spreads equal ids as well

@@ -23,12 +23,21 @@ def read_vectors_csv(spark: SparkSession, path: str, schema: str, vec: str = "ve
     return raw.withColumn(vec, V.from_text(F.col(vec)))
 
 
-def write_vectors_parquet(df: DataFrame, path: str, cell: str | None = None, mode: str = "errorifexists") -> None:
-    """Lossless store; with ``cell`` it is laid out by cell so that a probe reads few folders."""
-    writer = df.write.mode(mode)
+def write_vectors_parquet(
+    df: DataFrame, path: str, cell: str | None = None, mode: str = "errorifexists", packed: str | None = None
+) -> None:
+    """Lossless store; with ``cell`` it is laid out by cell so that a probe reads few folders.
+
+    Rows are rebalanced by cell first: a folder gets few files, and a cell holding a third of all
+    rows is split over several writers. ``packed`` names a vector column to store as bytes, which
+    the searches read as it is.
+    """
+    if packed:
+        df = df.withColumn(packed, V.pack(F.col(packed)))
     if cell:
-        writer = writer.partitionBy(cell)
-    writer.parquet(path)
+        df.hint("rebalance", cell).write.mode(mode).partitionBy(cell).parquet(path)
+    else:
+        df.write.mode(mode).parquet(path)
 
 
 def save_index(df: DataFrame, path: str, overwrite: bool = False) -> None:

@@ -73,6 +73,18 @@ def test_score_matrix_and_threshold(spark, table, query_rows):
     assert {(r.query_id, r.item_id) for r in above.collect()} == {p for p, s in got.items() if s >= 5.0 and p[0] != p[1]}
 
 
+@pytest.mark.parametrize("query_rows", [4096, 10])
+def test_packed_vectors_give_the_same_hits(spark, table, query_rows):
+    x, items = table
+    path = fresh_path(spark, "packed")
+    stores.write_vectors_parquet(items, path, packed="vec")
+    stored = spark.read.parquet(path)
+    assert stored.withColumn("vec", V.unpack(F.col("vec"))).exceptAll(items).isEmpty()
+    queries = stored.where("item_id % 9 = 0").withColumnRenamed("item_id", "query_id")
+    got = search.knn_exact(queries, stored, 4, query_rows=query_rows, block_rows=32).orderBy("query_id", "rank").collect()
+    assert [r.item_id for r in got] == [i for q in range(0, 300, 9) for i in best(x, x[q], 4)]
+
+
 def test_lanes(spark, table):
     x, items = table
     laned = items.withColumn("store", F.concat(F.lit("s"), F.col("item_id") % 3))
