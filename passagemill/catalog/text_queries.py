@@ -158,7 +158,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     out = chunk.split_paragraphs(table(spark, sf, "documents"))
-    return out.select("doc_id", F.posexplode("paragraphs").alias("pos", "paragraph"))
+    rows = out.select("doc_id", F.posexplode_outer("paragraphs").alias("pos", "paragraph"))
+    return rows.where("paragraph IS NOT NULL")
 
 
 @query(
@@ -167,7 +168,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     out = chunk.group_sentences(chunk.split_sentences(doc_pages(spark, sf)))
-    return out.select("doc_id", F.posexplode("sentence_chunks").alias("chunk_no", "g")).select("doc_id", "chunk_no", F.size("g").alias("group_size"))
+    rows = out.select("doc_id", F.posexplode_outer("sentence_chunks").alias("chunk_no", "g")).where("g IS NOT NULL")
+    return rows.select("doc_id", "chunk_no", F.size("g").alias("group_size"))
 
 
 CHUNK_LIST = ", ".join(CHUNK_COLUMNS)

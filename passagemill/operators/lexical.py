@@ -44,21 +44,23 @@ def inverted_index(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return salted_join(term_frequencies(docs, key, text), df, "term", df, "df")
 
 
-def corpus_size(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row: number of documents and mean length in words."""
-    return docs.agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(X.tokens(F.col(text)))).alias("avg_len")
-    )
-
-
 def asked_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
 
 
 def asked_frequencies(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """(term, df) for the given terms only; documents are not shuffled, only partial counts are."""
-    words = words_of(docs, [], F.array_distinct(X.tokens(F.col(text))))
-    return words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """(term, df, words) for the given terms, in one pass; only partial counts are shuffled.
+
+    The row with the empty term stands for the corpus: number of documents and of words.
+    """
+    cut = docs.select(X.tokens(F.col(text)).alias("cut"))
+    each = F.transform(F.array_distinct("cut"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("words")))
+    whole = F.array(F.struct(F.lit("").alias("term"), F.size("cut").alias("words")))
+    corpus = terms.sparkSession.range(1).select(F.lit("").alias("term"))
+    wanted = cut_lineage(terms.select("term").unionByName(corpus).distinct(), "asked")
+    found = cut.select(F.inline(F.concat(each, whole))).join(wanted, "term", "left_semi")
+    counted = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("words").alias("words"))
+    return cut_lineage(counted, "df")
 
 
 def score_terms(tf: DataFrame, weights: DataFrame, key: str, value: Column) -> DataFrame:
@@ -80,10 +82,10 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, key: str, text: str = "text
 
     First pass: corpus size and the asked terms' counts. Second pass: scores, document by document.
     """
-    size = cut_lineage(corpus_size(docs, text), "size")
-    n_docs, avg_len = size.select("n_docs").scalar(), size.select("avg_len").scalar()
     asked = asked_terms(queries)
     df = asked_frequencies(docs, asked, text)
+    whole = df.where("term = ''")
+    n_docs, avg_len = whole.select("df").scalar(), whole.select(F.col("words") / F.col("df")).scalar()
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = asked.join(df, "term").select("query_id", "term", idf.alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / avg_len))
@@ -139,7 +141,6 @@ def query_expansion(queries: DataFrame, docs: DataFrame, hits: DataFrame, key: s
     Co-occurrence is read from the hits alone, at most k documents per query. A word's score is its
     number of hit documents times its idf in the whole corpus.
     """
-    size = docs.agg(F.count(F.lit(1)).alias("n_docs")).scalar()
     mine = cut_lineage(hits.select("query_id", F.col("item_id").alias(key)), "hits").join(docs.select(key, text), key)
     seen = (
         mine.select("query_id", F.explode(F.array_distinct(X.tokens(F.col(text)))).alias("term"))
@@ -149,6 +150,7 @@ def query_expansion(queries: DataFrame, docs: DataFrame, hits: DataFrame, key: s
     )
     fresh = cut_lineage(seen.join(asked_terms(queries), ["query_id", "term"], "left_anti"), "terms")
     df = asked_frequencies(docs, fresh, text)
+    size = df.where("term = ''").select("df").scalar()
     scored = fresh.join(df, "term").select(
         "query_id", F.col("term").alias("item_id"), F.round(F.col("together") * F.log(size / F.col("df")), DIGITS).alias("score")
     )

@@ -20,7 +20,7 @@ from passagemill.functions import vectors as V
 from passagemill.plans.session import cut_lineage
 
 DIGITS = 6
-QUERY_ROWS = 4096
+QUERY_ROWS = 16384
 BLOCK_ROWS = 8192
 _ARROW = {"long": pa.int64(), "integer": pa.int32(), "string": pa.string(), "double": pa.float64()}
 
@@ -188,7 +188,7 @@ def _scored(
         out = d.mapInArrow(scan, schema)
     else:
         whole = F.lit(0).alias("cell")
-        out = _in_blocks(q.select("*", whole), d.select("*", whole), _meeting(kernel, table, arrow), schema, block_rows)
+        out = _in_blocks(q.select("*", whole), d.select("*", whole), _meeting(kernel, table, arrow), schema, 2 * block_rows, block_rows)
     return out.withColumnRenamed("lane", lane) if lane else out.drop("lane")
 
 
