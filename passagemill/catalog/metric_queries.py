@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from passagemill.catalog.base import block, query, sql, table
+from passagemill.catalog.base import block, query, sql, table, vector_block
 from passagemill.catalog.lexical_queries import W, bm25_hits
-from passagemill.catalog.text_queries import QA_SQL, QRELS_SQL, annotations, ANNOTATIONS_SQL, eval_triple, question_answer
+from passagemill.catalog.text_queries import ANNOTATIONS_SQL, QRELS_SQL, annotations, doc_pages, eval_triple
 from passagemill.catalog.vector_queries import BENCH, DOCS, bench_vectors, doc_hits, doc_vectors
 from passagemill.functions import text as X
-from passagemill.operators import metrics, search
+from passagemill.functions import vectors as V
+from passagemill.operators import chunk, metrics, search
 from passagemill.plans.session import fresh_path
 from passagemill.sources import stores
 
@@ -94,6 +96,54 @@ def _(spark, sf):
     return metrics.sweep_eval(doc_hits(spark, sf, 20), qrels(spark, sf), (1, 3, 5, 10, 20))
 
 
+SIZES = (5, 10, 20)
+block(
+    "szc",
+    rf"""SELECT chunk_size, doc_id, id, t FROM (SELECT chunk_size, doc_id, chunk_size || '/' || doc_id || '-0-' || i AS id,
+      regexp_replace(trim(replace(array_to_string(list_slice(sentences, i * chunk_size + 1, i * chunk_size + chunk_size), ''), '  ', ' '), '{X.BLANKS}'),
+        '\.([A-Z0-9])', '. \1', 'g') AS t
+      FROM (SELECT chunk_size, doc_id, sentences, unnest(range(0, CAST(ceil(len(sentences) / chunk_size::DOUBLE) AS BIGINT))) AS i
+        FROM sn CROSS JOIN (SELECT unnest({list(SIZES)}) AS chunk_size))) WHERE length(t) > 120""",
+    ("sn",),
+)
+SIZED = vector_block("zv", "szc", "id", "t", ("szc",))
+block(
+    "szh",
+    f"""SELECT chunk_size, query_id, doc_id AS item_id, min(r) AS best FROM (SELECT chunk_size, q.k AS query_id, doc_id, row_number() OVER (
+      PARTITION BY chunk_size, q.k ORDER BY round(list_dot_product(q.vec, d.vec), 6) DESC, d.k) AS r FROM {BENCH} q, {SIZED} d JOIN szc ON id = d.k)
+      WHERE r <= 20 GROUP BY ALL""",
+    (BENCH, SIZED, "szc"),
+)
+
+
+@query(
+    "sweep_eval_chunk_size",
+    sql(
+        """, h AS (SELECT *, row_number() OVER (PARTITION BY chunk_size, query_id ORDER BY best) AS rank FROM szh),
+        g AS (SELECT unnest([1, 5]) AS k), z AS (SELECT unnest([5, 10, 20]) AS chunk_size)
+        SELECT chunk_size, k, round(avg(coalesce(f, 0) / n_rel::DOUBLE), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / m, 0)), 6) AS mrr
+        FROM rel CROSS JOIN g CROSS JOIN z LEFT JOIN (SELECT chunk_size, k, query_id, count(*) AS f, min(rank) AS m FROM h JOIN qr USING (query_id, item_id)
+          JOIN g ON rank <= k GROUP BY ALL) USING (chunk_size, k, query_id) GROUP BY chunk_size, k""",
+        "rel",
+        "szh",
+    ),
+)
+def _(spark, sf):
+    """Chunk sizes as lanes of one search; a document ranks where its first chunk does."""
+    rows = None
+    for size in SIZES:
+        part = chunk.min_token_filter(chunk.make_chunks(doc_pages(spark, sf), size)).withColumn("chunk_size", F.lit(size))
+        rows = part if rows is None else rows.unionByName(part)
+    named = rows.select("chunk_size", F.concat_ws("/", "chunk_size", "chunk_id").alias("item_id"), "sentence_chunk")
+    hits = search.knn_exact(bench_vectors(spark, sf), V.embed_text(named, "sentence_chunk"), 20, lane="chunk_size")
+    doc = F.split_part(F.split_part("item_id", F.lit("/"), F.lit(2)), F.lit("-"), F.lit(1)).cast("long")
+    firsts = hits.groupBy("chunk_size", "query_id", doc.alias("item_id")).agg(F.min("rank").alias("best"))
+    w = Window.partitionBy("chunk_size", "query_id").orderBy("best")
+    ranks = firsts.withColumn("rank", F.row_number().over(w))
+    judged = qrels(spark, sf).withColumn("chunk_size", F.explode(F.array(*[F.lit(s) for s in SIZES])))
+    return metrics.sweep_eval(ranks, judged, (1, 5), "chunk_size")
+
+
 @query(
     "context_size_report",
     sql(

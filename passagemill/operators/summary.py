@@ -2,17 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from passagemill.plans.session import cut_lineage
+
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def describe_numeric(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
+def _quantiles_by_range(counted: DataFrame, probs: tuple[float, ...]) -> DataFrame:
+    """(metric, q): exact interpolated quantiles without one task holding a metric's values.
+
+    Values are range-partitioned and each range's total is taken; the totals say which ranges hold
+    the wanted ranks, and only those few ranges are numbered through, each in a task of its own.
+    """
+    parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(counted.repartitionByRange(parts, "metric", "value").withColumn("range_no", F.spark_partition_id()), "ranges")
+    totals = placed.groupBy("metric", "range_no").agg(F.sum("n").alias("n"))  # at most parts rows per metric
+    before = F.sum("n").over(Window.partitionBy("metric").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1))
+    spans = totals.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy("metric")))
+    at = F.explode(F.array(*[F.lit(p) for p in probs])).alias("p")
+    place = F.col("p") * (F.col("total") - 1)
+    ranks = spans.select("metric", "range_no", "n", "before", "total", at).select(
+        "metric", "range_no", "n", "before", "p", place.alias("place"), F.explode(F.array(F.floor(place), F.ceil(place))).alias("rank_no")
+    )
+    wanted = ranks.distinct().where("rank_no >= before AND rank_no < before + n").drop("n")
+    held = placed.join(wanted.select("metric", "range_no", "before").distinct(), ["metric", "range_no"])
+    up_to = F.sum("n").over(Window.partitionBy("metric", "range_no").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = held.withColumn("stop", up_to + F.col("before")).withColumn("start", F.col("stop") - F.col("n")).drop("before")
+    found = numbered.join(wanted, ["metric", "range_no"]).where("rank_no >= start AND rank_no < stop")
+    share = F.col("place") - F.floor("place")
+    low, high = F.min("value"), F.max("value")
+    each = found.groupBy("metric", "p").agg((low + (high - low) * F.first(share)).alias("v"))
+    listed = F.array_sort(F.collect_list(F.struct("p", "v")))  # one entry per asked quantile
+    return each.groupBy("metric").agg(F.transform(listed, lambda x: x["v"]).alias("q"))
+
+
+def describe_numeric(df: DataFrame, columns: list[str], approximate: bool = False, small: int = 100_000) -> DataFrame:
     """count, mean, sample deviation, min, quartiles and max per column, two decimals.
 
-    Rows are first counted per distinct value, so the exact quantile state grows with the number of
-    different values (text lengths: bounded by the longest text), not with the number of rows.
+    Rows are counted per distinct value first. Up to ``small`` distinct values the quartiles come
+    from Spark's percentile over those counts, beyond that from a range-partitioned search; both are exact.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])
     values = df.select(F.inline(pairs)).where(F.col("value").isNotNull())
@@ -27,17 +57,20 @@ def describe_numeric(df: DataFrame, columns: list[str], approximate: bool = Fals
         )
     else:
         v, n = F.col("value"), F.col("n")
-        counted = values.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("n"))
+        counted = cut_lineage(values.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("n")), "values")
         total, first = F.sum("n"), F.sum(v * n)
         second = F.sum(v * v * n)
-        stats = counted.groupBy("metric").agg(
+        moments = [
             total.alias("count"),
             (first / total).alias("mean"),
             F.when(total > 1, F.sqrt(F.greatest((second - first * first / total) / (total - 1), F.lit(0.0)))).alias("std"),
             F.min("value").alias("min"),
-            F.percentile("value", list(QUARTILES), n).alias("q"),
             F.max("value").alias("max"),
-        )
+        ]
+        if counted.count() <= small:
+            stats = counted.groupBy("metric").agg(*moments, F.percentile("value", list(QUARTILES), n).alias("q"))
+        else:
+            stats = counted.groupBy("metric").agg(*moments).join(_quantiles_by_range(counted, QUARTILES), "metric")
     q = F.col("q")
     return stats.select(
         "metric",

@@ -10,7 +10,7 @@ def one(spark, value, column, kind="string"):
 
 
 def test_three_sentences(spark):
-    text = "This is one sentence. This is another sentence. I like elephants."
+    text = "Rain fell all night. The river rose! Who closed the gate?"
     assert len(one(spark, text, X.sentences)) == 3
 
 
@@ -83,10 +83,18 @@ def test_describe_matches_pandas(spark):
     got = summary.describe_numeric(df, ["a"]).first()
     want = df.toPandas()["a"].describe().round(2)
     assert [got[c] for c in ("count", "mean", "std", "min", "q25", "q50", "q75", "max")] == list(want)
+    ranged = summary.describe_numeric(df.repartition(3), ["a"], small=0).first()
+    assert ranged == got
     near = summary.describe_numeric(df, ["a"], approximate=True).first()
     assert near["count"] == 6 and near["max"] == 10.0
 
 
+def test_ranged_quartiles_with_a_dominant_value(spark):
+    df = spark.range(2000).select(F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id") * 1.5).alias("a"), (F.col("id") % 7).alias("b"))
+    a, b = (summary.describe_numeric(df, ["a", "b"], small=s).orderBy("metric").collect() for s in (0, 100_000))
+    assert a == b
+
+
 def test_qrels_include_short_items_and_hot_phrases(spark):
     phrase = "the following text is licensed under"
     items = [(0, "cat"), (1, "b"), (2, "two words"), (3, phrase + " apples"), (4, phrase + " pears"), (5, "a b c d e f g"), (6, "zzz yyy")]

@@ -26,7 +26,7 @@ def best(x, q, k, skip=None):
     return order[:k]
 
 
-def test_reference_vectors(spark):
+def test_small_vectors(spark):
     rows = [([1.0, 2.0, 3.0], [1.0, 2.0, 3.0]), ([1.0, 2.0, 3.0], [4.0, 5.0, 6.0]), ([1.0, 2.0, 3.0], [-1.0, -2.0, -3.0])]
     df = spark.createDataFrame(rows, "a array<float>, b array<float>")
     got = df.select(V.dot_product(F.col("a"), F.col("b")), V.cosine_similarity(F.col("a"), F.col("b"))).collect()
