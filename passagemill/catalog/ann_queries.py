@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passagemill.catalog.base import block, query, sql, table, vector_block
-from passagemill.catalog.vector_queries import BENCH, DIM, items, self_hits, vec_queries
-from passagemill.functions import vectors as V
+from passagemill.catalog.vector_queries import BENCH, DIM, items, vec_queries
 from passagemill.operators import ann, multivec
 from passagemill.plans.session import fresh_path
 from passagemill.sources import stores

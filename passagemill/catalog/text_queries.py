@@ -259,7 +259,7 @@ def _(spark, sf):
     QA_SQL
     + r""", s AS (SELECT query_id, list_distinct(regexp_extract_all(lower(query), '[\p{L}\p{N}]+')) AS a,
       list_distinct(regexp_extract_all(lower(passage), '[\p{L}\p{N}]+')) AS b FROM qa),
-    o AS (SELECT query_id, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE AS overlap FROM s)
+    o AS (SELECT query_id, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE AS overlap FROM s WHERE a IS NOT NULL AND b IS NOT NULL)
     SELECT query_id, round(overlap, 6) AS overlap FROM o WHERE overlap <= 0.1""",
 )
 def _(spark, sf):

@@ -213,9 +213,10 @@ def page_neighbours(df: DataFrame, group: str, position: str, text: str, reach:
     """Each page with the texts of the pages around it.
 
     Every page sends itself to the positions it neighbours; the key is (group, position), so a
-    very long document is spread like any other. A page receives at most 2 * reach texts.
+    very long document is spread like any other. A page receives at most 2 * reach texts; pages
+    without text send nothing.
     """
-    sent = df.select(
+    sent = df.where(F.col(text).isNotNull()).select(
         group,
         F.explode(F.array(*[F.lit(d) for d in range(-reach, reach + 1) if d != 0])).alias("step"),
         F.col(position).alias("from_position"),
