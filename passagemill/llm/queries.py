@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passagemill.llm import line_dedup, packing, token_counts
+from passagemill.llm import line_dedup, packing, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_keep("op9_token_counts")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(_table(spark, sf_dir, "documents")))
+
+
+@_keep("op7_simhash_near_dedup")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_classes(_table(spark, sf_dir, "documents"))
