@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passagemill.llm import line_dedup, packing, simhash, token_counts
+from passagemill.llm import line_dedup, packing, quality_rules, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,28 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_keep("op7_simhash_near_dedup")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_classes(_table(spark, sf_dir, "documents"))
+
+
+_RULES = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+win AS (SELECT r, i, array_to_string(ws[i:i+4], ' ') AS k FROM w, unnest(range(1, len(ws) - 3)) AS t(i)),
+rep AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+cov AS (SELECT r, count(DISTINCT i + j) AS n FROM rep, range(0, 5) AS u(j) GROUP BY r),
+c AS (SELECT w.r, doc_id, text, ws, ls, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+  coalesce(cov.n, 0) AS n_repeat_words FROM w LEFT JOIN cov ON cov.r = w.r),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR n_symbols * 10 > n_words OR word_chars < n_words * 2 OR word_chars > n_words * 20
+    OR n_dup_lines * 100 > len(ls) * 30
+    OR length(regexp_replace(text, '[^A-Z]', '', 'g')) > length(regexp_replace(text, '[^a-z]', '', 'g'))
+    OR len(list_filter(ws, lambda x: NOT regexp_matches(x, '\p{L}'))) * 100 > len(ws) * 30
+    OR len(list_filter(ls, lambda x: x LIKE '%...' OR x LIKE '%…')) * 100 > len(ls) * 30) AS kept
+FROM b"""
+
+
+@_keep("op4_quality_rules", _RULES)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(_table(spark, sf_dir, "documents"))
