@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passagemill.llm import line_dedup, packing, quality_rules, simhash, token_counts
+from passagemill.llm import line_dedup, packing, quality_rules, sharding, simhash, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,27 @@ FROM b"""
 @_keep("op4_quality_rules", _RULES)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(_table(spark, sf_dir, "documents"))
+
+
+@_keep("op5_balanced_sharding")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
+_URLS = r"""
+WITH rules(verdict, host, path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
+  ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+p AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT row_number() OVER () AS r, page_id,
+  translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+f AS (SELECT r, rules.host || rules.path AS rule, verdict FROM u JOIN rules
+  ON (u.host = rules.host OR ends_with(u.host, '.' || rules.host)) AND starts_with(u.path, rules.path)),
+best AS (SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM f GROUP BY r)
+SELECT page_id, coalesce(u.host, '') AS host, coalesce(u.path, '') AS path, rule, coalesce(verdict, 'allow') AS verdict
+FROM u LEFT JOIN best USING (r)"""
+
+
+@_keep("op6_url_filter", _URLS)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
