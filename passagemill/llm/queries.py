@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passagemill.llm import line_dedup, packing, quality_rules, sharding, simhash, token_counts, url_filter
+from passagemill.llm import decontaminate, line_dedup, packing, quality_rules, sharding, simhash, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +109,8 @@ FROM u LEFT JOIN best USING (r)"""
 @_keep("op6_url_filter", _URLS)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
+@_keep("op2_spaced_seed_decontamination")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
