@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passagemill.llm import decontaminate, line_dedup, packing, quality_rules, sharding, simhash, token_counts, url_filter
+from passagemill.llm import decontaminate, language, line_dedup, packing, quality_model, quality_rules, sharding, simhash, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,13 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_keep("op2_spaced_seed_decontamination")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_keep("op3_quality_classifier")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_keep("op10_language_mixture")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
