@@ -12,8 +12,8 @@ lost in any bucket, whatever its size.
 
 At scale. Equal fingerprints are one entry. Buckets are range-partitioned with the rank and the entry in the key, so a
 bucket of any size is spread over tasks; where the end of a range cuts a bucket, the leaves of its parts meet in an
-equi-join that compares masks first. A task puts out at most one link for each entry (to the first entry of its local
-group), never all pairs of a group. b grows with the number of entries so that buckets stay small; every choice
+equi-join that compares masks first. A task puts out a forest of links, fewer than it has entries, never all pairs of a
+group. b grows with the number of entries so that buckets stay small; every choice
 finds all links.
 
 Defined results: a null or empty text has the fingerprint 0, which is linked like any other; a text with fewer words
@@ -37,6 +37,9 @@ from passagemill.plans.session import cut_lineage
 
 SEED = 42
 MAX_BITS = 4
+#: Fingerprints to a text where a similarity is asked for, and what their estimate of it may be off by.
+FAMILIES = 32
+MARGIN = 0.03
 _LEAF, _FAN = 32, 16
 _CHUNK = 1 << 17
 _BLOCK = 2048
@@ -152,17 +155,24 @@ def _index_rows(choices: list, families: int):
     return run
 
 
-def _join_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Local groups with the links (a, b) added; ``root`` names the first member of each group."""
+def _join_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray, used: list | None = None) -> np.ndarray:
+    """Local groups with the links (a, b) added; ``root`` names the first member of each group.
+
+    ``used`` gets the links that were needed for it: no more than there are members.
+    """
     while True:
         x, y = root[a], root[b]
         open_ = x != y
         if not open_.any():
             return root
-        a, b = a[open_], b[open_]
-        low, high = np.minimum(x[open_], y[open_]), np.maximum(x[open_], y[open_])
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        order = np.lexsort((low, high))
+        pick = order[np.append(True, high[order][1:] != high[order][:-1])]
         root = root.copy()
-        np.minimum.at(root, high, low)
+        root[high[pick]] = low[pick]
+        if used is not None:
+            used.append((a[pick], b[pick]))
         while True:
             shorter = root[root]
             if (shorter == root).all():
@@ -170,6 +180,12 @@ def _join_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = shorter
 
 
+def _join_by_distance(root: np.ndarray, a: np.ndarray, b: np.ndarray, distance: np.ndarray, used: list) -> np.ndarray:
+    for d in np.unique(distance):
+        root = _join_roots(root, a[distance == d], b[distance == d], used)
+    return root
+
+
 class _Leaves:
     """The hierarchy over one stretch of sorted entries: leaves and upper nodes with the bits they share."""
 
@@ -222,14 +238,19 @@ class _Leaves:
             for k in range(0, len(i), _BLOCK):
                 yield i[k : k + _BLOCK], j[k : k + _BLOCK]
 
-    def groups(self, max_bits: int, n: int) -> np.ndarray:
-        root = np.arange(n)
+    def forest(self, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Links between entries that connect all that are within ``max_bits``, the closest first where there is a choice."""
+        root, used = np.arange(int(self.size.sum())), []
         for i, j in self.pairs(max_bits):
-            near = np.bitwise_count(self.value[i][:, :, None] ^ self.value[j][:, None, :]) <= max_bits
-            near &= self.valid[i][:, :, None] & self.valid[j][:, None, :]
-            p, q, r = np.nonzero(near)
-            root = _join_roots(root, self.start[i[p]] + q, self.start[j[p]] + r)
-        return root
+            apart = np.bitwise_count(self.value[i][:, :, None] ^ self.value[j][:, None, :])
+            p, q, r = np.nonzero((apart <= max_bits) & self.valid[i][:, :, None] & self.valid[j][:, None, :])
+            root = _join_by_distance(root, self.start[i[p]] + q, self.start[j[p]] + r, apart[p, q, r], used)
+        return _joined(used)
+
+
+def _joined(used: list) -> tuple[np.ndarray, np.ndarray]:
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(a for a, _ in used)]), np.concatenate([none, *(b for _, b in used)])
 
 
 _FOUND = "u long, v long, bucket_table int, bucket long, part long, part_entry long, same long, bits long, ranks binary, entries binary"
@@ -251,15 +272,14 @@ def _search(choices: list, max_bits: int):
         table, rank, entry = rows
         bucket, key, value = buckets(table, rank)
         leaves = _Leaves(bucket, value)
-        root = leaves.groups(max_bits, len(value))
-        linked = np.flatnonzero(root != np.arange(len(root)))
+        one, two = leaves.forest(max_bits)
         cut = np.flatnonzero((leaves.bucket == bucket[0]) & opens | (leaves.bucket == bucket[-1]) & closes)
-        at, n = leaves.start[cut], len(linked)
+        at, n = leaves.start[cut], len(one)
         none = [None] * n
         ends = at + leaves.size[cut]
         columns = [
-            pa.array([*entry[linked].tolist(), *[None] * len(cut)], pa.int64()),
-            pa.array([*entry[root[linked]].tolist(), *[None] * len(cut)], pa.int64()),
+            pa.array([*entry[one].tolist(), *[None] * len(cut)], pa.int64()),
+            pa.array([*entry[two].tolist(), *[None] * len(cut)], pa.int64()),
             pa.array([*none, *table[at].tolist()], pa.int32()),
             pa.array([*none, *key[at].tolist()], pa.int64()),
             # the first row names this stretch among those of one bucket
@@ -297,7 +317,7 @@ def _search(choices: list, max_bits: int):
 
 
 def _across(max_bits: int):
-    """Links between leaves of different parts of one bucket, at most one for each of their entries."""
+    """Links between leaves of different parts of one bucket, fewer than they have entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,14 +325,13 @@ def _across(max_bits: int):
             names = ("ranks", "entries", "ranks2", "entries2")
             for row in zip(*(column(batch, c).to_pylist() for c in names)):
                 x, xe, y, ye = (np.frombuffer(b, t) for b, t in zip(row, (np.uint64, np.int64) * 2))
-                i, j = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= max_bits)
-                if not len(i):
-                    continue
-                entry = np.concatenate((xe, ye))
-                root = _join_roots(np.arange(len(entry)), i, j + len(x))
-                linked = np.flatnonzero(root != np.arange(len(root)))
-                u += entry[linked].tolist()
-                v += entry[root[linked]].tolist()
+                apart = np.bitwise_count(x[:, None] ^ y[None, :])
+                i, j = np.nonzero(apart <= max_bits)
+                used: list = []
+                _join_by_distance(np.arange(len(x) + len(y)), i, j + len(x), apart[i, j], used)
+                one, two = _joined(used)
+                u += xe[one].tolist()
+                v += ye[two - len(x)].tolist()
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
@@ -340,11 +359,35 @@ def links(entries: DataFrame, families: int = 1, max_bits: int = MAX_BITS) -> Da
 # ---- groups ---------------------------------------------------------------------------------
 
 
-def grouped(docs: DataFrame, words: int, families: int = 1, max_bits: int = MAX_BITS) -> DataFrame:
+def _similar(families: int, similarity: float):
+    """Links whose ends share ``similarity`` of their shingles, as all their fingerprints tell it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(column(batch, c).to_pylist()), "<u8").reshape(-1, families) for c in ("prints", "prints2"))
+            cosine = np.cos(np.pi * np.bitwise_count(a ^ b).sum(axis=1) / (64 * families))
+            near = pa.array(cosine / (2 - cosine) >= similarity - MARGIN)
+            yield pa.RecordBatch.from_arrays([column(batch, c).filter(near) for c in ("u", "v")], ["u", "v"])
+
+    return run
+
+
+def similar(found: DataFrame, entries: DataFrame, families: int, similarity: float) -> DataFrame:
+    other = entries.select(F.col("entry").alias("v"), F.col("prints").alias("prints2"))
+    sides = found.distinct().join(entries.select(F.col("entry").alias("u"), "prints"), "u").join(other, "v")
+    return sides.select("u", "v", "prints", "prints2").mapInArrow(_similar(families, similarity), "u long, v long")
+
+
+def grouped(docs: DataFrame, words: int, families: int = 1, max_bits: int = MAX_BITS, similarity: float | None = None) -> DataFrame:
     """(doc, text_key, entry, root): the group of each row, named by one of its entries."""
     rows = cut_lineage(fingerprints(docs, words, families), "prints")
     entries = cut_lineage(rows.groupBy("entry").agg(F.first("prints").alias("prints")), "entries")
-    found = components(links(entries, families, max_bits)).withColumnRenamed("node", "entry")
+    linked = links(entries, families, max_bits)
+    if similarity is not None:
+        linked = similar(linked, entries, families, similarity)
+    found = components(linked).withColumnRenamed("node", "entry")
     # only entries with a link are in it; a heavy fingerprint is split by adaptive execution
     return rows.drop("prints").join(found, "entry", "left").withColumn("root", F.coalesce("root", "entry"))
 
@@ -362,13 +405,14 @@ def near_duplicate_classes(docs: DataFrame, words: int = 4, max_bits: int = MAX_
     )
 
 
-def keep_one(docs: DataFrame, words: int = 5, families: int = 24, max_bits: int = MAX_BITS) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, families: int = FAMILIES, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each group: that of the lowest id (by the hash of the text where ids are equal).
 
-    With several fingerprints to a text, any one of which may link it, texts are found with a probability that rises
-    steeply about a share of common shingles of 0.8.
+    Each text has ``families`` fingerprints. Any one within ``max_bits`` makes a candidate, which happens with a
+    probability that rises steeply about the similarity; all of them together tell the share of common shingles
+    of a candidate, and it is a link from ``similarity`` less ``MARGIN`` on.
     """
-    rows = cut_lineage(grouped(docs, words, families, max_bits), "grouped")
+    rows = cut_lineage(grouped(docs, words, families, max_bits, similarity), "grouped")
     first = rows.groupBy("root").agg(F.min(F.struct("doc", "text_key")).alias("kept"), F.count(F.lit(1)).alias("n"))
     named = rows.join(first.where("n > 1"), "root")
     lost = named.where(F.struct("doc", "text_key") != F.col("kept")).select(
