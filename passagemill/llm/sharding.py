@@ -2,8 +2,8 @@
 
 All documents are dealt to the shards evenly. In each round every group of equal texts (its documents are linked with
 each other) looks at where its documents are; those outside the shard that has most of them want to go there. Moves are
-granted under quotas: between two shards as many may go one way as come back, by documents that want to go or by
-documents without a link, which do not mind. So each round leaves the sizes as they were, and the number of
+granted under quotas: between two shards as many may go one way as come back, by documents that want to go or by free
+ones, which do not mind: those without a link, and those of a group that no shard can hold. So each round leaves the sizes as they were, and the number of
 links that are cut only falls. The law is ``rows``: shard sizes differ by one document at most.
 
 At scale a group is handled as at most one row a shard with a count, however many documents it has, and the quotas come
@@ -51,9 +51,9 @@ def _running(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
 
 
 def _quotas(wishes: list, shards: int) -> tuple[dict, dict]:
-    """How many may go from s to t, and how many unlinked documents of t make room in return.
+    """How many may go from s to t, and how many free documents of t make room in return.
 
-    ``wishes`` has (from, to, n) of those that want to go, and (shard, None, n) of the unlinked ones: at most
+    ``wishes`` has (from, to, n) of those that want to go, and (shard, None, n) of the free ones: at most
     ``shards`` squared rows.
     """
     want = {(r["shard"], r["best"]): r["n"] for r in wishes if r["best"] is not None}
@@ -78,14 +78,17 @@ def _granted(spark, moves: dict, what: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, f"shard int, {what} int, quota long"))
 
 
-def _round(state: DataFrame, shards: int) -> tuple[DataFrame, int]:
-    """``state``: (_group, shard, n, whole) with ``whole`` the documents of the group. Returns the next, and how many moved."""
+def _round(state: DataFrame, shards: int, room: int) -> tuple[DataFrame, int]:
+    """``state``: (_group, shard, n, whole) with ``whole`` the documents of the group, ``room`` what a shard holds.
+
+    Returns the next state, and how many moved.
+    """
     spark = state.sparkSession
     # ties fall either way, so that moves have countermoves
     of_group = Window.partitionBy("_group").orderBy(F.desc("n"), F.xxhash64("_group", "shard"), "shard")
     best = F.first("shard").over(of_group)
-    # a document without a link wishes for nothing: its best is null
-    wish = state.withColumn("best", F.when(F.col("whole") > 1, best))
+    # a free document wishes for nothing: its best is null
+    wish = state.withColumn("best", F.when((F.col("whole") > 1) & (F.col("whole") <= room), best))
     wish = cut_lineage(wish, "wishes")
     asked = wish.where("best IS NULL OR best <> shard").groupBy("shard", "best").agg(F.sum("n").alias("n")).collect()
     go, back = _quotas(asked, shards)
@@ -100,17 +103,21 @@ def _round(state: DataFrame, shards: int) -> tuple[DataFrame, int]:
     asking = _granted(spark, dict.fromkeys(go, 0), "best").drop("quota")
     refused = wish.where("best IS NOT NULL AND best <> shard").join(asking, ["shard", "best"], "left_anti")
     rest = wish.where("best IS NOT NULL AND best = shard").unionByName(refused)
-    # unlinked documents of a shard go, in order, to the shards that sent more than came back
+    # the first free documents of a shard, in order, go where more came from than went
     intervals, start = [], dict.fromkeys(range(shards), 0)
     for (s, t), n in sorted(back.items()):
         intervals.append((s, start[s], start[s] + n, t))
         start[s] += n
-    spans = F.broadcast(spark.createDataFrame(intervals or [(-1, 0, 0, 0)], "_at int, _from long, _to long, _target int"))
-    single = _running(wish.where("best IS NULL"), ["shard"], ["_group"], "_before")
-    at = (F.col("shard") == F.col("_at")) & (F.col("_before") >= F.col("_from")) & (F.col("_before") < F.col("_to"))
-    single = single.join(spans, at, "left").withColumn("shard", F.coalesce("_target", "shard"))
+    spans = F.broadcast(spark.createDataFrame(intervals or [(-1, 0, 0, 0)], "shard int, _from long, _to long, _target int"))
+    limits = F.broadcast(spark.createDataFrame(list(start.items()), "shard int, _limit long"))
+    free = _running(wish.where("best IS NULL"), ["shard"], ["_group"], "_before").withColumn("_end", F.col("_before") + F.col("n"))
+    met = free.join(spans, "shard").where("_before < _to AND _end > _from")
+    part = F.least("_end", "_to") - F.greatest("_before", "_from")
+    sent = met.select("_group", F.col("_target").alias("shard"), part.alias("n"), "whole")
+    beyond = F.col("_end") - F.greatest("_before", "_limit")
+    stayed = free.join(limits, "shard").select("_group", "shard", beyond.alias("n"), "whole").where("n > 0")
     columns = ["_group", "shard", "n", "whole"]
-    moved = gone.unionByName(stay).unionByName(rest.select(*columns)).unionByName(single.select(*columns))
+    moved = gone.unionByName(stay).unionByName(rest.select(*columns)).unionByName(sent).unionByName(stayed)
     together = moved.groupBy("_group", "shard").agg(F.sum("n").alias("n"), F.first("whole").alias("whole"))
     return cut_lineage(together, "shards"), sum(go.values())
 
@@ -119,8 +126,9 @@ def propagate(state: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     """(_group, shard, n): how many documents of each group go to each shard, from the same before any move."""
     whole = F.sum("n").over(Window.partitionBy("_group"))
     state = cut_lineage(state.withColumn("whole", whole), "shards")
+    room = (state.agg(F.sum("n")).first()[0] or 0) // shards
     for _ in range(rounds):
-        state, moved = _round(state, shards)
+        state, moved = _round(state, shards, room)
         if not moved:
             break
     return state.select("_group", "shard", "n")
