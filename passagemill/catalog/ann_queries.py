@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passagemill.catalog.base import block, query, sql, table, vector_block
-from passagemill.catalog.vector_queries import BENCH, DIM, items, vec_queries
+from passagemill.catalog.vector_queries import BENCH, DIM, items, self_hits, vec_queries
 from passagemill.operators import ann, multivec
 from passagemill.plans.session import fresh_path
 from passagemill.sources import stores
@@ -110,6 +110,26 @@ def _(spark, sf):
     return multivec.maxsim(e.select(group.alias("query_id"), pos, vec), e.select(group.alias("item_id"), pos, vec))
 
 
+@query(
+    "maxsim_rerank",
+    sql(
+        """, m AS (SELECT vec_id // 10 AS id, vec_id % 10 AS pos, embedding::DOUBLE[] AS vec FROM embeddings),
+        c AS (SELECT DISTINCT query_id // 10 AS query_id, item_id // 10 AS item_id FROM self20),
+        s AS (SELECT query_id, item_id, round(sum(best), 6) AS score FROM (SELECT query_id, item_id, a.pos, max(list_dot_product(a.vec, b.vec)) AS best
+          FROM c JOIN m a ON a.id = query_id JOIN m b ON b.id = item_id GROUP BY ALL) GROUP BY ALL)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 5""",
+        "self20",
+    ),
+)
+def _(spark, sf):
+    """The items whose single vectors a first search found, in the order of their late-interaction score."""
+    e = table(spark, sf, "embeddings")
+    pos, vec = (F.col("vec_id") % 10).alias("pos"), F.col("embedding").alias("vec")
+    group = F.floor(F.col("vec_id") / 10)
+    first = self_hits(spark, sf, 20).select(F.floor(F.col("query_id") / 10).alias("query_id"), F.floor(F.col("item_id") / 10).alias("item_id"))
+    return multivec.maxsim_rerank(first, e.select(group.alias("query_id"), pos, vec), e.select(group.alias("item_id"), pos, vec))
+
+
 TURNS = vector_block("tv", "turns", "id", "text", ("turns",))
 block("turns", "SELECT conv_id || ':' || turn AS id, text FROM conversations")
 

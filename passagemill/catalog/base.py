@@ -43,6 +43,7 @@ INTEGER_COLUMNS = {
     "write_vectors_parquet": "pos",
     "knn_lsh": "rank",
     "maxsim": "rank",
+    "maxsim_rerank": "rank",
     "batch_encode": "pos",
     "late_chunk_pool": "span_no pos",
     "late_chunk_long": "span_no pos",

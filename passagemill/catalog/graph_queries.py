@@ -13,7 +13,7 @@ from passagemill.plans.session import cut_lineage
 
 # ---- text graph -----------------------------------------------------------------------------
 
-block("ctf", f"SELECT chunk_id, t AS term, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(sentence_chunk), {W})) AS t FROM big_ch) WHERE length(t) >= 4 GROUP BY ALL", ("big_ch",))
+block("ctf", f"SELECT chunk_id, t AS term, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(sentence_chunk), {W})) AS t FROM big_ch) GROUP BY ALL", ("big_ch",))
 block("cdf", "SELECT term, count(*) AS df FROM ctf GROUP BY term", ("ctf",))
 block(
     "ment",
@@ -67,13 +67,13 @@ def _(spark, sf):
 @query(
     "merge_entities",
     r"""WITH m AS (SELECT conv_id || ':' || turn AS chunk_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS f FROM conversations),
-    w AS (SELECT chunk_id, f, lower(f) AS entity FROM m WHERE length(f) >= 4)
+    w AS (SELECT chunk_id, f, lower(f) AS entity FROM m)
     SELECT entity, count(DISTINCT f) AS n_forms, count(*) AS n_mentions, min(f) AS first_form, count(DISTINCT chunk_id) AS n_segments FROM w GROUP BY entity""",
 )
 def _(spark, sf):
     words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     rows = table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("chunk_id"), F.explode(words).alias("entity"))
-    return graph.merge_entities(rows.where(F.length("entity") >= 4))
+    return graph.merge_entities(rows)
 
 
 @query(

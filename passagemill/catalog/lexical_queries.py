@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from passagemill.catalog.base import block, query, sql, table
 from passagemill.catalog.text_queries import QRELS_SQL, eval_triple
-from passagemill.catalog.vector_queries import big_chunks, chunk_hits, doc_hits
+from passagemill.catalog.vector_queries import BENCH, DOCS, bench_vectors, big_chunks, chunk_hits, doc_hits, doc_vectors
 from passagemill.functions.text import BLANKS
 from passagemill.operators import lexical, prompt, search
 
@@ -97,7 +97,7 @@ block(
     f"""SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, term) AS r FROM (
       SELECT query_id, term, round(count(*) * ln((SELECT count(*) FROM documents) / any_value(df)), 6) AS s FROM (
         SELECT DISTINCT query_id, item_id, t AS term FROM (SELECT query_id, item_id,
-          unnest(regexp_extract_all(lower(text), {W})) AS t FROM bm5 JOIN documents ON doc_id = item_id) WHERE length(t) >= 4)
+          unnest(regexp_extract_all(lower(text), {W})) AS t FROM bm5 JOIN documents ON doc_id = item_id))
       JOIN dfs USING (term) WHERE (query_id, term) NOT IN (SELECT (query_id, term) FROM qt) GROUP BY query_id, term) QUALIFY r <= 3""",
     ("bm5", "dfs", "qt"),
 )
@@ -180,26 +180,29 @@ EXAMPLES = [
     ("Where do rivers start?", "Most start at a spring, a lake or melting ice, and grow as side streams join them."),
     ("Why do leaves change colour?", "Green pigment breaks down in autumn, so the yellow and red ones show."),
 ]
-HEAD = (prompt.INSTRUCTION + "\n\n" + prompt.examples_text(EXAMPLES)).replace("'", "''")
+INSTRUCTION = "Use nothing but the sources below. Say so where they leave the matter open."
+HEAD = (INSTRUCTION + "\n" + prompt.examples_text(EXAMPLES) + "\n" + prompt.SOURCES).replace("'", "''")
 block(
     "pr",
-    f"SELECT query_id, text AS query, context, '{HEAD}' || chr(10) || chr(10) || 'Passages:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Answer:' AS prompt FROM ctx JOIN benchmark ON item_id = query_id",
+    f"SELECT query_id, text AS query, context, '{HEAD}' || chr(10) || context || chr(10) || '{prompt.ASKED}' || chr(10) || text || chr(10) || '{prompt.REPLY}' AS prompt FROM ctx JOIN benchmark ON item_id = query_id",
     ("ctx",),
 )
 
 
 @query("build_prompt", sql("SELECT query_id, query, prompt FROM pr", "pr"))
 def _(spark, sf):
-    return prompt.build_prompt(asked(spark, sf), prompt.context_block(text_hits(spark, sf)), examples=EXAMPLES)
+    return prompt.build_prompt(asked(spark, sf), prompt.context_block(text_hits(spark, sf)), INSTRUCTION, EXAMPLES)
 
 
 @query(
     "chat_template",
-    """SELECT conv_id, 0::BIGINT AS segment, string_agg('<start_of_turn>' || role || chr(10) || text || '<end_of_turn>' || chr(10), '' ORDER BY turn)
-    || '<start_of_turn>model' || chr(10) AS text FROM conversations GROUP BY conv_id""",
+    """WITH c AS (SELECT *, turn // 3 AS segment, max(turn) OVER (PARTITION BY conv_id) // 3 AS final FROM conversations)
+    SELECT conv_id, segment, string_agg('<start_of_turn>' || role || chr(10) || text || '<end_of_turn>' || chr(10), '' ORDER BY turn)
+    || CASE WHEN segment = any_value(final) THEN '<start_of_turn>model' || chr(10) ELSE '' END AS text FROM c GROUP BY conv_id, segment""",
 )
 def _(spark, sf):
-    return prompt.chat_template(table(spark, sf, "conversations"))
+    """Three turns to a row, so that most conversations have several."""
+    return prompt.chat_template(table(spark, sf, "conversations"), segment_turns=3)
 
 
 @query(
@@ -220,13 +223,18 @@ def _(spark, sf):
     "contrastive_examples",
     sql(
         """SELECT query_id, max_by(item_id, -rank) FILTER (WHERE quality = 1) AS good_example,
-        max_by(item_id, -rank) FILTER (WHERE quality = 0) AS bad_example FROM doc20 JOIN labels ON doc_id = item_id GROUP BY query_id""",
-        "doc20",
+        max_by(item_id, -rank) FILTER (WHERE quality = 0) AS bad_example FROM (SELECT query_id, item_id, quality, row_number() OVER (
+          PARTITION BY query_id, quality ORDER BY score DESC, item_id) AS rank FROM (SELECT q.k AS query_id, d.k AS item_id, quality,
+          round(list_dot_product(q.vec, d.vec), 6) AS score FROM """ + BENCH + " q, " + DOCS + """ d JOIN labels ON doc_id = d.k))
+        WHERE rank = 1 GROUP BY query_id""",
+        BENCH,
+        DOCS,
     ),
 )
 def _(spark, sf):
+    """The nearest of either kind in the whole labelled pool."""
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("item_id"), F.col("quality").alias("correct"))
-    return prompt.contrastive_examples(doc_hits(spark, sf, 20), labels)
+    return prompt.contrastive_examples(bench_vectors(spark, sf), doc_vectors(spark, sf), labels)
 
 
 @query(
@@ -254,4 +262,4 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return prompt.batch_ask(asked(spark, sf), text_hits(spark, sf), examples=EXAMPLES)
+    return prompt.batch_ask(asked(spark, sf), text_hits(spark, sf), INSTRUCTION, examples=EXAMPLES)

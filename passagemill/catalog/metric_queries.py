@@ -148,8 +148,9 @@ def _(spark, sf):
     "context_size_report",
     sql(
         """, h AS (SELECT 'dense' AS method, query_id, item_id, rank FROM doc5 UNION ALL SELECT 'sparse', query_id, item_id, rank FROM bm5),
-        t AS (SELECT method, query_id, sum(n_chars / 4.0::DOUBLE) AS tok, count(qr.item_id) / any_value(n_rel)::DOUBLE AS recall
-          FROM h JOIN documents ON doc_id = h.item_id JOIN rel USING (query_id) LEFT JOIN qr USING (query_id, item_id) GROUP BY ALL)
+        t AS (SELECT m.method, rel.query_id, coalesce(sum(n_chars / 4.0::DOUBLE), 0) AS tok, count(qr.item_id) / any_value(n_rel)::DOUBLE AS recall
+          FROM rel CROSS JOIN (SELECT unnest(['dense', 'sparse']) AS method) m LEFT JOIN h ON h.method = m.method AND h.query_id = rel.query_id
+          LEFT JOIN documents ON doc_id = h.item_id LEFT JOIN qr ON qr.query_id = rel.query_id AND qr.item_id = h.item_id GROUP BY ALL)
         SELECT method, (floor(tok / 200) * 200)::BIGINT AS bucket, count(*) AS n_queries, round(avg(tok), 6) AS avg_tokens, round(avg(recall), 6) AS recall
         FROM t GROUP BY ALL""",
         "rel",
@@ -161,20 +162,24 @@ def _(spark, sf):
     dense = doc_hits(spark, sf).select(F.lit("dense").alias("method"), "query_id", "item_id", "rank")
     sparse = bm25_hits(spark, sf).select(F.lit("sparse").alias("method"), "query_id", "item_id", "rank")
     sizes = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), X.token_count(F.col("text")).alias("tokens"))
-    return metrics.context_size_report(dense.unionByName(sparse), qrels(spark, sf), sizes)
+    return metrics.context_size_report(dense.unionByName(sparse), qrels(spark, sf), sizes, ["dense", "sparse"])
 
 
-# ---- answers: last assistant turn against the first one --------------------------------------
+# ---- answers: every assistant turn against the one before it ---------------------------------
 
 block(
     "an",
-    """SELECT conv_id, arg_min(text, turn) AS gold, arg_max(text, turn) AS got FROM conversations WHERE role = 'assistant' GROUP BY conv_id""",
+    """SELECT b.conv_id * 1000 + b.turn AS conv_id, a.text AS gold, b.text AS got FROM conversations a JOIN conversations b
+      ON a.conv_id = b.conv_id AND b.turn = a.turn + 2 WHERE a.role = 'assistant' AND b.role = 'assistant'""",
 )
 
 
 def answers(spark, sf):
+    """Keyed by (conversation, turn), so that a very long conversation is many rows of the join."""
     turns = table(spark, sf, "conversations").where("role = 'assistant'")
-    return turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("gold"), F.max_by("text", "turn").alias("got"))
+    before = turns.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("text").alias("gold"))
+    joined = turns.select("conv_id", "turn", F.col("text").alias("got")).join(before, ["conv_id", "turn"])
+    return joined.select((F.col("conv_id") * 1000 + F.col("turn")).alias("conv_id"), "gold", "got")
 
 
 def norm_sql(column: str) -> str:

@@ -87,7 +87,7 @@ def _(spark, sf):
     return eval_triple(spark, sf)[2]
 
 
-QA_SQL = """WITH qa AS (SELECT u.conv_id * 1000 + u.turn AS query_id, u.text AS query, u.conv_id AS item, a.text AS passage
+QA_SQL = """WITH qa AS (SELECT u.conv_id * 1000 + u.turn AS query_id, u.text AS query, a.conv_id * 1000 + a.turn AS item, a.text AS passage
       FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
       WHERE u.role = 'user' AND a.role = 'assistant')"""
 
@@ -98,7 +98,7 @@ def question_answer(spark, sf):
     user = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"))
     reply = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("passage"))
     return user.join(reply, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "query", F.col("conv_id").alias("item"), "passage"
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "query", (F.col("conv_id") * 1000 + F.col("turn") + 1).alias("item"), "passage"
     )
 
 
@@ -106,7 +106,7 @@ def question_answer(spark, sf):
     "load_qa_dataset",
     QA_SQL
     + """SELECT 'queries' AS part, query_id AS id, query AS text FROM qa
-    UNION ALL SELECT 'corpus', item, min(passage) FROM qa GROUP BY item
+    UNION ALL SELECT DISTINCT 'corpus', item, passage FROM qa
     UNION ALL SELECT DISTINCT 'qrels', query_id, CAST(item AS VARCHAR) FROM qa""",
 )
 def _(spark, sf):
@@ -432,16 +432,16 @@ def _(spark, sf):
 @query(
     "bridge_pairs",
     r"""WITH e AS (SELECT DISTINCT conv_id, role, t AS entity FROM (SELECT conv_id, role,
-      unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t FROM conversations) WHERE length(t) >= 8)
-    SELECT a.conv_id AS question_id, a.entity, count(*) AS n_partners, min(q.conv_id) AS partner_id
-    FROM e a JOIN e q ON a.entity = q.entity AND a.conv_id <> q.conv_id
-    WHERE a.role = 'assistant' AND q.role = 'user' GROUP BY a.conv_id, a.entity""",
+      unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t FROM conversations)),
+    p AS (SELECT a.entity, a.conv_id AS one, q.conv_id AS other FROM e a JOIN e q ON a.entity = q.entity AND a.conv_id <> q.conv_id
+      WHERE a.role = 'assistant' AND q.role = 'user')
+    SELECT DISTINCT entity, CASE role WHEN 'user' THEN 'question' ELSE 'answer' END AS side, conv_id AS question_id
+    FROM e WHERE role IN ('user', 'assistant') AND entity IN (SELECT entity FROM p)""",
 )
 def _(spark, sf):
     words = (
         table(spark, sf, "conversations")
         .select(F.col("conv_id").alias("question_id"), "role", F.explode(X.tokens(F.col("text"))).alias("entity"))
-        .where(F.length("entity") >= 8)
     )
     return curate.bridge_pairs(words.where("role = 'assistant'"), words.where("role = 'user'"))
 

@@ -132,7 +132,7 @@ def _(spark, sf):
     "search_report",
     sql(
         """SELECT query_id, rank, item_id, round(score + 1e-9, 4) AS score, page_number, sentence_chunk,
-        printf('Score: %.4f | Page number: %d | Text: %s', round(score + 1e-9, 4), page_number, sentence_chunk) AS line
+        printf('[%.4f] p. %d: %s', round(score + 1e-9, 4), page_number, sentence_chunk) AS line
         FROM chunk5 JOIN big_ch ON chunk_id = item_id""",
         "chunk5",
     ),
@@ -163,13 +163,6 @@ def _(spark, sf):
     return search.hit_page_lookup(hits, stored, 41).select("query_id", "rank", "doc_id", "page_number", "source_page", "page_chars")
 
 
-@query("random_vectors")
-def _(spark, sf):
-    return search.random_vectors_like(table(spark, sf, "embeddings"), "vec_id", 10, DIM).select(
-        "vec_id", "copy", F.round(V.norm(F.col("vec")), 6).alias("length")
-    )
-
-
 MATRIX = [[round(((i * 31 + j * 17) % 13 - 6) / 6.0, 4) for j in range(DIM)] for i in range(8)]
 
 

@@ -69,6 +69,18 @@ def unpack(a: Column) -> Column:
     return run(a)
 
 
+def as_vectors(df: DataFrame, vec: str = "vec") -> DataFrame:
+    """Rows that have a vector, as arrays of floats or packed as they are stored."""
+    if isinstance(df.schema[vec].dataType, T.BinaryType):
+        return df.where(F.col(vec).isNotNull() & (F.octet_length(vec) > 0))
+    return df.where(F.col(vec).isNotNull() & (F.size(vec) > 0)).withColumn(vec, F.col(vec).cast(VECTOR))
+
+
+def as_arrays(df: DataFrame, vec: str = "vec") -> DataFrame:
+    """``df`` with packed vectors as arrays, for functions that work on numbers one by one."""
+    return df.withColumn(vec, unpack(F.col(vec))) if isinstance(df.schema[vec].dataType, T.BinaryType) else df
+
+
 def to_text(a: Column) -> Column:
     """Bracketed text with blanks between the numbers."""
     return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: x.cast("string")), " "), F.lit("]"))
@@ -87,36 +99,35 @@ Encoder = Callable[[pd.Series], list[np.ndarray]]
 
 
 def hashing_encoder(dim: int = 64) -> Callable[[], Encoder]:
-    """Default encoder: word counts by md5 bucket, 1 + ln(count), scaled to unit length."""
+    """Default encoder: word counts by md5 bucket, 1 + ln(count), scaled to unit length.
+
+    Each distinct word of a batch is hashed once; counts of all texts are one matrix.
+    """
 
     def load() -> Encoder:
         word = re.compile(r"[^\W_]+")
         buckets: dict[str, int] = {}
 
-        def bucket(token: str) -> int:
-            at = buckets.get(token)
-            if at is None:
-                if len(buckets) >= 500_000:
-                    buckets.clear()
-                at = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
-                buckets[token] = at
-            return at
-
         def encode(texts: pd.Series) -> list[np.ndarray]:
-            out = []
-            for text in texts:
-                counts = np.bincount([bucket(t) for t in word.findall((text or "").lower())], minlength=dim)
-                weights = np.where(counts > 0, 1.0 + np.log(np.maximum(counts, 1)), 0.0)
-                length = np.sqrt((weights * weights).sum())
-                out.append((weights / length if length > 0 else weights).astype(np.float32))
-            return out
+            found = [word.findall(t.lower()) if t else [] for t in texts]
+            fresh = set().union(*found) - buckets.keys()
+            if len(buckets) + len(fresh) > 500_000:
+                buckets.clear()
+                fresh = set().union(*found)
+            buckets.update((t, int.from_bytes(hashlib.md5(t.encode()).digest()[:4], "big") % dim) for t in fresh)
+            at = np.fromiter((buckets[t] for ws in found for t in ws), np.int64)
+            owner = np.repeat(np.arange(len(found)), [len(ws) for ws in found])
+            counts = np.bincount(owner * dim + at, minlength=len(found) * dim).reshape(len(found), dim)
+            weights = np.where(counts > 0, 1.0 + np.log(np.maximum(counts, 1)), 0.0)
+            length = np.sqrt((weights * weights).sum(axis=1, keepdims=True))
+            return list((weights / np.where(length > 0, length, 1)).astype(np.float32))
 
         return encode
 
     return load
 
 
-def embed(text: Column, load: Callable[[], Encoder] | None = None, batch: int = 32) -> Column:
+def embed(text: Column, load: Callable[[], Encoder] | None = None, batch: int = 256) -> Column:
     """Vector column from an encoder. ``load`` runs once per Python worker, then texts go in batches."""
     load = load or hashing_encoder()
 
@@ -133,6 +144,6 @@ def embed(text: Column, load: Callable[[], Encoder] | None = None, batch: int =
 
 
 def embed_text(
-    df: DataFrame, text: str, out: str = "vec", load: Callable[[], Encoder] | None = None, batch: int = 32
+    df: DataFrame, text: str, out: str = "vec", load: Callable[[], Encoder] | None = None, batch: int = 256
 ) -> DataFrame:
     return df.withColumn(out, embed(F.col(text), load, batch))

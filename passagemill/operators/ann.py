@@ -15,25 +15,21 @@ from pyspark.sql import types as T
 from passagemill.functions import vectors as V
 from passagemill.operators.search import knn_exact, knn_in_cells
 
-TRAINING_ROWS = 1_000_000
-
-
-def training_rows(items: DataFrame, limit: int = TRAINING_ROWS) -> DataFrame:
-    """Rows to fit a codebook on: all of them, or a hash share once there are more than ``limit``."""
-    n = items.count()
-    if n <= limit:
+def fitted_on(items: DataFrame, fraction: float) -> DataFrame:
+    """Rows to fit a codebook on: all of them unless the caller asks for a share, taken by a hash of the id."""
+    if fraction >= 1:
         return items
-    return items.where(F.pmod(F.xxhash64("item_id"), F.lit(1_000_000)) < int(1_000_000 * limit / n))
+    return items.where(F.pmod(F.xxhash64("item_id"), F.lit(1_000_000)) < int(1_000_000 * fraction))
 
 
-def fit_cells(items: DataFrame, n_cells: int, seed: int = 7) -> KMeansModel:
-    rows = training_rows(items).select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+def fit_cells(items: DataFrame, n_cells: int, seed: int = 7, fraction: float = 1.0) -> KMeansModel:
+    rows = fitted_on(V.as_arrays(items), fraction).select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
     return KMeans(k=n_cells, seed=seed, maxIter=10, distanceMeasure="cosine").fit(rows)
 
 
 def to_cells(items: DataFrame, model: KMeansModel) -> DataFrame:
     """Items with their coarse cell; written with partitionBy(cell) this is the stored index."""
-    featured = items.withColumn("features", array_to_vector(F.col("vec").cast("array<double>")))
+    featured = V.as_arrays(items).withColumn("features", array_to_vector(F.col("vec").cast("array<double>")))
     return model.setPredictionCol("cell").transform(featured).drop("features")
 
 
@@ -41,7 +37,7 @@ def probe_cells(queries: DataFrame, model: KMeansModel, n_probe: int) -> DataFra
     """Each query once per cell it looks into. The centres are the model: at most ``n_cells`` rows."""
     centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     table = queries.sparkSession.createDataFrame(centres, "item_id int, vec array<float>")
-    near = knn_exact(queries, table, n_probe, "cosine")
+    near = knn_exact(queries, table, n_probe, "cosine", move_items=True)
     return queries.join(near.select("query_id", F.col("item_id").alias("cell")), "query_id")
 
 
@@ -78,18 +74,18 @@ def sign_cells(vec: Column, tables: int, bits: int, dim: int, seed: int = 11) ->
 
 def knn_lsh(queries: DataFrame, items: DataFrame, dim: int, k: int = 5, tables: int = 8, bits: int = 6, skip_self: bool = False) -> DataFrame:
     """Look at items that share a sign cell with the query in any table; needs no training."""
-    usable = "vec IS NOT NULL AND size(vec) > 0"
-    q = queries.where(usable).select("query_id", "vec", F.explode(sign_cells(F.col("vec"), tables, bits, dim)).alias("cell"))
-    d = items.where(usable).select("item_id", "vec", F.explode(sign_cells(F.col("vec"), tables, bits, dim)).alias("cell"))
+    queries, items = (V.as_vectors(V.as_arrays(x)) for x in (queries, items))
+    q = queries.select("query_id", "vec", F.explode(sign_cells(F.col("vec"), tables, bits, dim)).alias("cell"))
+    d = items.select("item_id", "vec", F.explode(sign_cells(F.col("vec"), tables, bits, dim)).alias("cell"))
     return knn_in_cells(q, d, k, "dot", skip_self)
 
 
 # ---- product codes --------------------------------------------------------------------------
 
 
-def fit_codebooks(items: DataFrame, dim: int, parts: int = 8, centres: int = 16, seed: int = 7) -> np.ndarray:
+def fit_codebooks(items: DataFrame, dim: int, parts: int = 8, centres: int = 16, seed: int = 7, fraction: float = 1.0) -> np.ndarray:
     """(parts, centres, dim / parts): one small codebook per slice of the vector."""
-    rows = training_rows(items).select("vec").persist()
+    rows = fitted_on(V.as_arrays(items), fraction).select("vec").persist()
     width, books = dim // parts, []
     for p in range(parts):
         piece = F.slice(F.col("vec").cast("array<double>"), p * width + 1, width)

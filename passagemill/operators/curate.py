@@ -235,28 +235,34 @@ def page_neighbours(df: DataFrame, group: str, position: str, text: str, reach:
 
 
 def bridge_pairs(answers: DataFrame, questions: DataFrame) -> DataFrame:
-    """For each answer entity, the other questions that mention it.
+    """(entity, side, question_id): who has an entity in its answer and who in its question, for entities that bridge.
 
-    ``answers(question_id, entity)`` and ``questions(question_id, entity)``. The full list of pairs
-    of a common entity is quadratic, so the result stays factored: one row per (question, entity)
-    with the number of partners and the first partner, from one aggregate per entity that holds
-    the count and the two lowest ids.
+    ``answers(question_id, entity)`` and ``questions(question_id, entity)``. An entity bridges when an answer and the
+    question of another have it. All pairs of a common entity would be quadratic, so they stay factored: every
+    'answer' row of an entity pairs with every 'question' row of it that has another id, see ``pairs_of``.
     """
-    q = cut_lineage(questions.select("entity", "question_id").distinct(), "questions")
-    lowest = q.groupBy("entity").agg(F.count(F.lit(1)).alias("mentions"), F.min("question_id").alias("first_id"))
-    rest = salted_join(q, lowest.select("entity", "first_id"), "entity", lowest, "mentions").where(
-        F.col("question_id") != F.col("first_id")
-    )
-    second = rest.groupBy("entity").agg(F.min("question_id").alias("second_id"))
-    per_entity = lowest.join(second, "entity", "left")
-    a = cut_lineage(answers.select("question_id", "entity").distinct(), "answers")
-    own = q.select("question_id", "entity", F.lit(1).alias("own"))
-    rows = salted_join(a, per_entity, "entity").join(own, ["question_id", "entity"], "left")
-    partners = F.col("mentions") - F.coalesce("own", F.lit(0))
-    partner = F.when(F.col("first_id") != F.col("question_id"), F.col("first_id")).otherwise(F.col("second_id"))
-    return rows.select("question_id", "entity", partners.alias("n_partners"), partner.alias("partner_id")).where(
-        F.col("n_partners") > 0
+    sides = answers.select("entity", F.lit("answer").alias("side"), "question_id").unionByName(
+        questions.select("entity", F.lit("question").alias("side"), "question_id")
     )
+    sides = cut_lineage(sides.where("entity IS NOT NULL").distinct(), "sides")
+
+    def of(side: str, how):
+        return how(F.when(F.col("side") == side, F.col("question_id")))
+
+    per_entity = sides.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("n"),
+        of("answer", F.min).alias("a_low"), of("answer", F.max).alias("a_high"),
+        of("question", F.min).alias("q_low"), of("question", F.max).alias("q_high"),
+    )
+    # without a pair both sides are one and the same question, or one side is empty
+    bridging = cut_lineage(per_entity.where("a_low IS NOT NULL AND q_low IS NOT NULL AND (a_low <> q_low OR a_high <> q_high OR a_low <> a_high)"), "bridging")
+    return salted_join(sides, bridging.select("entity"), "entity", bridging, "n")
+
+
+def pairs_of(bridges: DataFrame) -> DataFrame:
+    """(question_id, partner_id, entity): the pairs that ``bridge_pairs`` holds, for callers that want them listed."""
+    asked = bridges.where("side = 'question'").select("entity", F.col("question_id").alias("partner_id"))
+    return bridges.where("side = 'answer'").select("entity", "question_id").join(asked, "entity").where("question_id <> partner_id")
 
 
 def agreement_join(a: DataFrame, b: DataFrame, key: str = "item_id", answer: str = "answer") -> DataFrame:

@@ -21,14 +21,18 @@ from passagemill.plans.skew import salted_join
 
 
 def extract_entities(
-    chunks: DataFrame, m: int = 5, text: str = "sentence_chunk", min_length: int = 4, extractor: Callable[[DataFrame], DataFrame] | None = None
+    chunks: DataFrame, m: int = 5, text: str = "sentence_chunk", min_length: int = 1, extractor: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
-    """(chunk_id, entity, score): a plugged-in extractor, or the chunk's top ``m`` words by tf-idf."""
+    """(chunk_id, entity, score): a plugged-in extractor, or the chunk's top ``m`` words by tf-idf.
+
+    ``min_length`` leaves out shorter words where a caller wants that. Terms are cut from the texts once and stored.
+    """
     if extractor is not None:
         return extractor(chunks)
-    tf = lexical.term_frequencies(chunks, "chunk_id", text).where(F.length("term") >= min_length)
-    n_chunks = chunks.agg(F.count(F.lit(1)).alias("n")).scalar()
-    df = cut_lineage(lexical.document_frequencies(chunks, text).where(F.length("term") >= min_length), "df")
+    stored = cut_lineage(chunks.select("chunk_id", text), "chunks")
+    tf = cut_lineage(lexical.term_frequencies(stored, "chunk_id", text).where(F.length("term") >= min_length), "terms")
+    n_chunks = stored.agg(F.count(F.lit(1)).alias("n")).scalar()
+    df = cut_lineage(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
     scored = salted_join(tf, df, "term", df, "df").withColumn("score", F.round(F.col("tf") * F.log(n_chunks / F.col("df")), DIGITS))
     w = Window.partitionBy("chunk_id").orderBy(F.desc("score"), "term")
     top = scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= m)
@@ -237,8 +241,8 @@ def soft_prune(subgraph: DataFrame, scores: DataFrame, edges: DataFrame, keep: i
     return links.join(kept.select("query_id", F.col("node").alias("dst"), F.col("score").alias("dst_score")), ["query_id", "dst"])
 
 
-def relational_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Paths of one to three hops between each pair of a query's seeds, no node twice.
+def relational_paths(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
+    """Paths of one to ``hops`` hops between each pair of a query's seeds, no node twice.
 
     ``edges`` hold both directions. A path's last step is checked against the edge table by both of
     its ends, so the rows handled for a pair stay below the number of edges, hubs included.
@@ -248,18 +252,17 @@ def relational_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     s = seeds.select("query_id", F.col("node").alias("s")).distinct()
     pairs = s.join(s.select("query_id", F.col("s").alias("t")), "query_id").where("s < t")
 
-    def step(rows: DataFrame, at: str, to: str) -> DataFrame:
-        return salted_join(links.select(F.col("src").alias(at), F.col("dst").alias(to)), rows, at, degree.withColumnRenamed("src", at))
-
-    def ends(rows: DataFrame, at: str) -> DataFrame:
-        return rows.join(links.select(F.col("src").alias(at), F.col("dst").alias("t")), [at, "t"])
-
-    one = ends(pairs, "s").select("query_id", F.array("s", "t").alias("path"))
-    first = step(pairs, "s", "a").where("a <> t")
-    two = ends(first, "a").select("query_id", F.array("s", "a", "t").alias("path"))
-    second = step(first, "a", "b").where("b <> s AND b <> t")
-    three = ends(second, "b").select("query_id", F.array("s", "a", "b", "t").alias("path"))
-    return one.unionByName(two).unionByName(three)
+    paths, rows = None, pairs.select("query_id", F.col("s").alias("at"), "t", F.array("s").alias("path"))
+    for hop in range(hops):
+        if hop:
+            onward = links.select(F.col("src").alias("at"), F.col("dst").alias("to"))
+            rows = salted_join(onward, rows, "at", degree.withColumnRenamed("src", "at"))
+            rows = rows.where((F.col("to") != F.col("t")) & ~F.array_contains("path", F.col("to")))
+            rows = rows.select("query_id", F.col("to").alias("at"), "t", F.array_append("path", F.col("to")).alias("path"))
+        done = rows.join(links.select(F.col("src").alias("at"), F.col("dst").alias("t")), ["at", "t"])
+        done = done.select("query_id", F.array_append("path", F.col("t")).alias("path"))
+        paths = done if paths is None else paths.unionByName(done)
+    return paths
 
 
 def prune_paths(paths: DataFrame, scores: DataFrame, m: int = 5, alpha: float = 0.8) -> DataFrame:

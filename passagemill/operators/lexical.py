@@ -1,7 +1,7 @@
 """Term statistics, sparse and hybrid retrieval, focus and query rewriting.
 
-Documents are shuffled once by id before their words are exploded; counting and per-document scoring
-then happen inside that layout, and what leaves a task is each query's best k.
+A document is one row, so its words are counted inside it: sorted, and cut where the word changes. No text is
+shuffled; what leaves a task is terms with their counts, or each query's best k.
 """
 
 from __future__ import annotations
@@ -25,11 +25,18 @@ def words_of(docs: DataFrame, keep: list, words: Column) -> DataFrame:
 
 
 def term_frequencies(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, doc_len, term, tf). Laid out by document, so counting needs no second shuffle; texts are
-    moved before they are cut, which is less to move."""
-    words = docs.select(key, text).repartition(key).select(key, X.tokens(F.col(text)).alias("words"))
-    rows = words_of(words, [key, F.size("words").alias("doc_len")], F.col("words"))
-    return rows.groupBy(key, "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, doc_len, term, tf), counted inside each row; ``key`` names a row."""
+    words = docs.select(key, F.array_sort(X.tokens(F.col(text))).alias("words"))
+    # where in the sorted words a new one begins
+    first = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (i == 0) | (F.get("words", i) != F.get("words", i - 1)))
+    cut = words.where(F.size("words") > 0).withColumn("first", first)
+    counted = F.transform(
+        "first",
+        lambda at, i: F.struct(
+            F.get("words", at).alias("term"), (F.coalesce(F.get("first", i + 1), F.size("words")) - at).cast("long").alias("tf")
+        ),
+    )
+    return cut.select(key, F.size("words").alias("doc_len"), F.inline(counted))
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -135,7 +142,7 @@ def hybrid_search(dense: DataFrame, sparse: DataFrame, k: int = 5, weights: dict
     return fuse_minmax(both, weights, k) if weights else fuse(both, k)
 
 
-def query_expansion(queries: DataFrame, docs: DataFrame, hits: DataFrame, key: str, m: int = 3, min_length: int = 4, text: str = "text") -> DataFrame:
+def query_expansion(queries: DataFrame, docs: DataFrame, hits: DataFrame, key: str, m: int = 3, min_length: int = 1, text: str = "text") -> DataFrame:
     """Queries with ``m`` corpus words added: those that occur in most of the query's first hits.
 
     Co-occurrence is read from the hits alone, at most k documents per query. A word's score is its
@@ -179,7 +186,6 @@ def focus_sentences(queries: DataFrame, hits: DataFrame, docs: DataFrame, key: s
 INSTRUCTIONS = (
     r"^(please )?(answer|explain|summarise|summarize|describe|translate) (the following|this)[^:.]*[:.] *",
     r"^(you are|act as) [^.]*\. *",
-    r"^(the|that|this|is|and|on|of) ",
 )
 
 

@@ -112,14 +112,17 @@ def sweep_eval(hits: DataFrame, qrels: DataFrame, ks: tuple[int, ...], *by: str)
     )
 
 
-def context_size_report(hits: DataFrame, qrels: DataFrame, sizes: DataFrame, bucket: int = 200) -> DataFrame:
-    """Context length against quality: hits(method, ...), sizes(item_id, tokens)."""
+def context_size_report(hits: DataFrame, qrels: DataFrame, sizes: DataFrame, methods: list[str], bucket: int = 200) -> DataFrame:
+    """Context length against quality: hits(method, ...), sizes(item_id, tokens).
+
+    Every judged query counts for every method; one for which a method found nothing has an empty context.
+    """
     total = hits.join(sizes, "item_id").groupBy("method", "query_id").agg(F.sum("tokens").alias("context_tokens"))
-    methods = hits.select("method", "query_id").distinct()
-    by_method = methods.join(qrels, "query_id")
+    by_method = qrels.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
     quality = per_query(hits, by_method, K, "method")
     return (
-        quality.join(total, ["method", "query_id"])
+        quality.join(total, ["method", "query_id"], "left")
+        .withColumn("context_tokens", F.coalesce("context_tokens", F.lit(0.0)))
         .withColumn("bucket", (F.floor(F.col("context_tokens") / bucket) * bucket).cast("long"))
         .groupBy("method", "bucket")
         .agg(

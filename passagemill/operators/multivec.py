@@ -12,8 +12,10 @@ from pyspark.sql import types as T
 
 from passagemill.functions import vectors as V
 from passagemill.operators.search import _ARROW, DIGITS, Best, _ids, _in_blocks, ranked
+from passagemill.plans.session import cut_lineage
 
-SEGMENT = 256
+#: Vectors to a row while items are moved and packed.
+RUN = 256
 
 
 def batch_encode(df: DataFrame, key: str, text: str, load: Callable | None = None, batch: int = 32) -> DataFrame:
@@ -22,84 +24,94 @@ def batch_encode(df: DataFrame, key: str, text: str, load: Callable | None = Non
 
 
 def packed(tokens: DataFrame, key: str) -> DataFrame:
-    """(key, seg, n_seg, vecs): runs of at most SEGMENT vectors, so a huge item is many rows."""
-    rows = tokens.select(
-        key, F.floor(F.col("pos") / SEGMENT).alias("seg"), F.struct("pos", F.col("vec").cast(V.VECTOR).alias("vec")).alias("x")
-    )
-    runs = rows.groupBy(key, "seg").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    runs = runs.select(key, "seg", F.flatten(F.col("x.vec")).alias("flat"), F.size("x").alias("n"))
-    sizes = runs.groupBy(key).agg(F.count(F.lit(1)).alias("n_seg"))
-    return runs.join(sizes, key)
+    """(key, run, flat, n): runs of at most RUN vectors in the order of ``pos``. Rows without a vector are left out."""
+    full = V.as_vectors(V.as_arrays(tokens)).where(F.col(key).isNotNull())
+    rows = full.select(key, F.floor(F.col("pos") / RUN).alias("run"), F.struct("pos", "vec").alias("x"))
+    runs = rows.groupBy(key, "run").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return runs.select(key, "run", F.flatten(F.col("x.vec")).alias("flat"), F.size("x").alias("n"))
+
+
+def _vectors(side: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in order, where the vectors of each begin, and the vectors. All must have the same length."""
+    ids, n = _ids(side[key]), _ids(side["n"])
+    flat = side["flat"].combine_chunks()
+    sizes = np.diff(flat.offsets.to_numpy())
+    width = sizes[0] // n[0]
+    if (sizes != n * width).any():
+        raise ValueError("vectors of different lengths")
+    matrix = flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
+    order = np.argsort(ids, kind="stable")
+    rows = np.concatenate([np.arange(s, s + m) for s, m in zip((np.cumsum(n) - n)[order], n[order])])
+    names, first = np.unique(ids[order], return_index=True)
+    return names, (np.cumsum(n[order]) - n[order])[first], matrix[rows]
+
+
+def _sums(queries: np.ndarray, q_at: np.ndarray, items: np.ndarray, d_at: np.ndarray) -> np.ndarray:
+    """(queries, items): the best of the item's vectors for each of the query's, summed."""
+    if queries.shape[1] != items.shape[1]:
+        raise ValueError(f"queries have {queries.shape[1]} dimensions, items {items.shape[1]}")
+    return np.round(np.add.reduceat(np.maximum.reduceat(queries @ items.T, d_at, axis=1), q_at, axis=0), DIGITS)
+
+
+def _hit_schema(q_type: T.DataType, d_type: T.DataType) -> tuple[T.StructType, pa.Schema]:
+    fields = (("query_id", q_type), ("item_id", d_type), ("score", T.DoubleType()))
+    return T.StructType([T.StructField(n, t) for n, t in fields]), pa.schema([(n, _ARROW[t.typeName()]) for n, t in fields])
 
 
-def maxsim(queries: DataFrame, items: DataFrame, k: int | None = 5, block_runs: int = 256) -> DataFrame:
+def maxsim(queries: DataFrame, items: DataFrame, k: int | None = 5, block_runs: int = 64) -> DataFrame:
     """Late interaction: for each query vector the best of the item's vectors, summed.
 
-    ``queries(query_id, pos, vec)`` and ``items(item_id, pos, vec)``. Items of up to SEGMENT vectors
-    are scored whole and only each block's best ``k`` leave it. Longer ones are scored by segment:
-    their per-vector maxima are merged by key and then summed, so no item has to fit one task.
+    ``queries(query_id, pos, vec)`` and ``items(item_id, pos, vec)``. Blocks are dealt by a hash of the id, so an item of
+    any number of vectors is whole in its block, and only each block's best ``k`` leave it.
     """
     q, d = packed(queries, "query_id"), packed(items, "item_id")
-    q_type, d_type = q.schema["query_id"].dataType, d.schema["item_id"].dataType
-    schema = T.StructType(
-        [
-            T.StructField("query_id", q_type),
-            T.StructField("item_id", d_type),
-            T.StructField("seg", T.LongType()),
-            T.StructField("score", T.DoubleType()),
-            T.StructField("maxima", T.ArrayType(T.DoubleType())),
-        ]
-    )
-    arrow = pa.schema(
-        [
-            ("query_id", _ARROW[q_type.typeName()]),
-            ("item_id", _ARROW[d_type.typeName()]),
-            ("seg", pa.int64()),
-            ("score", pa.float64()),
-            ("maxima", pa.list_(pa.float64())),
-        ]
-    )
+    schema, arrow = _hit_schema(q.schema["query_id"].dataType, d.schema["item_id"].dataType)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return arrow.empty_table()
-        q_ids, d_ids = _ids(left["query_id"]), _ids(right["item_id"])
-        q_n, d_n = _ids(left["n"]), _ids(right["n"])
-        q_mat = left["flat"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(int(q_n.sum()), -1)
-        d_mat = right["flat"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(int(d_n.sum()), -1)
-        q_at, d_at = np.r_[0, np.cumsum(q_n)][:-1], np.r_[0, np.cumsum(d_n)][:-1]
-        q_seg, whole = _ids(left["seg"]), (_ids(left["n_seg"]) == 1)
-        d_whole = _ids(right["n_seg"]) == 1
-        best = Best(k, len(q_ids)) if k else None
-        out: list[tuple] = []
-        for i in range(len(q_ids)):
-            rows = q_mat[q_at[i] : q_at[i] + q_n[i]].astype(np.float64)
-            maxima = np.maximum.reduceat(rows @ d_mat.T.astype(np.float64), d_at, axis=1)
-            scores = np.round(maxima.sum(axis=0), DIGITS)
-            done = d_whole & whole[i]
-            if best is not None:
-                best.add(np.full(int(done.sum()), i), scores[done], d_ids[done])
-            else:
-                out += [(q_ids[i], d_ids[j], q_seg[i], scores[j], None) for j in np.flatnonzero(done)]
-            out += [(q_ids[i], d_ids[j], q_seg[i], None, maxima[:, j].tolist()) for j in np.flatnonzero(~done)]
-        if best is not None and best.ids is not None:
-            out += [(q_ids[a], b, 0, s, None) for a, b, s in zip(best.q, best.ids, best.score)]
-        columns = list(zip(*out)) if out else [[]] * 5
-        plain = [[x.item() if hasattr(x, "item") else x for x in c] for c in columns]
-        return pa.table([pa.array(c, type=t) for c, t in zip(plain, arrow.types)], schema=arrow)
+        q_ids, q_at, q_rows = _vectors(left, "query_id")
+        d_ids, d_at, d_rows = _vectors(right, "item_id")
+        best = Best(k or len(d_ids), len(q_ids))
+        ends = np.append(q_at, len(q_rows))
+        step = max(1, 20_000_000 // len(d_rows))  # numbers at once
+        start = 0
+        while start < len(q_ids):
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + step, side="right")) - 1)
+            scores = _sums(q_rows[ends[start] : ends[stop]], q_at[start:stop] - ends[start], d_rows, d_at)
+            at = np.repeat(np.arange(start, stop), len(d_ids))
+            best.add(at, scores.ravel(), np.tile(d_ids, stop - start))
+            start = stop
+        found = (q_ids[best.q], best.ids, best.score)
+        return pa.table([pa.array(x).cast(t) for x, t in zip(found, arrow.types)], schema=arrow)
 
     cell = F.lit(0).alias("cell")
-    met = _in_blocks(q.select("*", cell), d.select("*", cell), meet, schema, block_runs)
-    whole = met.where("score IS NOT NULL").select("query_id", "item_id", "score")
-    merged = (
-        met.where("score IS NULL")
-        .select("query_id", "item_id", "seg", F.posexplode("maxima").alias("pos", "best"))
-        .groupBy("query_id", "item_id", "seg", "pos")
-        .agg(F.max("best").alias("best"))
-        .groupBy("query_id", "item_id")
-        .agg(F.round(F.sum("best"), DIGITS).alias("score"))
-    )
-    return ranked(whole.unionByName(merged), k)
+    met = _in_blocks(q.select("*", cell), d.select("*", cell), meet, schema, block_runs, whole=("query_id", "item_id"))
+    return ranked(met, k)
+
+
+def maxsim_rerank(hits: DataFrame, queries: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
+    """The hits of a first stage, such as a search over cells or codes, in the order of their late-interaction score.
+
+    Only the vectors of the hits' items are read and scored.
+    """
+    pairs = cut_lineage(hits.select("query_id", "item_id").distinct(), "hits")
+    q = packed(queries, "query_id").select("query_id", F.col("flat").alias("q_flat"), F.col("n").alias("q_n"), F.col("run").alias("q_run"))
+    d = packed(items, "item_id").select("item_id", "flat", "n", "run")
+    schema, arrow = _hit_schema(q.schema["query_id"].dataType, d.schema["item_id"].dataType)
+
+    def score(group: pa.Table) -> pa.Table:
+        # every run of the query stands beside every run of the item
+        one = {c: group[c].to_numpy() for c in ("q_run", "run")}
+        left = group.filter(pa.array(one["run"] == one["run"].min())).select(["query_id", "q_flat", "q_n"]).rename_columns(["query_id", "flat", "n"])
+        right = group.filter(pa.array(one["q_run"] == one["q_run"].min())).select(["item_id", "flat", "n"])
+        q_ids, q_at, q_rows = _vectors(left, "query_id")
+        d_ids, d_at, d_rows = _vectors(right, "item_id")
+        found = (q_ids, d_ids, _sums(q_rows, q_at, d_rows, d_at).ravel())
+        return pa.table([pa.array(x).cast(t) for x, t in zip(found, arrow.types)], schema=arrow)
+
+    together = pairs.join(d, "item_id").join(q, "query_id").groupBy("query_id", "item_id")
+    return ranked(together.applyInArrow(score, schema), k)
 
 
 # ---- late chunking --------------------------------------------------------------------------

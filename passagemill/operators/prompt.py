@@ -9,13 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemill.functions import text as X
-from passagemill.operators.search import DIGITS
+from passagemill.operators.search import DIGITS, knn_exact
 
 BEGIN, END = "<bos>", "<eos>"
-INSTRUCTION = (
-    "Answer the question from the listed passages. Pick out what matters first, "
-    "reply with the answer alone, and explain it well."
-)
+TURN_START, TURN_STOP = "<start_of_turn>", "<end_of_turn>"
+SOURCES, ASKED, REPLY = "### Sources", "### Asked", "### Reply"
 
 
 def context_block(hits: DataFrame, text: str = "sentence_chunk") -> DataFrame:
@@ -33,20 +31,22 @@ def context_budget(hits: DataFrame, tokens: str = "chunk_token_count", limit: fl
 
 
 def examples_text(examples: list[tuple[str, str]]) -> str:
-    return "\n\n".join(f"Example {i}:\nQuery: {q}\nAnswer: {a}" for i, (q, a) in enumerate(examples, 1))
+    """Solved cases in the layout of the prompt itself, so that the open one ends the same series."""
+    return "\n".join(f"{ASKED}\n{q}\n{REPLY}\n{a}" for q, a in examples)
 
 
-def prompt_text(context: Column, query: Column, instruction: str = INSTRUCTION, examples: list[tuple[str, str]] | None = None) -> Column:
+def prompt_text(context: Column, query: Column, instruction: str, examples: list[tuple[str, str]] | None = None) -> Column:
     parts = [F.lit(instruction)]
     if examples:
         parts.append(F.lit(examples_text(examples)))
-    parts += [F.concat(F.lit("Passages:\n"), context), F.concat(F.lit("Question: "), query), F.lit("Answer:")]
-    return F.concat_ws("\n\n", *parts)
+    parts += [F.lit(SOURCES), context, F.lit(ASKED), query, F.lit(REPLY)]
+    return F.concat_ws("\n", *parts)
 
 
 def build_prompt(
-    queries: DataFrame, contexts: DataFrame, instruction: str = INSTRUCTION, examples: list[tuple[str, str]] | None = None
+    queries: DataFrame, contexts: DataFrame, instruction: str, examples: list[tuple[str, str]] | None = None
 ) -> DataFrame:
+    """(query_id, query, prompt). The instruction is the caller's; an unanswered query has an empty context."""
     joined = queries.select("query_id", F.col("text").alias("query")).join(contexts, "query_id", "left")
     context = F.coalesce("context", F.lit(""))
     return joined.select("query_id", "query", prompt_text(context, F.col("query"), instruction, examples).alias("prompt"))
@@ -56,16 +56,16 @@ def chat_template(
     turns: DataFrame,
     conv: str = "conv_id",
     turn: str = "turn",
-    start: str = "<start_of_turn>",
-    stop: str = "<end_of_turn>",
+    start: str = TURN_START,
+    stop: str = TURN_STOP,
     generation_role: str | None = "model",
     segment_turns: int = 1024,
 ) -> DataFrame:
     """Messages as one marked-up string per conversation.
 
-    A conversation is rendered in segments of ``segment_turns`` turns, so that a very long one is
-    spread over many rows; its segments put together in order are the whole string. The generation
-    prefix follows the last turn only.
+    The result has a row for every ``segment_turns`` turns of a conversation, numbered by ``segment``
+    (turn div ``segment_turns``), so that no row holds an unbounded text; the segments put together in
+    order are the whole string. The generation prefix follows the last turn only.
     """
     message = F.concat(F.lit(start), F.col("role"), F.lit("\n"), F.col("text"), F.lit(stop + "\n"))
     rows = turns.select(conv, F.floor(F.col(turn) / segment_turns).alias("segment"), F.struct(F.col(turn).alias("turn"), message.alias("m")).alias("x"))
@@ -77,6 +77,17 @@ def chat_template(
     return parts.join(ends, conv).select(conv, "segment", F.concat("text", prefix).alias("text"))
 
 
+def typed_text(parts: Column, image: str = "<image>") -> Column:
+    """Text of a message given as parts, array<struct<type, text>>: texts as they are, a mark for an image."""
+    shown = F.transform(parts, lambda p: F.when(p["type"] == "image", F.lit(image)).otherwise(F.coalesce(p["text"], F.lit(""))))
+    return F.array_join(shown, "\n")
+
+
+def as_chat(prompt: Column, role: str = "user", generation_role: str = "model", start: str = TURN_START, stop: str = TURN_STOP) -> Column:
+    """A prompt as a conversation of one message that the model is to continue."""
+    return F.concat(F.lit(f"{start}{role}\n"), prompt, F.lit(f"{stop}\n{start}{generation_role}\n"))
+
+
 def strip_answer(output: Column, prompt: Column, marks: tuple[str, ...] = (BEGIN, END)) -> Column:
     """Model output without the echoed prompt and the begin / end marks."""
     out = F.replace(output, prompt, F.lit(""))
@@ -85,15 +96,19 @@ def strip_answer(output: Column, prompt: Column, marks: tuple[str, ...] = (BEGIN
     return out
 
 
-def contrastive_examples(hits: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per query its nearest correct and nearest incorrect example from a labelled pool."""
-    marked = hits.join(labels.select("item_id", "correct"), "item_id")
-    best = F.struct(F.col("score"), -F.col("rank"))
+def contrastive_examples(queries: DataFrame, pool: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per query the nearest correct and the nearest incorrect example of the whole labelled pool.
+
+    ``pool(item_id, vec)``, ``labels(item_id, correct)`` with 1 and 0. One pass over the pool keeps the best of
+    either kind; a kind that the pool lacks is NULL.
+    """
+    marked = pool.select("item_id", "vec").join(labels.where("correct IN (0, 1)").select("item_id", "correct"), "item_id")
+    nearest = knn_exact(queries, marked, 1, lane="correct")
 
-    def nearest(flag: int) -> Column:
-        return F.max_by(F.when(F.col("correct") == flag, F.col("item_id")), F.when(F.col("correct") == flag, best))
+    def of(flag: int) -> Column:
+        return F.max(F.when(F.col("correct") == flag, F.col("item_id")))
 
-    return marked.groupBy("query_id").agg(nearest(1).alias("good_example"), nearest(0).alias("bad_example"))
+    return nearest.groupBy("query_id").agg(of(1).alias("good_example"), of(0).alias("bad_example"))
 
 
 # ---- answering ------------------------------------------------------------------------------
@@ -135,23 +150,29 @@ def best_sentence(context: Column, query: Column) -> Column:
 def batch_ask(
     queries: DataFrame,
     hits: DataFrame,
+    instruction: str,
     text: str = "sentence_chunk",
     generate: Callable[[Column], Column] | None = None,
     examples: list[tuple[str, str]] | None = None,
     return_answer_only: bool = True,
+    format_answer_text: bool = True,
+    chat: bool = True,
 ) -> DataFrame:
     """Answer a table of queries from their hits.
 
-    A plugged-in generator gets the prompt; without one the answer is extracted from the context.
-    ``return_answer_only=False`` also returns the prompt and the context items with their scores.
+    A plugged-in generator gets the prompt as a chat (``chat=False``: bare); without one the answer is
+    extracted from the context. ``format_answer_text=False`` returns the output as it came, with echo and
+    marks. ``return_answer_only=False`` also returns the prompt and the context items with their scores.
     """
     contexts = context_block(hits, text)
-    prompts = build_prompt(queries, contexts, examples=examples).join(contexts, "query_id", "left")
+    prompts = build_prompt(queries, contexts, instruction, examples).join(contexts, "query_id", "left")
+    if chat:
+        prompts = prompts.withColumn("prompt", as_chat(F.col("prompt")))
     if generate is None:
         echoed = F.concat(F.lit(BEGIN), F.col("prompt"), best_sentence(F.coalesce("context", F.lit("")), F.col("query")), F.lit(END))
     else:
         echoed = generate(F.col("prompt"))
-    answered = prompts.withColumn("answer", strip_answer(echoed, F.col("prompt")))
+    answered = prompts.withColumn("answer", strip_answer(echoed, F.col("prompt")) if format_answer_text else echoed)
     if return_answer_only:
         return answered.select("query_id", "query", "answer")
     used = hits.groupBy("query_id").agg(

@@ -1,9 +1,9 @@
 """Exact vector search.
 
-Scores come from matrix products over Arrow batches, and only the best ``k`` per query leave a task.
-A query table of checked size travels to every task and the items are scanned in place, with no
-shuffle of vectors. A larger one is cut into blocks, and every query block meets every item block
-through an equi-join on the block pair; both routes give the same rows.
+Queries are packed into rows of at most ``QUERY_ROWS`` vectors and stored, so that the planner knows their size; items
+are packed into rows of an Arrow batch, and the two meet in an equi-join on the number of the query block. Few queries
+are broadcast by the planner and the items scanned in place; many are shuffled. Scores come from matrix
+products, and only the best ``k`` per query leave a task.
 """
 
 from __future__ import annotations
@@ -26,12 +26,17 @@ _ARROW = {"long": pa.int64(), "integer": pa.int32(), "string": pa.string(), "dou
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors as rows. All must have the same length."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if len(column) == 0:
         return np.zeros((0, 0))
-    if pa.types.is_binary(column.type):  # packed float32, all rows of one width
-        ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    packed = pa.types.is_binary(column.type)  # float32 numbers
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    widths = np.diff(ends)
+    if (widths != widths[0]).any():
+        raise ValueError(f"vectors of different lengths: {sorted(set((widths // (4 if packed else 1)).tolist()))[:5]}")
+    if packed:
         raw = np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
         return raw.view(np.float32).reshape(len(column), -1).astype(np.float64)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -98,47 +103,52 @@ def _ids(column) -> np.ndarray:
     return out.astype(str) if out.dtype == object else out
 
 
-def _block_kernel(k: int | None, metric: str, skip_self: bool, low: float | None):
-    """(queries, item batches) -> arrays of (query id, item id, score, lane).
+class Scan:
+    """Best items for one block of queries while item batches go by: (query id, item id, score, lane).
 
     Items may carry a lane; the best ``k`` are then kept for each query and lane.
     """
 
-    def run(q_ids: np.ndarray, queries: np.ndarray, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        if len(q_ids) == 0:
-            return
-        queries = _scale(queries, metric)
-        step = max(1, 4_000_000 // len(q_ids))
-        kept: dict = {}
-        for all_ids, all_items, lanes in batches:
-            present = np.unique(lanes)
-            for lane in present:
-                mine = lanes == lane if len(present) > 1 else slice(None)  # no copy for a single lane
-                ids, items = all_ids[mine], _scale(all_items[mine], metric)
-                best = kept.setdefault(lane, Best(k, len(q_ids))) if k else None
-                for start in range(0, len(ids), step):
-                    part = slice(start, start + step)
-                    at, score, found = _score_batch(best, q_ids, queries, ids[part], items[part], skip_self, low)
-                    if best is not None:
-                        best.add(at, score, found)
-                    else:
-                        yield q_ids[at], found, score, np.repeat(lane, len(at))
-        for lane, best in kept.items():
+    def __init__(self, q_ids: np.ndarray, queries: np.ndarray, k: int | None, metric: str, skip_self: bool, low: float | None):
+        self.q_ids, self.queries, self.k = q_ids, _scale(queries, metric), k
+        self.metric, self.skip_self, self.low = metric, skip_self, low
+        self.kept: dict = {}
+
+    def add(self, all_ids: np.ndarray, all_items: np.ndarray, lanes: np.ndarray):
+        """Without ``k``, everything that counts comes out at once."""
+        if self.queries.shape[1] != all_items.shape[1]:
+            raise ValueError(f"queries have {self.queries.shape[1]} dimensions, items {all_items.shape[1]}")
+        step = max(1, 4_000_000 // len(self.q_ids))
+        present = np.unique(lanes)
+        for lane in present:
+            mine = lanes == lane if len(present) > 1 else slice(None)  # no copy for a single lane
+            ids, items = all_ids[mine], _scale(all_items[mine], self.metric)
+            best = self.kept.setdefault(lane, Best(self.k, len(self.q_ids))) if self.k else None
+            for start in range(0, len(ids), step):
+                part = slice(start, start + step)
+                at, score, found = _score_batch(best, self.q_ids, self.queries, ids[part], items[part], self.skip_self, self.low)
+                if best is not None:
+                    best.add(at, score, found)
+                else:
+                    yield self.q_ids[at], found, score, np.repeat(lane, len(at))
+
+    def rest(self):
+        for lane, best in self.kept.items():
             if best.ids is not None:
-                yield q_ids[best.q], best.ids, best.score, np.repeat(lane, len(best.q))
-
-    return run
+                yield self.q_ids[best.q], best.ids, best.score, np.repeat(lane, len(best.q))
 
 
 def _sides(queries: DataFrame, items: DataFrame, lane: str | None = None):
-    """Both sides with float or packed vectors and a lane, and the schema of their hits."""
+    """Both sides with an id, float or packed vectors and a lane, and the schema of their hits.
+
+    A lane travels as text behind a mark, and a NULL one as the empty text: it is a lane of its own.
+    """
 
     def side(df: DataFrame, *columns) -> DataFrame:
-        if isinstance(df.schema["vec"].dataType, T.BinaryType):
-            return df.where("vec IS NOT NULL AND octet_length(vec) > 0").select(*columns, F.col("vec").alias("vec"))
-        return df.where("vec IS NOT NULL AND size(vec) > 0").select(*columns, F.col("vec").cast(V.VECTOR).alias("vec"))
+        rows = V.as_vectors(df).where(F.col(columns[0]).isNotNull())
+        return rows.select(*columns, "vec")
 
-    lane_column = F.col(lane) if lane else F.lit(0)
+    lane_column = F.coalesce(F.concat(F.lit("="), F.col(lane).cast("string")), F.lit("")) if lane else F.lit("")
     extra = ["cell"] if "cell" in queries.columns else []
     q = side(queries, "query_id", *extra)
     d = side(items, "item_id", lane_column.alias("lane"), *extra)
@@ -163,53 +173,128 @@ def _tabled(arrow: pa.Schema) -> Callable:
 def knn_in_cells(queries: DataFrame, items: DataFrame, k: int, metric: str = "dot", skip_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Best ``k`` among the items that share a cell with the query; both sides carry ``cell``."""
     q, d, schema, arrow = _sides(queries, items)
-    kernel = _block_kernel(k, metric, skip_self, None)
-    found = _in_blocks(q, d, _meeting(kernel, _tabled(arrow), arrow), schema, block_rows).drop("lane")
+    found = _in_blocks(q, d, _meeting((k, metric, skip_self, None), _tabled(arrow), arrow), schema, block_rows).drop("lane")
     # a pair may share several cells
     return ranked(found.groupBy("query_id", "item_id").agg(F.max("score").alias("score")), k)
 
 
-def _scored(
-    queries: DataFrame, items: DataFrame, kernel: Callable, query_rows: int, block_rows: int, lane: str | None = None
-) -> DataFrame:
-    q, d, schema, arrow = _sides(queries, items, lane)
-    table = _tabled(arrow)
+def _kind(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
 
-    head = q.limit(query_rows + 1).toArrow()  # reads no more than the bound
-    if head.num_rows <= query_rows:
-        shared = q.sparkSession.sparkContext.broadcast((_ids(head["query_id"]), _matrix(head["vec"])))
 
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q_ids, matrix = shared.value
-            pieces = ((_ids(b["item_id"]), _matrix(b["vec"]), _ids(b["lane"])) for b in batches if b.num_rows)
-            for found in kernel(q_ids, matrix, pieces):
-                yield table(found)
+def _stored_blocks(df: DataFrame, key: str, rows: int) -> tuple[DataFrame, int]:
+    """(block, ids, lanes, vecs): ``df`` in stored rows of about ``rows`` vectors, and how many blocks there are."""
+    blocks = max(1, -(-df.count() // rows))
+    lane = F.col("lane") if "lane" in df.columns else F.lit("").alias("lane")
+    placed = df.select(F.pmod(F.xxhash64(key, "vec"), F.lit(blocks)).cast("int").alias("block"), F.col(key).alias("id"), lane, "vec")
 
-        out = d.mapInArrow(scan, schema)
-    else:
-        whole = F.lit(0).alias("cell")
-        out = _in_blocks(q.select("*", whole), d.select("*", whole), _meeting(kernel, table, arrow), schema, 2 * block_rows, block_rows)
-    return out.withColumnRenamed("lane", lane) if lane else out.drop("lane")
+    def pack(group: pa.Table) -> pa.Table:
+        return pa.table({"block": group["block"].slice(0, 1), **{c: x for c, x in _packed_row(group["id"], group["lane"], group["vec"]).items()}})
+
+    schema = f"block int, ids array<{_kind(df, key)}>, lanes array<string>, vecs binary"
+    return cut_lineage(placed.groupBy("block").applyInArrow(pack, schema), "blocks"), blocks
+
+
+def _packed_row(ids, lanes, vecs) -> dict:
+    ids, lanes = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (ids, lanes))
+    ends = pa.array([0, len(ids)], pa.int32())
+    raw = _matrix(vecs).astype("<f4").tobytes()
+    return {"ids": pa.ListArray.from_arrays(ends, ids), "lanes": pa.ListArray.from_arrays(ends, lanes), "vecs": pa.array([raw], pa.binary())}
+
+
+def _parts(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """(ids, lanes, vecs): ``df`` packed where it is, batch by batch."""
+    lane = F.col("lane") if "lane" in df.columns else F.lit("").alias("lane")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                row = _packed_row(*(part.column(i) for i in range(3)))
+                yield pa.RecordBatch.from_arrays(list(row.values()), list(row))
 
+    return df.select(F.col(key).alias("id"), lane, "vec").mapInArrow(pack, f"ids array<{_kind(df, key)}>, lanes array<string>, vecs binary")
 
-def _meeting(kernel: Callable, table: Callable, arrow: pa.Schema) -> Callable:
+
+HELD_BLOCKS = 4
+
+
+def _scored(
+    queries: DataFrame,
+    items: DataFrame,
+    scan: tuple,
+    query_rows: int,
+    block_rows: int,
+    lane: str | None = None,
+    move_items: bool = False,
+) -> DataFrame:
+    """``scan``: (k, metric, skip_self, low). With ``move_items`` the items are the side in stored blocks, for few items
+    and many queries; the queries are then scanned in place."""
+    q, d, schema, arrow = _sides(queries, items, lane)
+    table = _tabled(arrow)
+    if move_items:
+        moved, blocks = _stored_blocks(d, "item_id", query_rows)
+        parts = _parts(q, "query_id", block_rows)
+    else:
+        moved, blocks = _stored_blocks(q, "query_id", query_rows)
+        parts = _parts(d, "item_id", block_rows)
+    numbered = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = numbered.join(moved.select("block", *(F.col(c).alias(f"m_{c}") for c in ("ids", "lanes", "vecs"))), "block")
+
+    def side(row: dict, prefix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = _ids(row[f"{prefix}ids"].values)
+        return ids, np.frombuffer(row[f"{prefix}vecs"].as_buffer(), "<f4").reshape(len(ids), -1).astype(np.float64), _ids(row[f"{prefix}lanes"].values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Scan] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(j)[i] for j, name in enumerate(batch.schema.names)}
+                here, there = side(row, ""), side(row, "m_")
+                if move_items:
+                    one = Scan(here[0], here[1], *scan)
+                    for found in one.add(*there):
+                        yield table(found)
+                    for found in one.rest():
+                        yield table(found)
+                    continue
+                block = row["block"].as_py()
+                if block not in held:
+                    if len(held) >= HELD_BLOCKS:  # what is put out early is ranked with the rest
+                        yield from (table(found) for one in held.values() for found in one.rest())
+                        held = {}
+                    held[block] = Scan(there[0], there[1], *scan)
+                for found in held[block].add(*here):
+                    yield table(found)
+        yield from (table(found) for one in held.values() for found in one.rest())
+
+    out = met.mapInArrow(run, schema)
+    if not lane:
+        return out.drop("lane")
+    return out.withColumn("lane", F.expr("CASE WHEN lane <> '' THEN substr(lane, 2) END").cast(items.schema[lane].dataType)).withColumnRenamed("lane", lane)
+
+
+def _meeting(scan: tuple, table: Callable, arrow: pa.Schema) -> Callable:
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
         if left.num_rows and right.num_rows:
-            pieces = iter([(_ids(right["item_id"]), _matrix(right["vec"]), _ids(right["lane"]))])
-            parts = [table(found) for found in kernel(_ids(left["query_id"]), _matrix(left["vec"]), pieces)]
+            one = Scan(_ids(left["query_id"]), _matrix(left["vec"]), *scan)
+            parts = [table(x) for x in one.add(_ids(right["item_id"]), _matrix(right["vec"]), _ids(right["lane"]))]
+            parts += [table(x) for x in one.rest()]
         return pa.Table.from_batches(parts, schema=arrow)
 
     return meet
 
 
-def _in_blocks(q: DataFrame, d: DataFrame, meet: Callable, schema: T.StructType, q_rows: int, d_rows: int | None = None) -> DataFrame:
+def _in_blocks(
+    q: DataFrame, d: DataFrame, meet: Callable, schema: T.StructType, q_rows: int, d_rows: int | None = None, whole: tuple[str, str] | None = None
+) -> DataFrame:
     """Every query of a cell meets every item of that cell, in blocks of bounded size.
 
     Both sides carry ``cell``. A cell is cut into as many query and item blocks as its two counts
     ask for, each query block is sent to all item blocks of its cell and the other way round, and an
     equi-join on (cell, query block, item block) brings them together. A cell that holds a third of
-    all rows becomes many equal blocks.
+    all rows becomes many equal blocks. ``whole`` names a column of either side whose equal rows stay in one block.
     """
 
     def parts(df: DataFrame, rows: int, name: str) -> DataFrame:
@@ -218,9 +303,9 @@ def _in_blocks(q: DataFrame, d: DataFrame, meet: Callable, schema: T.StructType,
     # stored, so that the planner knows it for the small table it is
     shape = cut_lineage(parts(q, q_rows, "q_parts").join(parts(d, d_rows or q_rows, "d_parts"), "cell"), "shape")
 
-    def laid_out(df: DataFrame, own: str, other: str, own_parts: str, other_parts: str) -> DataFrame:
+    def laid_out(df: DataFrame, own: str, other: str, own_parts: str, other_parts: str, together: str | None) -> DataFrame:
         # hashing the whole row spreads equal ids as well
-        row = F.xxhash64(*[c for c in df.columns if c != "cell"])
+        row = F.xxhash64(*([together] if together else [c for c in df.columns if c != "cell"]))
         return (
             df.join(shape, "cell")
             .withColumn(own, F.pmod(row, F.col(own_parts)).cast("int"))
@@ -229,8 +314,8 @@ def _in_blocks(q: DataFrame, d: DataFrame, meet: Callable, schema: T.StructType,
         )
 
     keys = ["cell", "q_block", "d_block"]
-    q_side = laid_out(q, "q_block", "d_block", "q_parts", "d_parts")
-    d_side = laid_out(d, "d_block", "q_block", "d_parts", "q_parts")
+    q_side = laid_out(q, "q_block", "d_block", "q_parts", "d_parts", whole[0] if whole else None)
+    d_side = laid_out(d, "d_block", "q_block", "d_parts", "q_parts", whole[1] if whole else None)
     return q_side.groupBy(*keys).cogroup(d_side.groupBy(*keys)).applyInArrow(meet, schema)
 
 
@@ -250,12 +335,15 @@ def knn_exact(
     lane: str | None = None,
     query_rows: int = QUERY_ROWS,
     block_rows: int = BLOCK_ROWS,
+    move_items: bool = False,
 ) -> DataFrame:
     """Best ``k`` items per query: (query_id, item_id, score, rank). More than there are gives all.
 
-    With ``lane``, a column of the items, the best ``k`` per query and lane in the same one pass.
+    With ``lane``, a column of the items, the best ``k`` per query and lane in the same one pass; a NULL lane is a
+    lane of its own. ``move_items`` is for few items (classes, centres) and many queries, which then stay in
+    place. Rows without an id or a vector are not searched; vectors of different lengths raise.
     """
-    scored = _scored(queries, items, _block_kernel(k, metric, skip_self, None), query_rows, block_rows, lane)
+    scored = _scored(queries, items, (k, metric, skip_self, None), query_rows, block_rows, lane, move_items)
     return ranked(scored, k, "query_id", *([lane] if lane else []))
 
 
@@ -263,14 +351,14 @@ def score_all_pairs(
     queries: DataFrame, items: DataFrame, metric: str = "dot", query_rows: int = QUERY_ROWS, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """The whole score matrix in long form, for callers that want it; searches keep the best k only."""
-    return _scored(queries, items, _block_kernel(None, metric, False, None), query_rows, block_rows)
+    return _scored(queries, items, (None, metric, False, None), query_rows, block_rows)
 
 
 def pairs_above(
     queries: DataFrame, items: DataFrame, low: float, metric: str = "cosine", query_rows: int = QUERY_ROWS, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Pairs scoring at least ``low``, a row never paired with itself."""
-    return _scored(queries, items, _block_kernel(None, metric, True, low), query_rows, block_rows)
+    return _scored(queries, items, (None, metric, True, low), query_rows, block_rows)
 
 
 def hits_with_text(hits: DataFrame, items: DataFrame, item: str = "item_id") -> DataFrame:
@@ -293,15 +381,10 @@ def search_report(hits: DataFrame, chunks: DataFrame, digits: int = 4) -> DataFr
     rows = hits_with_text(hits, chunks.withColumnRenamed("chunk_id", "item_id"))
     # scores carry six decimals; a nudge below that sends every half up, whatever prints it
     rows = rows.withColumn("score", F.round(F.col("score") + 1e-9, digits))
-    shown = F.format_string("Score: %.4f | Page number: %d | Text: %s", "score", "page_number", "sentence_chunk")
+    shown = F.format_string("[%.4f] p. %d: %s", "score", "page_number", "sentence_chunk")
     return rows.select("query_id", "rank", "item_id", "score", "page_number", "sentence_chunk", shown.alias("line"))
 
 
-def random_vectors(spark, n: int, dim: int, seed: str = "load") -> DataFrame:
-    """Synthetic vectors for load tests, the same on every run."""
-    return random_vectors_like(spark.range(n).withColumnRenamed("id", "vec_id"), "vec_id", 1, dim, seed)
-
-
 def random_vectors_like(df: DataFrame, key: str, times: int, dim: int, seed: str = "load") -> DataFrame:
     """``times`` vectors for every row of ``df``, their numbers drawn from a hash of key and place."""
     span = float(2**63)
@@ -318,7 +401,7 @@ def random_vectors_like(df: DataFrame, key: str, times: int, dim: int, seed: str
 
 def zero_shot_label(items: DataFrame, classes: DataFrame) -> DataFrame:
     """Label of the nearest class vector: classes(label, vec)."""
-    hits = knn_exact(items.withColumnRenamed("item_id", "query_id"), classes.withColumnRenamed("label", "item_id"), 1, "cosine")
+    hits = knn_exact(items.withColumnRenamed("item_id", "query_id"), classes.withColumnRenamed("label", "item_id"), 1, "cosine", move_items=True)
     return hits.select(F.col("query_id").alias("item_id"), F.col("item_id").alias("label"), "score")
 
 
@@ -344,8 +427,8 @@ def rerank(hits: DataFrame, queries: DataFrame, items: DataFrame, k: int = 5, sc
     """Reorder candidate hits by a second scorer; only the candidates are read and scored."""
     pairs = (
         cut_lineage(hits.select("query_id", "item_id", F.col("rank").alias("first_rank")), "hits")
-        .join(items.select("item_id", F.col("vec").alias("d_vec")), "item_id")
-        .join(queries.select("query_id", F.col("vec").alias("q_vec")), "query_id")
+        .join(V.as_arrays(items).select("item_id", F.col("vec").alias("d_vec")), "item_id")
+        .join(V.as_arrays(queries).select("query_id", F.col("vec").alias("q_vec")), "query_id")
     )
     rescored = pairs.withColumn("score", F.round(scorer(F.col("q_vec"), F.col("d_vec")), DIGITS)).drop("q_vec", "d_vec")
     return ranked(rescored, k)

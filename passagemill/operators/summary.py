@@ -38,11 +38,11 @@ def _quantiles_by_range(counted: DataFrame, probs: tuple[float, ...]) -> DataFra
     return each.groupBy("metric").agg(F.transform(listed, lambda x: x["v"]).alias("q"))
 
 
-def describe_numeric(df: DataFrame, columns: list[str], approximate: bool = False, small: int = 100_000) -> DataFrame:
+def describe_numeric(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
     """count, mean, sample deviation, min, quartiles and max per column, two decimals.
 
-    Rows are counted per distinct value first. Up to ``small`` distinct values the quartiles come
-    from Spark's percentile over those counts, beyond that from a range-partitioned search; both are exact.
+    Rows are counted per distinct value first; quartiles come from a range-partitioned search over the counts, the
+    deviation from the distances to the mean, which large values do not wash out.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])
     values = df.select(F.inline(pairs)).where(F.col("value").isNotNull())
@@ -58,19 +58,15 @@ def describe_numeric(df: DataFrame, columns: list[str], approximate: bool = Fals
     else:
         v, n = F.col("value"), F.col("n")
         counted = cut_lineage(values.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("n")), "values")
-        total, first = F.sum("n"), F.sum(v * n)
-        second = F.sum(v * v * n)
-        moments = [
-            total.alias("count"),
-            (first / total).alias("mean"),
-            F.when(total > 1, F.sqrt(F.greatest((second - first * first / total) / (total - 1), F.lit(0.0)))).alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-        ]
-        if counted.count() <= small:
-            stats = counted.groupBy("metric").agg(*moments, F.percentile("value", list(QUARTILES), n).alias("q"))
-        else:
-            stats = counted.groupBy("metric").agg(*moments).join(_quantiles_by_range(counted, QUARTILES), "metric")
+        total = F.sum("n")
+        basic = counted.groupBy("metric").agg(
+            total.alias("count"), (F.sum(v * n) / total).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max")
+        )
+        basic = cut_lineage(basic, "means")  # a row for each column
+        apart = counted.join(basic.select("metric", "mean"), "metric").groupBy("metric").agg(F.sum((v - F.col("mean")) ** 2 * n).alias("apart"))
+        std = F.when(F.col("count") > 1, F.sqrt(F.col("apart") / (F.col("count") - 1))).alias("std")
+        spread = basic.join(apart, "metric").select("metric", "count", "mean", std, "min", "max")
+        stats = spread.join(_quantiles_by_range(counted, QUARTILES), "metric")
     q = F.col("q")
     return stats.select(
         "metric",

@@ -35,6 +35,8 @@ def salted_join(
     partial aggregation over ``big``. Without a heavy key the join stays a plain one. With some, at
     most ``parts`` keys are stored, and ``small`` rows are repeated for those alone.
     """
+    if how not in ("inner", "left"):
+        raise ValueError("rows of the small side are repeated, so only inner and left joins keep their meaning")
     spark = big.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if key_counts is None:

@@ -64,9 +64,12 @@ def load_eval_triple(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, sp
 
 
 def load_qa_dataset(rows: DataFrame, query_id: str, query: str, item: str, text: str):
-    """One row per question; the row's own item is the relevant one, and items are listed once."""
+    """One row per question; the row's own item is the relevant one, and every item is listed once.
+
+    Rows of one item must agree on its text: an item with two texts is listed with both.
+    """
     queries = rows.select(F.col(query_id).alias("query_id"), F.col(query).alias("text"))
-    corpus = rows.groupBy(F.col(item).alias("item_id")).agg(F.min(text).alias("text"))
+    corpus = rows.select(F.col(item).alias("item_id"), F.col(text).alias("text")).distinct()
     qrels = rows.select(
         F.col(query_id).alias("query_id"), F.col(item).alias("item_id"), F.lit(1).alias("relevance")
     ).distinct()

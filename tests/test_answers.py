@@ -48,14 +48,14 @@ def test_bm25_prefers_rare_words(spark):
 def test_prompt_and_answer_round_trip(spark):
     hits = frame(spark, [(1, 7, 0.9, 1, "Cats purr. Dogs bark."), (1, 8, 0.5, 2, "Fish swim.")], "query_id long, item_id long, score double, rank int, sentence_chunk string")
     asked = frame(spark, [(1, "what do dogs do"), (2, "no context")], "query_id long, text string")
-    out = {r.query_id: r for r in prompt.batch_ask(asked, hits, return_answer_only=False).collect()}
+    out = {r.query_id: r for r in prompt.batch_ask(asked, hits, "Use the sources.", return_answer_only=False).collect()}
     assert out[1].answer == "Dogs bark." and out[2].answer == ""
     assert "- Cats purr. Dogs bark.\n- Fish swim." in out[1].prompt and out[1]["items"][0].score == 0.9
 
     def load():
         return lambda prompts: [f"{prompt.BEGIN}{p}answer{prompt.END}" for p in prompts]
 
-    plugged = prompt.batch_ask(asked, hits, generate=prompt.plug_in(load)).collect()
+    plugged = prompt.batch_ask(asked, hits, "Use the sources.", generate=prompt.plug_in(load)).collect()
     assert {r.answer for r in plugged} == {"answer"}
 
 

@@ -97,6 +97,56 @@ def test_lanes(spark, table):
     assert [r.item_id for r in top] == sorted(firsts, key=lambda i: (-scores[i], i))[:3]
 
 
+def test_lanes_may_be_null(spark, table):
+    x, items = table
+    queries = items.where("item_id < 4").withColumnRenamed("item_id", "query_id")
+    for lane in (F.when(F.col("item_id") % 2 == 0, F.lit("None")), F.when(F.col("item_id") % 2 == 0, F.lit(7))):
+        got = search.knn_exact(queries, items.withColumn("store", lane), 2, lane="store").where("query_id = 1").orderBy("store", "rank").collect()
+        want = [[i for i in best(x, x[1], 300) if i % 2 == side][:2] for side in (1, 0)]
+        assert [r.item_id for r in got] == want[0] + want[1] and [r.store is None for r in got] == [True, True, False, False]
+
+
+def test_vectors_of_different_lengths_are_an_error(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vec array<float>")
+    d = spark.createDataFrame([(1, [1.0, 0.0, 2.0]), (2, [1.0])], "item_id long, vec array<float>").coalesce(1)
+    with pytest.raises(Exception, match="different lengths"):
+        search.knn_exact(q, d, 1).collect()
+    with pytest.raises(Exception, match="dimensions"):
+        search.knn_exact(q, d.where("item_id = 1"), 1).collect()
+
+
+def test_rows_without_vector_or_id(spark, table):
+    x, items = table
+    queries = items.where("item_id < 3").withColumnRenamed("item_id", "query_id")
+    odd = items.unionByName(spark.createDataFrame([(500, None), (None, x[0].tolist())], "item_id long, vec array<float>"))
+    got = search.knn_exact(queries, odd, 2).orderBy("query_id", "rank").collect()
+    assert [r.item_id for r in got] == [i for q in range(3) for i in best(x, x[q], 2)]
+    tokens = odd.withColumn("pos", F.lit(0))
+    assert multivec.maxsim(queries.withColumn("pos", F.lit(0)), tokens, 1).count() == 3
+
+
+def test_few_items_for_many_queries(spark, table):
+    x, items = table
+    many = items.withColumnRenamed("item_id", "query_id")
+    few = items.where("item_id < 6")
+    a, b = (search.knn_exact(many, few, 2, move_items=m, query_rows=4).orderBy("query_id", "rank").collect() for m in (False, True))
+    assert a == b and len(a) == 600
+
+
+def test_packed_vectors_everywhere(spark, table, tmp_path):
+    x, items = table
+    stores.write_vectors_parquet(items, str(tmp_path / "p"), packed="vec")
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    queries = items.where("item_id < 5").withColumnRenamed("item_id", "query_id")
+    for search_with in (lambda q, d: ann.knn_lsh(q, d, DIM, 3, 4, 4), lambda q, d: search.rerank(search.knn_exact(q, d, 9), q, d, 3)):
+        one, two = (search_with(queries, d).orderBy("query_id", "rank").collect() for d in (items, stored))
+        assert [(r.query_id, r.item_id) for r in one] == [(r.query_id, r.item_id) for r in two]
+    model = ann.fit_cells(stored, 4)
+    assert ann.to_cells(stored, model).count() == 300
+    pos = F.lit(0).alias("pos")
+    assert multivec.maxsim(queries.select("query_id", pos, "vec"), stored.select("item_id", pos, "vec"), 2).count() == 10
+
+
 def test_csv_round_trip_and_index(spark, table):
     _, items = table
     path = fresh_path(spark, "csv")
@@ -136,7 +186,7 @@ def test_hot_cell_is_cut_into_blocks(spark, table):
 
 @pytest.mark.parametrize("segment", [256, 8])
 def test_maxsim_long_items(spark, table, monkeypatch, segment):
-    monkeypatch.setattr(multivec, "SEGMENT", segment)
+    monkeypatch.setattr(multivec, "RUN", segment)
     x, items = table
     owner = np.array([0] * 150 + list(np.arange(150) // 10 + 1))  # item 0 has half of all vectors
     rows = [(int(owner[i]), i, x[i].tolist()) for i in range(300)]
@@ -150,6 +200,11 @@ def test_maxsim_long_items(spark, table, monkeypatch, segment):
         for b in range(16)
     }
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-5 for p in want)
+    few = spark.createDataFrame([(a, b) for a in range(4) for b in (0, 3, 9)], "query_id long, item_id long")
+    some = multivec.maxsim_rerank(few, q, d, 2).collect()
+    for a in range(4):
+        order = sorted((0, 3, 9), key=lambda b: (-round(want[a, b], 6), b))[:2]
+        assert [r.item_id for r in sorted(some, key=lambda r: r.rank) if r.query_id == a] == order
     top = multivec.maxsim(q, d, 3, block_runs=2).where("query_id = 1").orderBy("rank").collect()
     assert [r.item_id for r in top] == [b for _, b in sorted((-round(want[1, b], 6), b) for b in range(16))[:3]]
 
