@@ -44,6 +44,8 @@ INTEGER_COLUMNS = {
     "knn_lsh": "rank",
     "maxsim": "rank",
     "maxsim_rerank": "rank",
+    "knn_ivf": "rank",
+    "pq_encode": "rank",
     "batch_encode": "pos",
     "late_chunk_pool": "span_no pos",
     "late_chunk_long": "span_no pos",

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.functions import vectors as V
-from passagemill.operators.search import knn_exact, knn_in_cells
+from passagemill.operators.search import knn_codes, knn_exact, knn_in_cells, zero_shot_label
+from passagemill.plans.session import cut_lineage
+from passagemill.sources.stores import write_vectors_parquet
 
 def fitted_on(items: DataFrame, fraction: float) -> DataFrame:
     """Rows to fit a codebook on: all of them unless the caller asks for a share, taken by a hash of the id."""
@@ -46,6 +48,22 @@ def knn_ivf(queries: DataFrame, items: DataFrame, model: KMeansModel, k: int = 5
     return knn_in_cells(probe_cells(queries, model, n_probe), items, k, "dot", skip_self)
 
 
+def store_cells(items: DataFrame, centres: DataFrame, path: str) -> None:
+    """The index as a table: ``items`` laid out by the nearest of the given ``centres(label, vec)``."""
+    near = zero_shot_label(items, centres).select("item_id", F.col("label").alias("cell"))
+    write_vectors_parquet(items.join(near, "item_id"), path, cell="cell", mode="overwrite")
+
+
+def knn_stored_cells(queries: DataFrame, stored: DataFrame, centres: DataFrame, k: int = 5, n_probe: int = 4, skip_self: bool = False) -> DataFrame:
+    """Search a table written by ``store_cells``: only the folders of cells that some query looks into are read."""
+    named = centres.select(F.col("label").alias("item_id"), "vec")
+    near = knn_exact(queries, named, n_probe, "cosine", move_items=True).select("query_id", F.col("item_id").alias("cell"))
+    probes = cut_lineage(near, "probes")
+    # at most as many as there are centres; as literals they are partition filters
+    asked = [r["cell"] for r in probes.select("cell").distinct().collect()]
+    return knn_in_cells(queries.join(probes, "query_id"), stored.where(F.col("cell").isin(asked)), k, "dot", skip_self)
+
+
 # ---- sign hashing ---------------------------------------------------------------------------
 
 
@@ -114,7 +132,7 @@ def pq_encode(vec: Column, books: np.ndarray) -> Column:
 
 
 def pq_decode(codes: Column, books: np.ndarray) -> Column:
-    """The vector a code stands for; scoring a query against it is the asymmetric distance."""
+    """The vector a code stands for, to see what coding loses."""
     parts = books.shape[0]
 
     @F.pandas_udf(V.VECTOR)
@@ -130,8 +148,8 @@ def pq_decode(codes: Column, books: np.ndarray) -> Column:
 
 
 def pq_search(queries: DataFrame, coded: DataFrame, books: np.ndarray, k: int = 5, skip_self: bool = False) -> DataFrame:
-    """Exact scan over what the codes stand for: ``coded(item_id, codes)``."""
-    return knn_exact(queries, coded.withColumn("vec", pq_decode(F.col("codes"), books)), k, skip_self=skip_self)
+    """Exact queries against codes, by look-up tables: ``coded(item_id, codes)``."""
+    return knn_codes(queries, coded, books, k, skip_self)
 
 
 def recall_against(exact: DataFrame, found: DataFrame) -> DataFrame:

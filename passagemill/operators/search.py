@@ -74,11 +74,9 @@ class Best:
         self.floor[q[full]] = score[full]
 
 
-def _score_batch(
-    best: Best | None, q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, items: np.ndarray, skip_self: bool, low: float | None
-):
+def _score_batch(best: Best | None, q_ids: np.ndarray, scores: np.ndarray, ids: np.ndarray, skip_self: bool, low: float | None):
     """Scores of one batch that may matter: at or above the floor of their query."""
-    scores = np.round(queries @ items.T, DIGITS) + 0.0
+    scores = np.round(scores, DIGITS) + 0.0
     keep = ~np.isnan(scores)
     if skip_self:
         keep &= q_ids[:, None] != ids[None, :]
@@ -106,27 +104,40 @@ def _ids(column) -> np.ndarray:
 class Scan:
     """Best items for one block of queries while item batches go by: (query id, item id, score, lane).
 
-    Items may carry a lane; the best ``k`` are then kept for each query and lane.
+    Items may carry a lane; the best ``k`` are then kept for each query and lane. With ``books`` (parts, centres, width) the
+    items are product codes: each query has the products with all centres in a table, and an item's score is a
+    sum of entries looked up there.
     """
 
-    def __init__(self, q_ids: np.ndarray, queries: np.ndarray, k: int | None, metric: str, skip_self: bool, low: float | None):
+    def __init__(
+        self, q_ids: np.ndarray, queries: np.ndarray, k: int | None, metric: str, skip_self: bool, low: float | None, books: np.ndarray | None = None
+    ):
         self.q_ids, self.queries, self.k = q_ids, _scale(queries, metric), k
         self.metric, self.skip_self, self.low = metric, skip_self, low
         self.kept: dict = {}
+        self.tables = None
+        if books is not None:
+            self.tables = np.einsum("qpw,pcw->qpc", self.queries.reshape(len(q_ids), books.shape[0], -1), books)
+
+    def _scores(self, items: np.ndarray) -> np.ndarray:
+        if self.tables is None:
+            return self.queries @ items.T
+        codes = items.astype(np.int64)
+        return sum(self.tables[:, p, codes[:, p]] for p in range(codes.shape[1]))
 
     def add(self, all_ids: np.ndarray, all_items: np.ndarray, lanes: np.ndarray):
         """Without ``k``, everything that counts comes out at once."""
-        if self.queries.shape[1] != all_items.shape[1]:
+        if self.tables is None and self.queries.shape[1] != all_items.shape[1]:
             raise ValueError(f"queries have {self.queries.shape[1]} dimensions, items {all_items.shape[1]}")
         step = max(1, 4_000_000 // len(self.q_ids))
         present = np.unique(lanes)
         for lane in present:
             mine = lanes == lane if len(present) > 1 else slice(None)  # no copy for a single lane
-            ids, items = all_ids[mine], _scale(all_items[mine], self.metric)
+            ids, items = all_ids[mine], all_items[mine] if self.tables is not None else _scale(all_items[mine], self.metric)
             best = self.kept.setdefault(lane, Best(self.k, len(self.q_ids))) if self.k else None
             for start in range(0, len(ids), step):
                 part = slice(start, start + step)
-                at, score, found = _score_batch(best, self.q_ids, self.queries, ids[part], items[part], self.skip_self, self.low)
+                at, score, found = _score_batch(best, self.q_ids, self._scores(items[part]), ids[part], self.skip_self, self.low)
                 if best is not None:
                     best.add(at, score, found)
                 else:
@@ -228,7 +239,7 @@ def _scored(
     lane: str | None = None,
     move_items: bool = False,
 ) -> DataFrame:
-    """``scan``: (k, metric, skip_self, low). With ``move_items`` the items are the side in stored blocks, for few items
+    """``scan``: (k, metric, skip_self, low) and code books, if any. With ``move_items`` the items are the side in stored blocks, for few items
     and many queries; the queries are then scanned in place."""
     q, d, schema, arrow = _sides(queries, items, lane)
     table = _tabled(arrow)
@@ -347,6 +358,12 @@ def knn_exact(
     return ranked(scored, k, "query_id", *([lane] if lane else []))
 
 
+def knn_codes(queries: DataFrame, coded: DataFrame, books: np.ndarray, k: int = 5, skip_self: bool = False) -> DataFrame:
+    """Best ``k`` by the asymmetric product: exact queries against ``coded(item_id, codes)``, which are never decoded."""
+    items = coded.where("codes IS NOT NULL").select("item_id", F.col("codes").cast(V.VECTOR).alias("vec"))
+    return ranked(_scored(queries, items, (k, "dot", skip_self, None, books), QUERY_ROWS, BLOCK_ROWS), k)
+
+
 def score_all_pairs(
     queries: DataFrame, items: DataFrame, metric: str = "dot", query_rows: int = QUERY_ROWS, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
