@@ -71,7 +71,7 @@ knn_block("cls4", "em", "cls", 4, metric="cosine")
 def _(spark, sf):
     """Cells about the class means, stored by cell and searched from the store."""
     e = items(spark, sf)
-    centres = cut_lineage(search.class_vectors(e, "label", DIM), "centres")
+    centres = cut_lineage(search.class_vectors(e, "label"), "centres")
     path = fresh_path(spark, "cells")
     ann.store_cells(e.select("item_id", "vec"), centres, path)
     return ann.knn_stored_cells(vec_queries(spark, sf), spark.read.parquet(path), centres, 5, 4, skip_self=True)
@@ -219,7 +219,7 @@ def pooled(df):
 @query("late_chunk_pool", sql(POOL_SQL.format(t="tokv"), "spans"))
 def _(spark, sf):
     tokens = token_vectors(spark, sf)
-    return pooled(multivec.late_chunk_pool(tokens, token_spans(tokens), DIM))
+    return pooled(multivec.late_chunk_pool(tokens, token_spans(tokens)))
 
 
 block(
@@ -237,4 +237,4 @@ def _(spark, sf):
     starts = length.select("doc_id", F.posexplode(multivec.macro_segments(F.col("n"), 12, 8)).alias("segment", "first"))
     inside = starts.withColumn("pos", F.explode(F.sequence(F.col("first"), F.col("first") + 11)))
     seen = inside.join(tokens, ["doc_id", "pos"]).withColumn("vec", F.transform("vec", lambda x: x.cast("double") * (1 + F.col("segment"))))
-    return pooled(multivec.late_chunk_long(seen, token_spans(tokens), DIM))
+    return pooled(multivec.late_chunk_long(seen, token_spans(tokens)))

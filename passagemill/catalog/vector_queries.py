@@ -8,6 +8,8 @@ from passagemill.catalog.base import block, query, sql, table, vector_block
 from passagemill.catalog.text_queries import doc_chunks, doc_pages
 from passagemill.functions import vectors as V
 from passagemill.operators import chunk, search
+from passagemill.plans.session import cut_lineage
+from passagemill.sources import corpus
 
 DIM = 64
 
@@ -147,20 +149,29 @@ def _(spark, sf):
     return search.hits_with_text(doc_hits(spark, sf), docs)
 
 
+block("tn", "SELECT conv_id * 1000 + turn AS id, text FROM conversations")
+TURN_PAGES = vector_block("tp", "tn", "id", "text", ("tn",))
+knn_block("turn5", BENCH, TURN_PAGES, 5)
+
+
 @query(
     "hit_page_lookup",
     sql(
-        """SELECT query_id, rank, doc_id, c.page_number, c.page_number + 41 AS source_page, length(p.text) AS page_chars
-        FROM chunk5 JOIN big_ch c ON c.chunk_id = item_id JOIN pg p USING (doc_id)""",
-        "chunk5",
-        "pg",
+        """SELECT query_id, rank, conv_id AS doc_id, (turn - 2)::INTEGER AS page_number, turn AS source_page, length(text) AS page_chars
+        FROM turn5 JOIN conversations ON conv_id = item_id // 1000 AND turn = item_id % 1000""",
+        "turn5",
     ),
 )
 def _(spark, sf):
-    chunks = big_chunks(spark, sf).select(F.col("chunk_id").alias("item_id"), "doc_id", "page_number")
-    stored = doc_pages(spark, sf).select("doc_id", F.lit(41).alias("source_page"), F.length("text").alias("page_chars"))
-    hits = search.hits_with_text(chunk_hits(spark, sf), chunks)
-    return search.hit_page_lookup(hits, stored, 41).select("query_id", "rank", "doc_id", "page_number", "source_page", "page_chars")
+    """Conversations as documents whose first two turns are front matter: page 0 is turn 2."""
+    turns = table(spark, sf, "conversations")
+    pages = corpus.load_pages(turns.withColumn("item_id", F.col("conv_id") * 1000 + F.col("turn")), "item_id", "text", "turn", page_offset=2)
+    named = pages.select(F.col("doc_id").alias("item_id"), F.floor(F.col("doc_id") / 1000).alias("doc_id"), "page_number")
+    vectors = V.embed_text(turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), "text"), "text").select("item_id", "vec")
+    hits = search.hits_with_text(search.knn_exact(bench_vectors(spark, sf), vectors, 5), named)
+    stored = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("source_page"), F.length("text").alias("page_chars"))
+    found = search.hit_page_lookup(hits, stored, 2).withColumn("source_page", F.col("source_page").cast("long"))
+    return found.select("query_id", "rank", "doc_id", "page_number", "source_page", "page_chars")
 
 
 MATRIX = [[round(((i * 31 + j * 17) % 13 - 6) / 6.0, 4) for j in range(DIM)] for i in range(8)]
@@ -187,7 +198,7 @@ knn_block("cls1", "em", "cls", 1, metric="cosine")
 @query("zero_shot_label", sql("SELECT query_id AS item_id, item_id AS label, score FROM cls1", "cls1"))
 def _(spark, sf):
     e = items(spark, sf)
-    return search.zero_shot_label(e.drop("label"), search.class_vectors(e, "label", DIM))
+    return search.zero_shot_label(e.drop("label"), search.class_vectors(e, "label"))
 
 
 block("even", "SELECT * FROM em WHERE label < 5", ("em",))
@@ -217,9 +228,9 @@ knn_block("xq5", "xq", DOCS, 5)
 @query("expanded_query_vector", sql("SELECT * FROM xq5", "xq5"))
 def _(spark, sf):
     """The first search's documents stand for the supplied draft answers."""
-    asked, docs = bench_vectors(spark, sf), doc_vectors(spark, sf)
-    drafts = doc_hits(spark, sf).join(docs.select("item_id", "vec"), "item_id")
-    return search.knn_exact(search.expanded_query_vector(asked, drafts, DIM), docs, 5)
+    asked, docs = bench_vectors(spark, sf), cut_lineage(doc_vectors(spark, sf).select("item_id", "vec"), "vectors")
+    drafts = cut_lineage(search.knn_exact(asked, docs, 5), "drafts").join(docs, "item_id")
+    return search.knn_exact(search.expanded_query_vector(asked, drafts), docs, 5)
 
 
 block("other", "SELECT k, list_transform(vec, lambda x, i: x * (1 + i % 3)) AS vec FROM em", ("em",))

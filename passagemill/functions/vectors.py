@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,13 +43,12 @@ def project(a: Column, matrix: list[list[float]]) -> Column:
     return F.array(*[dot_product(a, row) for row in rows])
 
 
-def mean_vector(vec: str | Column, dim: int, weight: Column | None = None) -> Column:
-    """Aggregate: dimension-wise mean. One buffer per dimension, combined before the shuffle."""
+def mean_vector(vec: str | Column, weight: Column | None = None) -> Column:
+    """Aggregate: mean of all dimensions in one buffer, combined before the shuffle. Vectors may have any length."""
     v = F.col(vec) if isinstance(vec, str) else vec
-    at = [F.get(v, F.lit(i)).cast("double") for i in range(dim)]
-    if weight is None:
-        return F.array(*[F.avg(x) for x in at])
-    return F.array(*[F.sum(x * weight) / F.sum(weight) for x in at])
+    features = array_to_vector(v.cast("array<double>"))
+    mean = Summarizer.mean(features) if weight is None else Summarizer.mean(features, weight)
+    return vector_to_array(mean)
 
 
 def pack(a: Column) -> Column:

@@ -7,6 +7,7 @@ node or entity go through ``salted_join``, because hubs and common entities are
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,17 +122,17 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component): the lowest node of each component, by alternating star contraction.
 
     Each round links every neighbour to the lowest node seen; the number of rounds grows with the
-    logarithm of the component size, not with its diameter. Lowest nodes come from a partial
+    logarithm of the component size, not with its diameter, and ``rounds`` limits them only on request. Lowest nodes come from a partial
     aggregation, and a hub's neighbours are spread over tasks by the salted join.
     """
     e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
     lone = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     e, before = cut_lineage(e), None
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         around = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut_lineage(around.groupBy("u").agg(F.min(F.least("u", "v")).alias("low"), F.count(F.lit(1)).alias("n")))
         large = salted_join(around, low.select("u", "low"), "u", low).where("v > u")

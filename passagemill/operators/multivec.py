@@ -117,7 +117,7 @@ def maxsim_rerank(hits: DataFrame, queries: DataFrame, items: DataFrame, k: int
 # ---- late chunking --------------------------------------------------------------------------
 
 
-def late_chunk_pool(tokens: DataFrame, spans: DataFrame, dim: int, block: int = 256) -> DataFrame:
+def late_chunk_pool(tokens: DataFrame, spans: DataFrame, block: int = 256) -> DataFrame:
     """Chunk vector = mean of the token vectors in its span.
 
     ``tokens(doc_id, pos, vec)``, ``spans(doc_id, span_no, start, stop)`` with ``stop`` exclusive.
@@ -127,9 +127,9 @@ def late_chunk_pool(tokens: DataFrame, spans: DataFrame, dim: int, block: int =
     at = spans.where("stop > start").withColumn(
         "block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block)))
     )
-    placed = tokens.select("doc_id", "pos", "vec", F.floor(F.col("pos") / block).alias("block"))
+    placed = V.as_vectors(V.as_arrays(tokens)).select("doc_id", "pos", "vec", F.floor(F.col("pos") / block).alias("block"))
     inside = placed.join(at, ["doc_id", "block"]).where("pos >= start AND pos < stop")
-    return inside.groupBy("doc_id", "span_no").agg(V.mean_vector("vec", dim).cast(V.VECTOR).alias("vec"))
+    return inside.groupBy("doc_id", "span_no").agg(V.mean_vector("vec").cast(V.VECTOR).alias("vec"))
 
 
 def macro_segments(length: Column, size: int, stride: int) -> Column:
@@ -137,10 +137,11 @@ def macro_segments(length: Column, size: int, stride: int) -> Column:
     return F.sequence(F.lit(0), F.greatest(F.lit(0), length - 1 - (size - stride)), F.lit(stride))
 
 
-def late_chunk_long(segment_tokens: DataFrame, spans: DataFrame, dim: int) -> DataFrame:
+def late_chunk_long(segment_tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """As above for texts encoded in overlapping segments: a token's vectors are averaged first.
 
     ``segment_tokens(doc_id, segment, pos, vec)`` with ``pos`` counted over the whole document.
     """
-    merged = segment_tokens.groupBy("doc_id", "pos").agg(V.mean_vector("vec", dim).cast(V.VECTOR).alias("vec"))
-    return late_chunk_pool(merged, spans, dim)
+    full = V.as_vectors(V.as_arrays(segment_tokens))
+    merged = full.groupBy("doc_id", "pos").agg(V.mean_vector("vec").cast(V.VECTOR).alias("vec"))
+    return late_chunk_pool(merged, spans)

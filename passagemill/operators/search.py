@@ -422,8 +422,8 @@ def zero_shot_label(items: DataFrame, classes: DataFrame) -> DataFrame:
     return hits.select(F.col("query_id").alias("item_id"), F.col("item_id").alias("label"), "score")
 
 
-def class_vectors(items: DataFrame, label: str, dim: int) -> DataFrame:
-    return items.groupBy(F.col(label).alias("label")).agg(V.mean_vector("vec", dim).cast(V.VECTOR).alias("vec"))
+def class_vectors(items: DataFrame, label: str) -> DataFrame:
+    return V.as_vectors(V.as_arrays(items)).groupBy(F.col(label).alias("label")).agg(V.mean_vector("vec").cast(V.VECTOR).alias("vec"))
 
 
 def cross_modal_knn(queries: DataFrame, items: DataFrame, modality: Column, k: int = 5) -> DataFrame:
@@ -431,10 +431,10 @@ def cross_modal_knn(queries: DataFrame, items: DataFrame, modality: Column, k: i
     return knn_exact(queries, items.where(modality), k)
 
 
-def expanded_query_vector(queries: DataFrame, drafts: DataFrame, dim: int) -> DataFrame:
+def expanded_query_vector(queries: DataFrame, drafts: DataFrame) -> DataFrame:
     """Query vector = mean of its own vector and those of its supplied draft answers."""
     together = queries.select("query_id", "vec").unionByName(drafts.select("query_id", "vec"))
-    return together.groupBy("query_id").agg(V.mean_vector("vec", dim).cast(V.VECTOR).alias("vec"))
+    return V.as_vectors(V.as_arrays(together)).groupBy("query_id").agg(V.mean_vector("vec").cast(V.VECTOR).alias("vec"))
 
 
 # ---- reranking and cuts ---------------------------------------------------------------------

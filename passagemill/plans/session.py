@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_STEPS = "passagemill.steps.folder"
+
+
 def local_session(cores: int | str = 8, name: str = "passagemill") -> SparkSession:
     """Session for tests and the bench. On a cluster the submitter's settings are used instead."""
     return (
@@ -37,7 +42,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that nothing has been written to yet."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    folder = spark.conf.get(_STEPS, None) or shared_folder(spark)
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[str]:
+    """Steps stored inside the block go to one folder, which is deleted with all of them at its end.
+
+    Use it around a whole job: what the job returns must be written elsewhere before the block ends.
+    """
+    before = spark.conf.get(_STEPS, None)
+    folder = f"{shared_folder(spark).rstrip('/')}/job-{uuid.uuid4().hex}"
+    spark.conf.set(_STEPS, folder)
+    try:
+        yield folder
+    finally:
+        spark.conf.unset(_STEPS) if before is None else spark.conf.set(_STEPS, before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:

@@ -1,8 +1,10 @@
+import os
 import random
 
 from pyspark.sql import functions as F
 
 from passagemill.operators import chunk, graph
+from passagemill.plans import session
 from passagemill.plans.session import fresh_path
 from passagemill.plans.skew import salted_join
 from passagemill.sources.corpus import load_pages
@@ -125,3 +127,10 @@ def test_streams_equal_batch_and_survive_replay(spark):
     mentions = graph.long_word_entities(chunks)
     assert edges.exceptAll(graph.build_edges(mentions)).isEmpty() and edges.count() == graph.build_edges(mentions).count()
     assert nodes.exceptAll(graph.build_nodes(mentions)).isEmpty()
+
+
+def test_steps_are_deleted_with_their_job(spark, tmp_path):
+    with session.steps(spark) as folder:
+        rows = session.cut_lineage(spark.range(5)).count()
+        assert rows == 5 and os.listdir(folder)
+    assert not os.path.exists(folder)
