@@ -210,7 +210,9 @@ def _runs(sizes: Column) -> Column:
 
 
 def page_neighbours(df: DataFrame, group: str, position: str, text: str, reach: int = 1) -> DataFrame:
-    """Each page with the texts of the pages around it.
+    """Each page with the texts of the pages around it: those whose number is at most ``reach`` away.
+
+    Where numbers have a gap the page beside it is missing, and a page beyond the gap is no neighbour.
 
     Every page sends itself to the positions it neighbours; the key is (group, position), so a
     very long document is spread like any other. A page receives at most 2 * reach texts; pages

@@ -158,3 +158,11 @@ def test_neighbours_at_the_ends(spark):
     df = spark.createDataFrame([(1, i, f"p{i}") for i in range(4)], "g long, pos int, t string")
     got = {r.pos: r.noise_context for r in curate.page_neighbours(df, "g", "pos", "t", 2).collect()}
     assert got == {0: "p1\np2", 1: "p0\np2\np3", 2: "p0\np1\np3", 3: "p1\np2"}
+
+
+def test_a_gap_in_page_numbers_is_a_missing_page(spark):
+    df = spark.createDataFrame([("a", 1, "one"), ("a", 2, "two"), ("a", 4, "four")], "g string, p long, t string")
+    got = {r.p: (r.n_neighbours, r.noise_context) for r in curate.page_neighbours(df, "g", "p", "t").collect()}
+    assert got == {1: (1, "two"), 2: (1, "one"), 4: (0, "")}
+    wider = {r.p: r.noise_context for r in curate.page_neighbours(df, "g", "p", "t", reach=2).collect()}
+    assert wider[2] == "one\nfour"
