@@ -57,9 +57,9 @@ def salted_join(
 
 
 def spread_out(df: DataFrame) -> DataFrame:
-    """Deal rows over all cores when the input comes in fewer splits than there are cores.
+    """Deal rows over all cores when most cores would have none: fewer splits than a quarter of the cores.
 
-    A large input has many splits and is left as it is.
+    A shuffle of the whole input pays for a few unsplittable files only; a large input is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 < cores else df
