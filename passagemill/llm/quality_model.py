@@ -16,6 +16,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +30,18 @@ from passagemill.llm.common import column, slices, sums_of, texts, words
 from passagemill.llm.language import remainder
 
 WORDS = 1 << 14
+_BITS = 15
 SIZE = 32
 NONZERO = 4
 REACH = 2
 TRAIN_ROWS = 20_000
 FOLDS = 3
 HIDDEN = 32
-_SLICE = 2 << 20
-_PARTS = r"^(?P<before>[^\p{L}\p{N}]*)(?P<core>(?s:.*?))(?P<after>[^\p{L}\p{N}]*)$"
+_SLICE = 4 << 20
+#: Vectors gathered at once, and words whose rows a task keeps.
+_GATHERED, _KEPT_WORDS = 300_000, 300_000
+#: Characters that are cut off a word's ends as words of their own.
+MARKS = string.punctuation + "…—–‘’“”«»„¿¡·•"
 
 
 def index_vectors() -> np.ndarray:
@@ -47,8 +52,37 @@ def index_vectors() -> np.ndarray:
     return np.stack((places, signs))
 
 
-def units(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of all words in order, how many each text has, and how many different ones.
+class Rows(dict):
+    """Word -> its rows, four numbers of ``_BITS`` bits counted from 1 (0 for none) in one: the marks before a word, the
+    word, the sign for capitals, and the marks after it. Kept by a task for the words it meets."""
+
+    def __missing__(self, word: str) -> int:
+        h, last = xxhash.xxh64_intdigest, WORDS - 1
+        core = word.strip(MARKS)
+        found = 0
+        if core:
+            found = h(core.lower().encode()) % last + 1 << _BITS
+            if core.isupper() and len(core) > 1:
+                found |= WORDS << 2 * _BITS
+        if len(core) != len(word):
+            before = word[: len(word) - len(word.lstrip(MARKS))]
+            if before:
+                found |= h(before.encode()) % last + 1
+            after = word[len(word.rstrip(MARKS)) :] if core else ""
+            if after:
+                found |= h(after.encode()) % last + 1 << 3 * _BITS
+        self[word] = found
+        return found
+
+
+def _distinct(owner: np.ndarray, codes: np.ndarray, n: int, owners: int) -> np.ndarray:
+    """How many different codes below ``n`` each owner has."""
+    pairs = np.sort(owner * np.int64(n) + codes)
+    return np.bincount(pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]] // n, minlength=owners)
+
+
+def units(text: pa.Array, known: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of all words in order, how many each text has, and how many different ones. ``known`` is the task's own.
 
     A word in marks is the marks, the word in lower case, and the marks; one in capitals has a sign for that.
     """
@@ -57,31 +91,23 @@ def units(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not n:
         none = np.zeros(len(text), np.int64)
         return np.zeros(0, np.int64), none, none
-    cut = pc.extract_regex(coded.dictionary, _PARTS)
-    before, core, after = (pc.fill_null(pc.struct_field(cut, c), "") for c in ("before", "core", "after"))
-    low = pc.utf8_lower(core)
-    upper = pc.and_(pc.and_(pc.equal(core, pc.utf8_upper(core)), pc.not_equal(core, low)), pc.greater(pc.utf8_length(core), 1))
-    h = xxhash.xxh64_intdigest
-    row = np.full((n, 4), -1, np.int64)
-    for i, part in enumerate((before, low, after)):
-        listed = pc.dictionary_encode(part)
-        table = np.array([h(w.encode()) % (WORDS - 1) if w else -1 for w in listed.dictionary.to_pylist()], np.int64)
-        row[:, (0, 1, 3)[i]] = table[listed.indices.to_numpy()]
-    row[upper.to_numpy(zero_copy_only=False), 2] = WORDS - 1
+    if len(known) > _KEPT_WORDS:
+        known.clear()
+    packed = np.fromiter(map(known.__getitem__, coded.dictionary.to_pylist()), np.int64, n)
+    row = (packed[:, None] >> np.arange(0, 4 * _BITS, _BITS) & (1 << _BITS) - 1) - 1
     at = coded.indices.to_numpy()
     flat = row[at].ravel()
     full = flat >= 0
     owner = np.repeat(np.arange(len(text)), counts)
     used = np.bincount(np.repeat(owner, 4)[full], minlength=len(text))
-    pairs = np.unique(owner * np.int64(n) + at)
-    return flat[full], used, np.bincount(pairs // n, minlength=len(text))
+    return flat[full], used, _distinct(owner, at, n, len(text))
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places, signs = index_vectors()
-    total = np.zeros(WORDS * SIZE)
+    total, known = np.zeros(WORDS * SIZE), Rows()
     for batch in slices(batches, "text", _SLICE):
-        flat, counts, _ = units(texts(batch))
+        flat, counts, _ = units(texts(batch), known)
         owner = np.repeat(np.arange(len(counts)), counts)
         for step in range(1, REACH + 1):
             same = owner[step:] == owner[:-step]
@@ -109,22 +135,28 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return vectors
 
 
-def pooled(text: pa.Array, vectors: np.ndarray) -> np.ndarray:
+def pooled(text: pa.Array, vectors: np.ndarray, known: Rows) -> np.ndarray:
     """(texts, SIZE + 3): mean vector, log of the number of words, shares of distinct words and lines."""
-    flat, counts, distinct = units(text)
+    flat, counts, distinct = units(text, known)
     out = np.zeros((len(text), SIZE + 3), np.float32)
     some = np.flatnonzero(counts)
-    if len(some):
-        first = np.concatenate(([0], np.cumsum(counts[some])[:-1]))
-        out[some, :SIZE] = np.add.reduceat(vectors[flat], first, axis=0) / counts[some, None]
+    ends = np.cumsum(counts[some])
+    at = 0
+    while at < len(some):
+        begin = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, begin + _GATHERED, side="right")))
+        first = np.concatenate(([0], ends[at : stop - 1] - begin))
+        part = some[at:stop]
+        out[part, :SIZE] = np.add.reduceat(vectors[flat[begin : ends[stop - 1]]], first, axis=0) / counts[part, None]
+        at = stop
     out[:, SIZE] = np.log1p(counts)
     out[:, SIZE + 1] = distinct / np.maximum(counts, 1)
     lines = pc.split_pattern(text, "\n")
     n_lines = np.diff(lines.offsets.to_numpy())
     coded = pc.dictionary_encode(lines.flatten())
     owner = np.repeat(np.arange(len(text)), n_lines)
-    pairs = np.unique(owner * np.int64(max(1, len(coded.dictionary))) + coded.indices.to_numpy())
-    out[:, SIZE + 2] = np.bincount(pairs // max(1, len(coded.dictionary)), minlength=len(text)) / np.maximum(n_lines, 1)
+    different = _distinct(owner, coded.indices.to_numpy(), max(1, len(coded.dictionary)), len(text))
+    out[:, SIZE + 2] = different / np.maximum(n_lines, 1)
     return out
 
 
@@ -170,8 +202,9 @@ class Network:
 
 def _pooled_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Rows()
         for batch in slices(batches, "text", _SLICE):
-            raw = [row.tobytes() for row in pooled(texts(batch), shared.value)]
+            raw = [row.tobytes() for row in pooled(texts(batch), shared.value, known)]
             yield pa.RecordBatch.from_arrays([column(batch, "_key"), column(batch, "quality"), pa.array(raw, pa.binary())], ["_key", "quality", "pooled"])
 
     return run
@@ -179,9 +212,9 @@ def _pooled_rows(shared):
 
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, network = shared.value
+        (vectors, network), known = shared.value, Rows()
         for batch in slices(batches, "text", _SLICE):
-            score = np.full(batch.num_rows, 0.5) if network is None else network.scores(pooled(texts(batch), vectors))
+            score = np.full(batch.num_rows, 0.5) if network is None else network.scores(pooled(texts(batch), vectors, known))
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "doc_id"), column(batch, "held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
                 ["doc_id", "held_out", "score", "predicted"],
