@@ -30,7 +30,7 @@ from passagemill.llm.common import NO_ID, column, id_or_lowest, slices, starts_o
 from passagemill.plans.session import cut_lineage
 
 MASKS = ("110110101", "1110010011", "11010001011", "101100100011")
-WINDOW = 32
+WINDOW = 20
 SHARE = 0.8
 FILTER_BYTES = 1 << 22
 
