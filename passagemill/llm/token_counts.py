@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from passagemill.llm.common import slices, texts
 from passagemill.llm.tokens import Encoder, default_tokenizer
+from passagemill.plans.session import cut_lineage
 
 _RANGE = 1024
 
@@ -32,9 +33,9 @@ def _lengths(path: str):
 
 
 def histogram(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(length, n_docs) over all documents; partial counts meet in the only shuffle."""
+    """(length, n_docs) over all documents, stored: texts are encoded once, however often it is read."""
     lengths = docs.select("text").mapInArrow(_lengths(tokenizer or default_tokenizer()), "length long")
-    return lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n_docs"))
+    return cut_lineage(lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n_docs")), "histogram")
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
