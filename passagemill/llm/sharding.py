@@ -143,8 +143,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     # at most one part a shard: (shard, end), where end counts the group's documents up to there
     upto = F.sum("n").over(Window.partitionBy("_group").orderBy("shard"))
     parts = propagate(start, shards, rounds).withColumn("end", upto).groupBy("_group")
-    parts = parts.agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("parts"))
-    # documents of a large group may be most of one side; adaptive execution splits such a join
+    parts = cut_lineage(parts.agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("parts")), "allotted")
+    # documents of a large group may be most of one side; between two stored tables adaptive execution splits such a join
     joined = cut_lineage(rows.join(parts, "_group"), "parts")
     one = joined.where(F.size("parts") == 1).withColumn("shard", F.col("parts")[0]["shard"])
     many = ranked(joined.where(F.size("parts") > 1), "_group", order, "_rank")
