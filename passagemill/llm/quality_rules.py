@@ -24,8 +24,9 @@ from passagemill.plans.session import cut_lineage
 _BLANKS = " \t\n\x0b\f\r"
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-SAMPLE_ROWS = 1000
-#: One row in so many, by the hash of its text, may be in the sample.
+SAMPLE_ROWS = 500
+#: Longer texts, and all but one row in so many by the hash of the text, are not in the sample.
+_SAMPLE_BYTES = 100_000
 _SAMPLE_SHARE = 16
 
 
@@ -141,9 +142,13 @@ def _prepared(docs: DataFrame) -> DataFrame:
 
 
 def ordered(docs: DataFrame, rules: dict[str, Rule]) -> list[tuple[str, float, float]]:
-    """(rule, rejected share, seconds) by rejection per cost, measured on a sample of at most ``SAMPLE_ROWS`` rows."""
-    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(_SAMPLE_SHARE)) == 0).limit(SAMPLE_ROWS)
-    sample = cut_lineage(_prepared(some).select("_text", "_words"), "sample")
+    """(rule, rejected share, seconds) by rejection per cost, measured on a sample of at most ``SAMPLE_ROWS`` rows.
+
+    Taking rows stops reading as soon as there are enough, so a large table is not scanned for its sample.
+    """
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(_SAMPLE_SHARE)) == 0).where(F.octet_length("text") <= _SAMPLE_BYTES)
+    rows = docs.sparkSession.createDataFrame(some.take(SAMPLE_ROWS), "text string")
+    sample = cut_lineage(_prepared(rows).select("_text", "_words"), "sample")
 
     def timed(rejects: Column) -> tuple[float, float]:
         start = time.perf_counter()
@@ -160,11 +165,11 @@ def ordered(docs: DataFrame, rules: dict[str, Rule]) -> list[tuple[str, float, f
     return sorted(found, key=lambda x: -x[1] / x[2])
 
 
-def rejects(rules: dict[str, Rule], order: list[tuple[str, float, float]]) -> Column:
+def rejects(rules: dict[str, Rule], order: list[tuple[str, float, float]], text: Column, w: Column) -> Column:
     """True where any rule rejects; the rules after it are not worked out."""
     chain = F.lit(False)
     for name, _, _ in reversed(order):
-        chain = F.when(rules[name](F.col("_text"), F.col("_words")), F.lit(True)).otherwise(chain)
+        chain = F.when(rules[name](text, w), F.lit(True)).otherwise(chain)
     return chain
 
 
@@ -184,11 +189,13 @@ def report(docs: DataFrame) -> DataFrame:
     )
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     judged = counted.withColumn("base_failed", failed)
-    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(~rejects(MORE, order))
+    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(~rejects(MORE, order, t, w))
     return judged.withColumn("kept", kept).drop("_text", "_words")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that any rule rejects."""
     rules = BASE | MORE
-    return _prepared(docs).where(~rejects(rules, ordered(docs, rules))).drop("_text", "_words")
+    order, text = ordered(docs, rules), F.coalesce("text", F.lit(""))
+    # bound inside the expression: a filter on a column of words would be pushed down and cut them for every rule
+    return docs.where(~let(words(text), lambda w: rejects(rules, order, text, w)))
