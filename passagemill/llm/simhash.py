@@ -10,6 +10,10 @@ are leaves, 16 leaves an upper node; each node holds the bits that all below it
 whose shared bits already differ in more than d places are left out with all that is below them. No pair is
 lost in any bucket, whatever its size.
 
+Where a similarity is asked for, links that fail it connect nothing: a first search takes a forest of all candidates, and
+those of its groups in which a link failed are searched again with all fingerprints at hand, where two entries join only
+when their own similarity is verified. In the other groups every link of the forest holds, so nothing is left to find.
+
 At scale. Equal fingerprints are one entry. Buckets are range-partitioned with the rank and the entry in the key, so a
 bucket of any size is spread over tasks; where the end of a range cuts a bucket, the leaves of its parts meet in an
 equi-join that compares masks first. A task puts out a forest of links, fewer than it has entries, never all pairs of a
@@ -46,6 +50,8 @@ _LEAF, _FAN = 32, 16
 _CHUNK = 1 << 17
 _BLOCK = 2048
 _HELD_GROUPS = 1_000_000
+#: Pairs whose similarity is told at once.
+_TOLD = 1 << 15
 #: Entries that a bucket may have on average before a finer cut is taken.
 _BUCKET = 1024
 
@@ -134,11 +140,13 @@ def _gray_rank(value: np.ndarray) -> np.ndarray:
     return value
 
 
-def _index_rows(choices: list, families: int):
+def _index_rows(choices: list, families: int, carries: bool):
+    step = 256 if carries else 4096
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 entry = column(batch, "entry").to_numpy()
                 prints = np.frombuffer(b"".join(column(batch, "prints").to_pylist()), "<u8").reshape(-1, families)
                 tables, ranks = [], []
@@ -150,10 +158,10 @@ def _index_rows(choices: list, families: int):
                             moved = (moved << np.uint64(width)) | ((prints[:, k] >> np.uint64(shift)) & mask)
                         tables.append(np.full(len(moved), k * len(choices) + c, np.int32))
                         ranks.append((_gray_rank(moved) ^ np.uint64(1 << 63)).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tables)), pa.array(np.concatenate(ranks)), pa.array(np.tile(entry, len(tables)))],
-                    ["table", "rank", "entry"],
-                )
+                columns = [pa.array(np.concatenate(tables)), pa.array(np.concatenate(ranks)), pa.array(np.tile(entry, len(tables)))]
+                if carries:
+                    columns.append(pa.concat_arrays([column(batch, "prints")] * len(tables)))
+                yield pa.RecordBatch.from_arrays(columns, ["table", "rank", "entry", "prints"][: len(columns)])
 
     return run
 
@@ -189,6 +197,26 @@ def _join_by_distance(root: np.ndarray, a: np.ndarray, b: np.ndarray, distance:
     return root
 
 
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the texts of two rows of fingerprints share ``similarity`` of their shingles, as all of them tell it."""
+    cosine = np.cos(np.pi * np.bitwise_count(a ^ b).sum(axis=1) / (64 * a.shape[1]))
+    return cosine / (2 - cosine) >= similarity - MARGIN
+
+
+def _join_alike(root: np.ndarray, a: np.ndarray, b: np.ndarray, prints: np.ndarray, similarity: float, used: list) -> np.ndarray:
+    for at in range(0, len(a), _TOLD):
+        x, y = a[at : at + _TOLD], b[at : at + _TOLD]
+        open_ = root[x] != root[y]
+        x, y = x[open_], y[open_]
+        good = _alike(prints[x], prints[y], similarity)
+        root = _join_roots(root, x[good], y[good], used)
+    return root
+
+
+def _rows_of(raw: pa.Array, families: int) -> np.ndarray:
+    return np.frombuffer(b"".join(raw.to_pylist()), "<u8").reshape(-1, families)
+
+
 class _Leaves:
     """The hierarchy over one stretch of sorted entries: leaves and upper nodes with the bits they share."""
 
@@ -241,9 +269,10 @@ class _Leaves:
             for k in range(0, len(i), _BLOCK):
                 yield i[k : k + _BLOCK], j[k : k + _BLOCK]
 
-    def forest(self, max_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def forest(self, max_bits: int, prints: np.ndarray | None = None, similarity: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Links between entries that connect all that are within ``max_bits``, the closest first where there is a
-        choice, and the first entry of each one's group. Leaves that are already in one group are not compared."""
+        choice, and the first entry of each one's group. Leaves that are already in one group are not compared.
+        With ``prints``, only pairs that all fingerprints tell to be similar join two groups."""
         root, used = np.arange(int(self.size.sum())), []
         for i, j in self.pairs(max_bits):
             low, high = np.minimum.reduceat(root, self.start), np.maximum.reduceat(root, self.start)
@@ -251,7 +280,11 @@ class _Leaves:
             i, j = i[open_], j[open_]
             apart = np.bitwise_count(self.value[i][:, :, None] ^ self.value[j][:, None, :])
             p, q, r = np.nonzero((apart <= max_bits) & self.valid[i][:, :, None] & self.valid[j][:, None, :])
-            root = _join_by_distance(root, self.start[i[p]] + q, self.start[j[p]] + r, apart[p, q, r], used)
+            one, two = self.start[i[p]] + q, self.start[j[p]] + r
+            if prints is None:
+                root = _join_by_distance(root, one, two, apart[p, q, r], used)
+            else:
+                root = _join_alike(root, one, two, prints, similarity, used)
         return *_joined(used), root
 
 
@@ -263,7 +296,12 @@ def _joined(used: list) -> tuple[np.ndarray, np.ndarray]:
 _FOUND = "u long, v long, bucket_table int, bucket long, part long, part_entry long, same long, bits long, ranks binary, entries binary, groups binary"
 
 
-def _search(choices: list, max_bits: int):
+def _found(similarity: float | None) -> str:
+    return _FOUND if similarity is None else _FOUND + ", all_prints binary"
+
+
+def _search(choices: list, max_bits: int, families: int, similarity: float | None):
+    names = ["table", "rank", "entry"] + ["prints"] * (similarity is not None)
     front = np.array([blocks[-1][0] for blocks in choices], np.uint64)
 
     def buckets(table: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -276,10 +314,10 @@ def _search(choices: list, max_bits: int):
 
     def search(rows: list[np.ndarray], opens: bool, closes: bool) -> pa.RecordBatch:
         """Links inside this stretch; leaves of its first (``opens``) or last (``closes``) bucket if others hold more."""
-        table, rank, entry = rows
+        table, rank, entry, *prints = rows
         bucket, key, value = buckets(table, rank)
         leaves = _Leaves(bucket, value)
-        one, two, root = leaves.forest(max_bits)
+        one, two, root = leaves.forest(max_bits, *prints, *[similarity] * len(prints))
         group = entry[root]
         cut = np.flatnonzero((leaves.bucket == bucket[0]) & opens | (leaves.bucket == bucket[-1]) & closes)
         at, n = leaves.start[cut], len(one)
@@ -298,8 +336,9 @@ def _search(choices: list, max_bits: int):
             pa.array([*none, *[value[s:e].tobytes() for s, e in zip(at, ends)]], pa.binary()),
             pa.array([*none, *[entry[s:e].tobytes() for s, e in zip(at, ends)]], pa.binary()),
             pa.array([*none, *[group[s:e].tobytes() for s, e in zip(at, ends)]], pa.binary()),
+            *(pa.array([*none, *[p[s:e].tobytes() for s, e in zip(at, ends)]], pa.binary()) for p in prints),
         ]
-        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _FOUND.split(", ")])
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _found(similarity).split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -307,7 +346,7 @@ def _search(choices: list, max_bits: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append([column(batch, c).to_numpy() for c in ("table", "rank", "entry")])
+            held.append([_rows_of(column(batch, c), families) if c == "prints" else column(batch, c).to_numpy() for c in names])
             many += batch.num_rows
             if many < _CHUNK:
                 continue
@@ -325,8 +364,8 @@ def _search(choices: list, max_bits: int):
     return run
 
 
-def _across(max_bits: int):
-    """Links between leaves of different parts of one bucket, fewer than they have groups.
+def _across(max_bits: int, families: int, similarity: float | None):
+    """Links between leaves of different parts of one bucket, fewer than they have groups; only similar ones if asked for.
 
     What a task has linked once, in this or another bucket, it neither compares nor links again.
     """
@@ -343,7 +382,8 @@ def _across(max_bits: int):
         for batch in batches:
             u, v = [], []
             sides = [column(batch, f"{c}{n}").to_pylist() for n in ("", "2") for c in ("ranks", "entries", "groups")]
-            for x, xe, xg, y, ye, yg in zip(*sides):
+            told = [column(batch, f"all_prints{n}") for n in ("", "2")] if similarity is not None else []
+            for at, (x, xe, xg, y, ye, yg) in enumerate(zip(*sides)):
                 xg, yg = np.frombuffer(xg, np.int64), np.frombuffer(yg, np.int64)
                 tops = {top(g) for g in {*xg.tolist(), *yg.tolist()}}
                 if len(tops) == 1:
@@ -351,6 +391,10 @@ def _across(max_bits: int):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 apart = np.bitwise_count(x[:, None] ^ y[None, :])
                 i, j = np.nonzero(apart <= max_bits)
+                if told and len(i):
+                    one, two = (np.frombuffer(t[at].as_buffer(), "<u8").reshape(-1, families) for t in told)
+                    good = _alike(one[i], two[j], similarity)
+                    i, j = i[good], j[good]
                 if not len(i):
                     continue
                 order = np.lexsort((apart[i, j], yg[j], xg[i]))  # the closest of each pair of groups
@@ -371,21 +415,23 @@ def _across(max_bits: int):
     return run
 
 
-def links(entries: DataFrame, families: int = 1, max_bits: int = MAX_BITS) -> DataFrame:
-    """(u, v): links that connect exactly what all pairs within ``max_bits`` would connect. ``entries``: (entry, prints)."""
+def links(entries: DataFrame, families: int = 1, max_bits: int = MAX_BITS, similarity: float | None = None) -> DataFrame:
+    """(u, v): links that connect exactly what all pairs within ``max_bits`` would connect; with ``similarity``, what those
+    pairs among them would that are similar. ``entries``: (entry, prints)."""
     choices = block_choices(entries.count(), max_bits)
-    rows = entries.select("entry", "prints").mapInArrow(_index_rows(choices, families), "table int, rank long, entry long")
+    carries = similarity is not None
+    kind = "table int, rank long, entry long" + ", prints binary" * carries
+    rows = entries.select("entry", "prints").mapInArrow(_index_rows(choices, families, carries), kind)
     order = ["table", "rank", "entry"]
     ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = cut_lineage(ranges.mapInArrow(_search(choices, max_bits), _FOUND), "leaves")
+    found = cut_lineage(ranges.mapInArrow(_search(choices, max_bits, families, similarity), _found(similarity)), "leaves")
     leaves = found.where("u IS NULL").drop("u", "v")
-    other = leaves.select(
-        "bucket_table", "bucket", *(F.col(c).alias(f"{c}2") for c in ("part", "part_entry", "same", "bits", "ranks", "entries", "groups"))
-    )
+    sides = ["ranks", "entries", "groups", *["all_prints"] * carries]
+    other = leaves.select("bucket_table", "bucket", *(F.col(c).alias(f"{c}2") for c in ("part", "part_entry", "same", "bits", *sides)))
     apart = F.bit_count(F.expr("(bits ^ bits2) & same & same2"))
     later = F.struct("part", "part_entry") < F.struct("part2", "part_entry2")
     met = leaves.join(other, ["bucket_table", "bucket"]).where(later & (apart <= max_bits))
-    across = met.select(*(f"{c}{n}" for c in ("ranks", "entries", "groups") for n in ("", "2"))).mapInArrow(_across(max_bits), "u long, v long")
+    across = met.select(*(f"{c}{n}" for c in sides for n in ("", "2"))).mapInArrow(_across(max_bits, families, similarity), "u long, v long")
     return found.where("u IS NOT NULL").select("u", "v").unionByName(across)
 
 
@@ -393,33 +439,43 @@ def links(entries: DataFrame, families: int = 1, max_bits: int = MAX_BITS) -> Da
 
 
 def _similar(families: int, similarity: float):
-    """Links whose ends share ``similarity`` of their shingles, as all their fingerprints tell it."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(column(batch, c).to_pylist()), "<u8").reshape(-1, families) for c in ("prints", "prints2"))
-            cosine = np.cos(np.pi * np.bitwise_count(a ^ b).sum(axis=1) / (64 * families))
-            near = pa.array(cosine / (2 - cosine) >= similarity - MARGIN)
-            yield pa.RecordBatch.from_arrays([column(batch, c).filter(near) for c in ("u", "v")], ["u", "v"])
+            near = _alike(*(_rows_of(column(batch, c), families) for c in ("prints", "prints2")), similarity)
+            yield pa.RecordBatch.from_arrays([column(batch, "u"), column(batch, "v"), pa.array(near)], ["u", "v", "near"])
 
     return run
 
 
 def similar(found: DataFrame, entries: DataFrame, families: int, similarity: float) -> DataFrame:
+    """(u, v, near): whether the ends of each link are similar."""
     other = entries.select(F.col("entry").alias("v"), F.col("prints").alias("prints2"))
-    sides = found.distinct().join(entries.select(F.col("entry").alias("u"), "prints"), "u").join(other, "v")
-    return sides.select("u", "v", "prints", "prints2").mapInArrow(_similar(families, similarity), "u long, v long")
+    sides = found.join(entries.select(F.col("entry").alias("u"), "prints"), "u").join(other, "v")
+    return sides.select("u", "v", "prints", "prints2").mapInArrow(_similar(families, similarity), "u long, v long, near boolean")
+
+
+def similar_links(entries: DataFrame, families: int, max_bits: int, similarity: float) -> DataFrame:
+    """(u, v): links that connect exactly what all similar pairs within ``max_bits`` would connect."""
+    candidates = cut_lineage(links(entries, families, max_bits).distinct(), "candidates")
+    told = cut_lineage(similar(candidates, entries, families, similarity), "told")
+    good, bad = told.where("near").select("u", "v"), told.where("NOT near")
+    if bad.isEmpty():
+        return good
+    roots = cut_lineage(components(candidates), "candidate-groups")
+    # stored, so that adaptive execution may split the join for a large group
+    open_ = cut_lineage(bad.select(F.col("u").alias("node")).distinct().join(roots, "node").select("root").distinct(), "open")
+    inside = roots.join(open_, "root", "left_semi").select(F.col("node").alias("entry"))
+    again = cut_lineage(entries.join(inside, "entry", "left_semi"), "open-entries")
+    return good.unionByName(links(again, families, max_bits, similarity))
 
 
 def grouped(docs: DataFrame, words: int, families: int = 1, max_bits: int = MAX_BITS, similarity: float | None = None) -> DataFrame:
     """(doc, text_key, entry, root): the group of each row, named by one of its entries."""
     rows = cut_lineage(fingerprints(docs, words, families), "prints")
     entries = cut_lineage(rows.groupBy("entry").agg(F.first("prints").alias("prints")), "entries")
-    linked = links(entries, families, max_bits)
-    if similarity is not None:
-        linked = similar(linked, entries, families, similarity)
+    linked = links(entries, families, max_bits) if similarity is None else similar_links(entries, families, max_bits, similarity)
     found = components(linked).withColumnRenamed("node", "entry")
     # only entries with a link are in it; a heavy fingerprint is split by adaptive execution
     return rows.drop("prints").join(found, "entry", "left").withColumn("root", F.coalesce("root", "entry"))

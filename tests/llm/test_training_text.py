@@ -312,6 +312,37 @@ def test_index_finds_all_links(spark, monkeypatch, max_bits, chunk, bucket):
     assert (simhash._join_roots(np.arange(len(prints)), u, v) == want).all()
 
 
+def template_family(n, pairs):
+    """Texts from one template, about 0.7 alike, the first ``pairs`` of them with a near copy."""
+    rng = random.Random(11)
+    base = said(400, 77).split()
+    family = []
+    for _ in range(n):
+        words = list(base)
+        for at in rng.sample(range(400), 7):
+            words[at] = f"own{rng.random()}"
+        family.append(words)
+    copies = [[f"copy{i}" if at % 50 == 25 else w for at, w in enumerate(words)] for i, words in enumerate(family[:pairs])]
+    return [" ".join(words) for words in family + copies]
+
+
+@pytest.mark.parametrize("chunk", [1 << 17, 500])
+def test_similar_links_inside_a_template_family(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "_CHUNK", chunk)
+    texts, families = template_family(600, 60), 32
+    prints = np.stack([simhash.fingerprints_of(simhash.shingle_hashes(t, 5), families) for t in texts])
+    rows = [(i, p.tobytes()) for i, p in enumerate(prints)]
+    entries = spark.createDataFrame(rows, "entry long, prints binary").repartition(4)
+    bits = np.bitwise_count(prints[:, None] ^ prints[None, :])
+    cosine = np.cos(np.pi * bits.sum(axis=2) / (64 * families))
+    alike = (bits.min(axis=2) <= simhash.NEAR_BITS) & (cosine / (2 - cosine) >= 0.8 - simhash.MARGIN)
+    found = simhash.similar_links(entries, families, simhash.NEAR_BITS, 0.8).collect()
+    u, v = (np.array([r[c] for r in found], np.int64) for c in ("u", "v"))
+    assert alike[u, v].all() and alike[np.arange(60), np.arange(600, 660)].sum() > 50
+    none = np.arange(len(texts))
+    assert (simhash._join_roots(none, u, v) == simhash._join_roots(none, *np.nonzero(alike))).all()
+
+
 def test_one_of_each_group_stays(spark, odd):
     texts = [said(120, i) for i in range(30)]
     copies = [t.replace(t.split()[50], "another", 1) for t in texts[:10]] + texts[10:15] + texts[10:15]
