@@ -165,9 +165,11 @@ knn_block("turn5", BENCH, TURN_PAGES, 5)
 def _(spark, sf):
     """Conversations as documents whose first two turns are front matter: page 0 is turn 2."""
     turns = table(spark, sf, "conversations")
-    pages = corpus.load_pages(turns.withColumn("item_id", F.col("conv_id") * 1000 + F.col("turn")), "item_id", "text", "turn", page_offset=2)
-    named = pages.select(F.col("doc_id").alias("item_id"), F.floor(F.col("doc_id") / 1000).alias("doc_id"), "page_number")
-    vectors = V.embed_text(turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), "text"), "text").select("item_id", "vec")
+    # a key of both numbers at full width: no turn is another conversation's, and keys sort as the pair does
+    item = lambda conv, turn: F.format_string("%020d:%020d", conv.cast("long"), turn.cast("long")).alias("item_id")
+    pages = corpus.load_pages(turns, "conv_id", "text", "turn", page_offset=2)
+    named = pages.select(item(F.col("doc_id"), F.col("page_number") + 2), "doc_id", "page_number")
+    vectors = V.embed_text(turns.select(item(F.col("conv_id"), F.col("turn")), "text"), "text").select("item_id", "vec")
     hits = search.hits_with_text(search.knn_exact(bench_vectors(spark, sf), vectors, 5), named)
     stored = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("source_page"), F.length("text").alias("page_chars"))
     found = search.hit_page_lookup(hits, stored, 2).withColumn("source_page", F.col("source_page").cast("long"))

@@ -223,3 +223,14 @@ def test_mixture_cut_keeps_the_upper_part(spark):
     hits = spark.createDataFrame([(1, i, s, i + 1) for i, s in enumerate(scores)], "query_id long, item_id long, score double, rank int")
     assert {r.item_id for r in search.dynamic_k(hits).collect()} == {0, 1, 2}
     assert {r.item_id for r in search.dynamic_k(hits, "gap").collect()} == {0, 1, 2}
+
+
+def test_hit_page_lookup_of_long_conversations(spark, tmp_path):
+    from passagemill.catalog import QUERIES
+
+    rows = [(1, 1002, "user", "red apple"), (2, 2, "user", "blue plum"), (2, 1, "user", "green pear")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(7, "red apple")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = QUERIES["hit_page_lookup"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.source_page) for r in found) == [(1, 1002), (2, 1), (2, 2)]
+    assert [(r.doc_id, r.source_page) for r in found if r["rank"] == 1] == [(1, 1002)]
