@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passagemill.llm import decontaminate, language, line_dedup, packing, quality_model, quality_rules, sharding, simhash, token_counts, url_filter
+from passagemill.llm import (
+    alignment,
+    decontaminate,
+    language,
+    line_dedup,
+    packing,
+    quality_model,
+    quality_rules,
+    runs,
+    secrets,
+    sharding,
+    simhash,
+    token_counts,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +138,18 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_keep("op10_language_mixture")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
+
+
+@_keep("op11_square_runs")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.find_runs(runs.with_loops(_table(spark, sf_dir, "documents"))))
+
+
+@_keep("op12_token_alignment")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(_table(spark, sf_dir, "documents"))
+
+
+@_keep("op13_secret_scans", secrets.oracle())
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.find_secrets(_table(spark, sf_dir, "documents")))
