@@ -34,9 +34,14 @@ from pyspark.sql import functions as F
 from passagemill.llm.common import column, slices, starts_of, sums_of, texts
 from passagemill.plans.session import cut_lineage
 
-_AT_ONCE = 20_000
+#: Bytes of units that are encoded as one text.
+_AT_ONCE = 1 << 14
+#: Bytes of texts in a block.
+_BLOCK_BYTES = 3 << 20
 #: Groups with more links than this are counted by their different ids first.
 _WIDE = 1024
+# Fixed value: the pattern by which byte-level tokenizer files cut words.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PROBE = "a  b\n \tÅ é ﬁ １ c"
 
 _SCHEMA = (
@@ -80,32 +85,69 @@ class Pair:
         self.b_bytes = [
             bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
-        cutter = json.loads(self.a.to_str())
-        before = cutter["pre_tokenizer"] or {}
+        self.size_a, self.size_b = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes))
+        config = json.loads(self.a.to_str())
+        before, model = config["pre_tokenizer"] or {}, config["model"]
         self.word_wise = (
-            cutter["normalizer"] is None
+            config["normalizer"] is None
             and (before.get("type"), before.get("add_prefix_space"), before.get("use_regex")) == ("ByteLevel", False, True)
             and not any("▁" in p.lstrip("▁") for p in pieces)
             and b"".join(self.b_bytes[i] for i in self.b.encode(_PROBE)) == f" {_PROBE}".encode()
         )
-
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of each unit, which begins with a blank; none where the tokens do not give the unit back."""
-        a: list[list[int]] = []
-        b: list[list[int]] = []
-        for at in range(0, len(units), _AT_ONCE):
-            part = units[at : at + _AT_ONCE]
-            for unit, x, y in zip(part, self.a.encode_batch_fast(part, add_special_tokens=False), self.b.encode([u[1:] for u in part], num_threads=1)):
-                ids, raw = x.ids, unit.encode()
-                same = b"".join([self.a_bytes[i] for i in ids]) == raw == b"".join([self.b_bytes[i] for i in y])
-                a.append(ids if same else [])
-                b.append(y if same else [])
-        return a, b
-
-
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((i for x in lists for i in x), np.int64, int(counts.sum())), counts
+        # merges in the order of their ids are ranks: a second library encodes by those, several times faster
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
+        made = [vocabulary.get("".join(m), -1) for m in merges]
+        self.ranked = self.word_wise and len(made) + 256 == len(vocabulary) and made == sorted(set(made)) and not model.get("ignore_merges")
+        if self.ranked:
+            import tiktoken
+
+            ranks = {self.a_bytes[i]: i for i in vocabulary.values()}
+            self.fast_a = tiktoken.Encoding("ranks", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.a = None
+
+    def _ids_a(self, text: str) -> list[int]:
+        return self.fast_a.encode_ordinary(text) if self.ranked else self.a.encode(text, add_special_tokens=False).ids
+
+    def _one_by_one(self, units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for unit in units:
+            a, b, raw = self._ids_a(unit), self.b.encode(unit[1:]), unit.encode()
+            same = b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
+            yield (np.array(a, np.int64), np.array(b, np.int64)) if same else (np.zeros(0, np.int64),) * 2
+
+    def _together(self, units: list[str], ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """Ids and counts of units that make one text; None where they are not given back or a token spans two."""
+        text, found = "".join(units), []
+        raw = text.encode()
+        for ids, table, sizes in ((self._ids_a(text), self.a_bytes, self.size_a), (self.b.encode(text[1:]), self.b_bytes, self.size_b)):
+            if b"".join([table[i] for i in ids]) != raw:
+                return None
+            ids = np.array(ids, np.int64)
+            stops = np.cumsum(sizes[ids])
+            last = np.searchsorted(stops, ends)
+            if (stops[last] != ends).any():
+                return None
+            found.append((ids, np.diff(last, prepend=-1)))
+        return found
+
+    def encode(self, units: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For both tokenizers: ids of the units, each of which begins with a blank, and how many each has.
+
+        A unit has none where its tokens do not give it back.
+        """
+        parts: list[list[tuple[np.ndarray, np.ndarray]]] = []
+        ends = np.cumsum(pc.binary_length(units).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(units):
+            base = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, base + _AT_ONCE, side="right"))) if self.word_wise else at + 1
+            listed = units.slice(at, stop - at).to_pylist()
+            joined = self._together(listed, ends[at:stop] - base)
+            if joined is None:
+                joined = [(np.concatenate(x), np.array([len(y) for y in x], np.int64)) for x in zip(*self._one_by_one(listed))]
+            parts.append(joined)
+            at = stop
+        none = (np.zeros(0, np.int64),) * 2
+        return [tuple(np.concatenate(x) for x in zip(none, *(part[k] for part in parts))) for k in (0, 1)]
 
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -175,7 +217,7 @@ def _unit_offsets(raw: np.ndarray, text_ends: np.ndarray) -> np.ndarray:
     inside = np.searchsorted(text_ends, cuts, side="right")
     # the blank before a text and the byte before it belong to no common text
     cuts = cuts[cuts > np.concatenate(([0], text_ends))[inside]]
-    return np.concatenate((np.unique(np.concatenate((starts, cuts))), [len(raw)])).astype(np.int64)
+    return np.concatenate((np.sort(np.concatenate((starts, cuts))), [len(raw)])).astype(np.int64)
 
 
 def _units(text: pa.Array, word_wise: bool) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -203,10 +245,9 @@ class Units:
     """Tokens, groups and links of different units."""
 
     def __init__(self, pair: Pair, units: pa.Array):
-        a, b = pair.encode(units.to_pylist())
-        (self.a, self.n_a), (self.b, self.n_b) = _flat(a), _flat(b)
+        (self.a, self.n_a), (self.b, self.n_b) = pair.encode(units)
         self.whole = self.n_a > 0
-        size_a, size_b = (np.array([len(x) for x in table], np.int64) for table in (pair.a_bytes, pair.b_bytes))
+        size_a, size_b = pair.size_a, pair.size_b
         full_a, full_b = (np.cumsum(n)[self.whole] - 1 for n in (self.n_a, self.n_b))
         cut_a, cut_b = shared_cuts(np.cumsum(size_a[self.a]), np.cumsum(size_b[self.b]), full_a, full_b)
         in_a, in_b = np.diff(cut_a, prepend=-1), np.diff(cut_b, prepend=-1)
@@ -249,11 +290,30 @@ class Units:
 
 
 def summed(first: np.ndarray, second: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sum of ``values`` for each different (first, second), in order."""
-    order = np.lexsort((second, first))
-    first, second = first[order], second[order]
-    new = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])))) if len(first) else order
-    return first[new], second[new], np.add.reduceat(values[order], new) if len(new) else values
+    """Sum of ``values`` for each different (first, second), in order; all are 0 or more."""
+    bits = [int(x.max(initial=0)).bit_length() for x in (first, second, values)]
+    if sum(bits) <= 63:  # one number holds all three, and numbers are sorted fastest
+        packed = np.sort(((first << bits[1] | second) << bits[2]) | values)
+        first, second = packed >> (bits[1] + bits[2]), packed >> bits[2] & ((1 << bits[1]) - 1)
+        values = packed & ((1 << bits[2]) - 1)
+    else:
+        order = np.lexsort((second, first))
+        first, second, values = first[order], second[order], values[order]
+    new = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1]))))[: len(first)]
+    return first[new], second[new], np.add.reduceat(values, new) if len(new) else values
+
+
+def _coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order, and the place of each value among them."""
+    bits = len(values).bit_length()
+    if int(values.max(initial=0)).bit_length() + bits > 63:
+        return np.unique(values, return_inverse=True)
+    packed = np.sort(values << bits | np.arange(len(values)))
+    ordered, at = packed >> bits, packed & ((1 << bits) - 1)
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1]))[: len(values)]
+    places = np.empty(len(values), np.int64)
+    places[at] = np.cumsum(new) - 1
+    return ordered[new], places
 
 
 def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -261,7 +321,7 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, task, names = Pair(a_path, b_path), TaskContext.get().partitionId(), [f.split()[0] for f in _SCHEMA.split(", ")]
-        for number, batch in enumerate(slices(batches, "text")):
+        for number, batch in enumerate(slices(batches, "text", _BLOCK_BYTES)):
             coded, counts = _units(texts(batch), pair.word_wise)
             codes = coded.indices.to_numpy().astype(np.int64)
             units = Units(pair, coded.dictionary)
@@ -274,7 +334,7 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             doc, unit, often = summed(np.repeat(np.arange(n), counts), codes, np.ones(len(codes), np.int64))
             here = units.n_pairs[unit]
             at = _ranges(starts_of(units.n_pairs)[unit], here)
-            different, coded_pair = np.unique(units.pair, return_inverse=True)
+            different, coded_pair = _coded(units.pair)
             doc, place, times = summed(np.repeat(doc, here), coded_pair[at], units.times[at] * np.repeat(often, here))
             n_docs = np.bincount(place, minlength=len(different))
             held = np.flatnonzero(n_docs)

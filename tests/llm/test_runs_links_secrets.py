@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from passagemill.llm import alignment, queries, runs, secrets
 
@@ -120,12 +121,13 @@ def test_run_query(spark):
 
 
 def brute_links(rows):
-    pair = alignment.Pair(*alignment.default_files())
+    pair, real = alignment.Pair(*alignment.default_files()), Tokenizer.from_file(alignment.default_files()[0])
+    real.encode_special_tokens = True
     docs, count = [], Counter()
     for _, t in rows:
         raw, a, b = f" {t}".encode(), [], []
         if t:
-            a, b = pair.a.encode(f" {t}", add_special_tokens=False).ids, pair.b.encode(t)
+            a, b = real.encode(f" {t}", add_special_tokens=False).ids, pair.b.encode(t)
             if not raw == b"".join(pair.a_bytes[i] for i in a) == b"".join(pair.b_bytes[i] for i in b):
                 a, b = [], []
         ends = [np.cumsum([len(table[i]) for i in ids]).tolist() for ids, table in ((a, pair.a_bytes), (b, pair.b_bytes))]
@@ -159,7 +161,7 @@ def test_links(spark, monkeypatch, word_wise, slice_bytes):
     if not word_wise:
         monkeypatch.setattr(alignment, "_PROBE", "")  # texts are then one unit each
         assert not alignment.Pair(*alignment.default_files()).word_wise
-    monkeypatch.setattr(alignment.slices, "__defaults__", (slice_bytes,))
+    monkeypatch.setattr(alignment, "_BLOCK_BYTES", slice_bytes)
     rows = list(enumerate(odd_texts())) + [(3, "a"), (None, "a b"), (None, None)]
     df = docs_of(spark, rows)
     order = "doc_id n_a n_b n_groups n_links groups_sha256 n_best count_sum".split()
