@@ -37,7 +37,7 @@ from passagemill.plans.session import cut_lineage
 #: Bytes of units that are encoded as one text.
 _AT_ONCE = 1 << 14
 #: Bytes of texts in a block.
-_BLOCK_BYTES = 3 << 20
+_BLOCK_BYTES = 1 << 20
 #: Groups with more links than this are counted by their different ids first.
 _WIDE = 1024
 # Fixed value: the pattern by which byte-level tokenizer files cut words.
@@ -256,6 +256,7 @@ class Units:
         self.n_links = sums_of(in_a * in_b, self.n_groups)
         self.text = self._text(cut_a, cut_b, in_a, in_b, unit, len(size_a), len(size_b))
         self.pair, self.times, self.n_pairs = self._links(cut_a, cut_b, in_a, in_b, unit, len(size_b))
+        del self.a, self.b
 
     def _text(self, cut_a, cut_b, in_a, in_b, unit, size_a: int, size_b: int) -> pa.Array:
         """``a1,a2|b1;a3|b2`` of each unit."""
@@ -352,7 +353,11 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 "pair": pa.array([None] * n + [place.astype("<u4").tobytes()], pa.binary()),
                 "times": pa.array([None] * n + [times.astype("<u8" if times.max(initial=0) >> 16 else "<u2").tobytes()], pa.binary()),
             }
-            yield pa.RecordBatch.from_arrays([values[k] for k in names], names=names)
+            made = pa.RecordBatch.from_arrays([values[k] for k in names], names=names)
+            del values, lists, coded, codes, units, doc, unit, often, here, at, place, times
+            yield made
+            del made
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, _SCHEMA)
 
