@@ -6,16 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.functions import vectors as V
-from passagemill.operators.search import knn_codes, knn_exact, knn_in_cells, zero_shot_label
+from passagemill.operators.search import _matrix, knn_codes, knn_exact, knn_in_cells, rerank
 from passagemill.plans.session import cut_lineage
-from passagemill.sources.stores import write_vectors_parquet
+from passagemill.plans.skew import salted_join
+
+#: Vectors whose signs are worked out at once.
+SIGN_ROWS = 256
+
 
 def fitted_on(items: DataFrame, fraction: float) -> DataFrame:
     """Rows to fit a codebook on: all of them unless the caller asks for a share, taken by a hash of the id."""
@@ -48,22 +53,6 @@ def knn_ivf(queries: DataFrame, items: DataFrame, model: KMeansModel, k: int = 5
     return knn_in_cells(probe_cells(queries, model, n_probe), items, k, "dot", skip_self)
 
 
-def store_cells(items: DataFrame, centres: DataFrame, path: str) -> None:
-    """The index as a table: ``items`` laid out by the nearest of the given ``centres(label, vec)``."""
-    near = zero_shot_label(items, centres).select("item_id", F.col("label").alias("cell"))
-    write_vectors_parquet(items.join(near, "item_id"), path, cell="cell", mode="overwrite")
-
-
-def knn_stored_cells(queries: DataFrame, stored: DataFrame, centres: DataFrame, k: int = 5, n_probe: int = 4, skip_self: bool = False) -> DataFrame:
-    """Search a table written by ``store_cells``: only the folders of cells that some query looks into are read."""
-    named = centres.select(F.col("label").alias("item_id"), "vec")
-    near = knn_exact(queries, named, n_probe, "cosine", move_items=True).select("query_id", F.col("item_id").alias("cell"))
-    probes = cut_lineage(near, "probes")
-    # at most as many as there are centres; as literals they are partition filters
-    asked = [r["cell"] for r in probes.select("cell").distinct().collect()]
-    return knn_in_cells(queries.join(probes, "query_id"), stored.where(F.col("cell").isin(asked)), k, "dot", skip_self)
-
-
 # ---- sign hashing ---------------------------------------------------------------------------
 
 
@@ -98,6 +87,86 @@ def knn_lsh(queries: DataFrame, items: DataFrame, dim: int, k: int = 5, tables:
     return knn_in_cells(q, d, k, "dot", skip_self)
 
 
+def probe_sequence(margins: np.ndarray, n_probe: int) -> np.ndarray:
+    """(rows, n_probe): sets of signs to flip, as bit numbers, by the sum of their squared margins; the first is none."""
+    rows, bits = margins.shape
+    # only the least margins are worth flipping: sets of the ``take`` smallest hold the cheapest ``n_probe``
+    take = min(bits, max(1, n_probe - 1).bit_length() * 2)
+    order = np.argsort(margins, axis=1, kind="stable")[:, :take]
+    sets = (np.arange(1 << take)[:, None] >> np.arange(take)) & 1
+    cost = (np.take_along_axis(margins, order, axis=1) ** 2) @ sets.T
+    best = np.argsort(cost, axis=1, kind="stable")[:, :n_probe]
+    return (sets[best] << order[:, None, :]).sum(axis=2)
+
+
+def _signs(df: DataFrame, key: str, tables: int, bits: int, dim: int, n_probe: int, seed: int) -> DataFrame:
+    """(key, cell): the cell of each table, or the ``n_probe`` cells nearest to the vector by its margins. No vector leaves the task."""
+    directions, source = np.array(planes(tables * bits, dim, seed)), V.as_vectors(df).where(F.col(key).isNotNull()).select(key, "vec")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SIGN_ROWS):
+                part = batch.slice(at, SIGN_ROWS)
+                x = (_matrix(part.column(1)) @ directions.T).reshape(part.num_rows * tables, bits)
+                code = ((x > 0) << np.arange(bits)).sum(axis=1)
+                cells = code[:, None] ^ (probe_sequence(np.abs(x), n_probe) if n_probe > 1 else 0)
+                cells = cells.reshape(part.num_rows, tables, -1) + (np.arange(tables) << bits)[None, :, None]
+                keys = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), cells[0].size)))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(cells.ravel())], names=[key, "cell"])
+
+    return source.mapInArrow(run, f"{key} {source.schema[key].dataType.simpleString()}, cell long")
+
+
+def bits_for(rows: int, per_cell: int = 2) -> int:
+    """Signs a table for about ``per_cell`` rows a cell, whatever the number of rows."""
+    return max(1, min(40, round(np.log2(max(2, rows) / per_cell))))
+
+
+def probes_for(bits: int) -> int:
+    """A sixteenth of a table's cells, 64 at most."""
+    return min(64, 1 << max(0, bits - 4))
+
+
+def knn_multiprobe(
+    queries: DataFrame,
+    items: DataFrame,
+    dim: int,
+    k: int = 5,
+    tables: int = 32,
+    bits: int = 10,
+    n_probe: int | None = None,
+    votes: int = 4,
+    skip_self: bool = False,
+    seed: int = 11,
+) -> DataFrame:
+    """Best ``k`` by product among the items met in ``votes`` or more of the tables' probed cells; needs no training.
+
+    A query looks into its own cell of every table and then into the cells behind its least margins. Ids alone are moved and counted;
+    vectors are read for candidates only. Equal vectors are one candidate: their lowest id stands for them, and only the
+    ``k`` lowest (and the query itself) can be hits, as ties go to lower ids. ``bits_for`` gives the bits for a number of rows, ``probes_for``
+    the cells to look into for them.
+    """
+    found = lsh_candidates(queries, items, dim, k, tables, bits, n_probe or probes_for(bits), votes, skip_self, seed)
+    return rerank(found, queries, items, k, V.dot_product).drop("first_rank")
+
+
+def lsh_candidates(
+    queries: DataFrame, items: DataFrame, dim: int, k: int, tables: int, bits: int, n_probe: int, votes: int, skip_self: bool, seed: int = 11
+) -> DataFrame:
+    """(query_id, item_id, rank): what ``knn_multiprobe`` scores exactly, by votes."""
+    alike = V.as_vectors(items).where("item_id IS NOT NULL").select("item_id", "vec")
+    w = Window.partitionBy("print").orderBy("item_id")
+    members = alike.select("item_id", F.xxhash64("vec").alias("print")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k + 1)
+    members = cut_lineage(members, "members")
+    first = members.where("place = 1").select("item_id")
+    d = _signs(alike.join(first, "item_id", "left_semi"), "item_id", tables, bits, dim, 1, seed)
+    q = _signs(queries, "query_id", tables, bits, dim, n_probe, seed)
+    met = salted_join(q, d, "cell").groupBy("query_id", "item_id").agg(F.count(F.lit(1)).alias("rank")).where(F.col("rank") >= votes)
+    whole = members.select("item_id", "print").join(members.where("place = 1").select(F.col("item_id").alias("first"), "print"), "print")
+    out = met.withColumnRenamed("item_id", "first").join(whole, "first").select("query_id", "item_id", "rank")
+    return out.where("query_id <> item_id") if skip_self else out
+
+
 # ---- product codes --------------------------------------------------------------------------
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from passagemill.functions import text as X
 from passagemill.operators import lexical
+from passagemill.operators.balls import pairs_by_angle
 from passagemill.operators.search import DIGITS, pairs_above, ranked
 from passagemill.plans.session import cut_lineage
 from passagemill.plans.skew import salted_join
@@ -93,7 +94,7 @@ def entity_profiles(mentions: DataFrame, chunks: DataFrame, n: int = 3, text: st
 
 
 def semantic_edges(items: DataFrame, low: float, metric: str = "cosine") -> DataFrame:
-    """Edges between items scoring at least ``low``.
+    """Edges between items scoring at least ``low``; by cosine, pairs of balls that are too far apart are not scored.
 
     Equal vectors are first reduced to their lowest id: the others hang on it by one edge each of
     score 1, instead of forming all pairs among the copies.
@@ -101,7 +102,10 @@ def semantic_edges(items: DataFrame, low: float, metric: str = "cosine") -> Data
     hashed = items.select("item_id", "vec", F.sha2(F.array_join(F.transform("vec", lambda x: x.cast("string")), ","), 256).alias("h"))
     first = hashed.groupBy("h").agg(F.min("item_id").alias("item_id"), F.min("vec").alias("vec"), F.count(F.lit(1)).alias("n"))
     reps = first.select("item_id", "vec")
-    found = pairs_above(reps.withColumnRenamed("item_id", "query_id"), reps, low, metric).where("query_id < item_id")
+    if metric == "cosine":
+        found = pairs_by_angle(cut_lineage(reps, "different"), low)
+    else:
+        found = pairs_above(reps.withColumnRenamed("item_id", "query_id"), reps, low, metric).where("query_id < item_id")
     links = salted_join(hashed.select("item_id", "h"), first.select("h", F.col("item_id").alias("first_id")), "h", first, "n")
     copies = links.where("item_id <> first_id").select(F.col("first_id").alias("src"), F.col("item_id").alias("dst"), F.lit(1.0).alias("weight"))
     return found.select(F.col("query_id").alias("src"), F.col("item_id").alias("dst"), F.col("score").alias("weight")).unionByName(copies)

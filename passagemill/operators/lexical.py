@@ -1,11 +1,15 @@
 """Term statistics, sparse and hybrid retrieval, focus and query rewriting.
 
-A document is one row, so its words are counted inside it: sorted, and cut where the word changes. No text is
-shuffled; what leaves a task is terms with their counts, or each query's best k.
+A document is one row, so its words are counted where it is, a batch of rows at a time. No text is shuffled; what leaves a task is terms with their counts, or each query's best k.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,18 +29,23 @@ def words_of(docs: DataFrame, keep: list, words: Column) -> DataFrame:
 
 
 def term_frequencies(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, doc_len, term, tf), counted inside each row; ``key`` names a row."""
-    words = docs.select(key, F.array_sort(X.tokens(F.col(text))).alias("words"))
-    # where in the sorted words a new one begins
-    first = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (i == 0) | (F.get("words", i) != F.get("words", i - 1)))
-    cut = words.where(F.size("words") > 0).withColumn("first", first)
-    counted = F.transform(
-        "first",
-        lambda at, i: F.struct(
-            F.get("words", at).alias("term"), (F.coalesce(F.get("first", i + 1), F.size("words")) - at).cast("long").alias("tf")
-        ),
-    )
-    return cut.select(key, F.size("words").alias("doc_len"), F.inline(counted))
+    """(key, doc_len, term, tf), counted where the rows are, an Arrow batch at a time; ``key`` names a row."""
+    words = docs.select(F.col(key).alias("key"), X.tokens(F.col(text)).alias("words"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lists = batch.column(0), batch.column(1)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = pc.dictionary_encode(lists.flatten())
+            bits = len(coded.dictionary).bit_length()
+            row = np.repeat(np.arange(batch.num_rows), size)
+            found, tf = np.unique(row << bits | coded.indices.to_numpy(), return_counts=True)
+            at, term = found >> bits, found & ((1 << bits) - 1)
+            columns = [keys.take(pa.array(at)), pa.array(size[at].astype(np.int32)), coded.dictionary.take(pa.array(term)), pa.array(tf.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_len", "term", "tf"])
+
+    kind = words.schema["key"].dataType.simpleString()
+    return words.mapInArrow(count, f"key {kind}, doc_len int, term string, tf long").withColumnRenamed("key", key)
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:

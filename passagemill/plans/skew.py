@@ -56,10 +56,22 @@ def salted_join(
     return left.join(right, [key, _SALT], how).drop(_SALT)
 
 
+#: A Parquet writer's usual row group: a split without the middle of one holds no rows.
+ROW_GROUP_BYTES = 128 << 20
+#: Tables below this are one task's work.
+WORTH_DEALING = 64 << 10
+
+
 def spread_out(df: DataFrame) -> DataFrame:
-    """Deal rows over all cores when most cores would have none: fewer splits than a quarter of the cores.
+    """Deal the rows of stored files over all cores where they sit in fewer row groups than there are cores.
 
-    A shuffle of the whole input pays for a few unsplittable files only; a large input is left as it is.
+    Splits do not tell: a file of one row group may be cut into many, all but one of them empty. There are about as many row
+    groups as files and whole ``ROW_GROUP_BYTES`` together, so at most that many bytes a core are shuffled; a larger input is
+    left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < WORTH_DEALING or size >= cores * ROW_GROUP_BYTES:
+        return df
+    groups = len(df.inputFiles()) + size // ROW_GROUP_BYTES
+    return df.repartition(cores) if groups < cores else df
