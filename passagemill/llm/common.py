@@ -22,6 +22,16 @@ def id_or_lowest(name: str) -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with marks added until no column of ``df`` has it: for columns that a join adds for a while."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose ``column`` holds about ``limit`` bytes (a longer text is a batch alone)."""
     for batch in batches:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import NO_ID, column, id_or_lowest, slices, starts_of, sums_of, texts, words
+from passagemill.llm.common import NO_ID, column, id_or_lowest, slices, starts_of, sums_of, texts, unused, words
 from passagemill.plans.session import cut_lineage
 
 MASKS = ("110110101", "1110010011", "11010001011", "101100100011")
@@ -260,8 +260,7 @@ def contaminated(
 
 def keep_clean(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """``docs`` without the rows that hold an item."""
-    found = _matches(docs, items, masks, window, share, FILTER_BYTES).select(
-        F.col("doc").alias("_found_doc"), F.col("text_key").alias("_found_text")
-    )
-    this = (id_or_lowest("doc_id") == F.col("_found_doc")) & (F.xxhash64("text") == F.col("_found_text"))
+    doc, text = unused(docs, "_found_doc", "_found_text")
+    found = _matches(docs, items, masks, window, share, FILTER_BYTES).select(F.col("doc").alias(doc), F.col("text_key").alias(text))
+    this = (id_or_lowest("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(text))
     return docs.join(found.distinct(), this, "left_anti")

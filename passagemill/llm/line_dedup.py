@@ -11,7 +11,8 @@ group keeps its lines. Only the first and last group of a range can be cut by it
 together afterwards (at most two keys a range, which is what makes their broadcast bounded).
 
 Defined results: a null or empty text is one empty line; null ids count as one document, lower than all others; rows
-with the same id are one document for the counting, each with its own bitmap; an empty table gives no rows.
+with the same id are one document for the counting, each with its own bitmap; an empty table gives no rows. A very long text
+is a slice alone. Columns of any name are passed on: those that a join adds take names that are free.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import NO_ID, column, id_or_lowest, slices, texts
+from passagemill.llm.common import NO_ID, column, id_or_lowest, slices, texts, unused
 from passagemill.plans.session import cut_lineage
 
 MIN_CHARS = 20
@@ -161,12 +162,12 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     return by_text.mapInArrow(_pack, "doc long, text_key long, n_lines long, n_dropped long, keep_bits binary")
 
 
-def _with_bitmaps(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    maps = keep_bitmaps(docs, min_chars, min_docs).select(
-        F.col("doc").alias("_map_doc"), F.col("text_key").alias("_map_text"), F.col("keep_bits").alias("_keep_bits")
-    )
-    on = (id_or_lowest("doc_id") == F.col("_map_doc")) & (F.xxhash64("text") == F.col("_map_text"))
-    return docs.join(maps, on, "left").drop("_map_doc", "_map_text")
+def _with_bitmaps(docs: DataFrame, min_chars: int, min_docs: int) -> tuple[DataFrame, str]:
+    """``docs`` and their bitmaps, in a column whose name comes second."""
+    doc, text, bits = unused(docs, "_map_doc", "_map_text", "_keep_bits")
+    maps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc").alias(doc), F.col("text_key").alias(text), F.col("keep_bits").alias(bits))
+    on = (id_or_lowest("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(text))
+    return docs.join(maps, on, "left").drop(doc, text), bits
 
 
 def _applied(text: str, bits: bytes | None) -> tuple[bytes, int, int]:
@@ -195,22 +196,23 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256), a row for every row of ``docs``."""
-    joined = _with_bitmaps(docs.select(F.col("doc_id").cast("long"), "text"), min_chars, min_docs)
+    joined, _ = _with_bitmaps(docs.select(F.col("doc_id").cast("long"), "text"), min_chars, min_docs)
     return joined.mapInArrow(_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with the lines gone from ``text``. A text that loses nothing, a null one too, is passed on as it is."""
     names = docs.columns
+    joined, kept = _with_bitmaps(docs, min_chars, min_docs)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            bits = column(batch, "_keep_bits").to_pylist()
+            bits = column(batch, kept).to_pylist()
             text = [t if b is None else _applied(t, b)[0].decode() for t, b in zip(column(batch, "text").to_pylist(), bits)]
             parts = [pa.array(text, pa.string()) if c == "text" else column(batch, c) for c in names]
             yield pa.RecordBatch.from_arrays(parts, names)
 
-    return _with_bitmaps(docs, min_chars, min_docs).mapInArrow(apply, docs.schema)
+    return joined.mapInArrow(apply, docs.schema)
 
 
 __all__ = ["MIN_CHARS", "MIN_DOCS", "NO_ID", "drop_lines", "keep_bitmaps", "kept_lines", "line_digests"]

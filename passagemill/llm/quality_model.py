@@ -192,6 +192,18 @@ class Network:
         e = np.outer(d, self.w[2]) * (h > 0)
         return [x.T @ e + 1e-4 * self.w[0], e.sum(axis=0), h.T @ d + 1e-4 * self.w[2], np.array([d.sum()])]
 
+    def state(self) -> tuple:
+        """Arrays and numbers alone: a broadcast names classes by their module, which workers need not have."""
+        return self.mean, self.scale, self.w, self.temperature
+
+    @classmethod
+    def of(cls, state: tuple | None) -> Network | None:
+        if state is None:
+            return None
+        network = cls.__new__(cls)
+        network.mean, network.scale, network.w, network.temperature = state
+        return network
+
     def _output(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(x @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3]
 
@@ -212,7 +224,8 @@ def _pooled_rows(shared):
 
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (vectors, network), known = shared.value, Rows()
+        (vectors, state), known = shared.value, Rows()
+        network = Network.of(state)
         for batch in slices(batches, "text", _SLICE):
             score = np.full(batch.num_rows, 0.5) if network is None else network.scores(pooled(texts(batch), vectors, known))
             yield pa.RecordBatch.from_arrays(
@@ -253,5 +266,5 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, train_rows: in
     vectors = word_vectors(rows)
     known = labels.select(F.col("doc_id").cast("long"), "quality").where(remainder("doc_id", folds) != 1)
     network = fit(rows, known, vectors, train_rows)
-    shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
+    shared = docs.sparkSession.sparkContext.broadcast((vectors, network and network.state()))
     return rows.mapInArrow(_scored(shared), "doc_id long, held_out boolean, score double, predicted int")

@@ -22,7 +22,8 @@ finds all links.
 
 Defined results: a null or empty text has the fingerprint 0, which is linked like any other; a text with fewer words
 than a shingle is one shingle; null ids come out as null and are lower than all others; rows with equal ids are
-separate entries that may be in different groups; an empty table gives no rows.
+separate entries that may be in different groups; an empty table gives no rows. A very long text is a slice alone. Columns of any
+name are passed on: those that a join adds take names that are free.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import NO_ID, column, components, id_or_lowest, slices, texts
+from passagemill.llm.common import NO_ID, column, components, id_or_lowest, slices, texts, unused
 from passagemill.plans.session import cut_lineage
 
 SEED = 42
@@ -505,17 +506,16 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, families:
     rows = cut_lineage(grouped(docs, words, families, max_bits, similarity), "grouped")
     first = rows.groupBy("root").agg(F.min(F.struct("doc", "text_key")).alias("kept"), F.count(F.lit(1)).alias("n"))
     named = rows.join(cut_lineage(first.where("n > 1"), "first"), "root")
-    lost = named.where(F.struct("doc", "text_key") != F.col("kept")).select(
-        F.col("doc").alias("_lost_doc"), F.col("text_key").alias("_lost_text")
-    )
-    this = (id_or_lowest("doc_id") == F.col("_lost_doc")) & (F.xxhash64("text") == F.col("_lost_text"))
+    doc, text = unused(docs, "_group_doc", "_group_text")
+    lost = named.where(F.struct("doc", "text_key") != F.col("kept")).select(F.col("doc").alias(doc), F.col("text_key").alias(text))
+    this = (id_or_lowest("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(text))
     left = docs.join(lost.distinct(), this, "left_anti")
     again = cut_lineage(rows.groupBy("doc", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "again")
     if again.isEmpty():
         return left
     # rows that repeat both id and text: the first of each stays
-    again = again.select(F.col("doc").alias("_again_doc"), F.col("text_key").alias("_again_text"))
-    twice = (id_or_lowest("doc_id") == F.col("_again_doc")) & (F.xxhash64("text") == F.col("_again_text"))
+    again = again.select(F.col("doc").alias(doc), F.col("text_key").alias(text))
+    twice = (id_or_lowest("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(text))
     single = left.join(again, twice, "left_anti")
-    repeated = left.join(again, twice, "left_semi").withColumns({"_again_doc": id_or_lowest("doc_id"), "_again_text": F.xxhash64("text")})
-    return single.unionByName(repeated.dropDuplicates(["_again_doc", "_again_text"]).drop("_again_doc", "_again_text"))
+    repeated = left.join(again, twice, "left_semi").withColumns({doc: id_or_lowest("doc_id"), text: F.xxhash64("text")})
+    return single.unionByName(repeated.dropDuplicates([doc, text]).drop(doc, text))

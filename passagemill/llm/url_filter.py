@@ -69,6 +69,16 @@ class Bloom:
         self.level = level
         self.table = np.zeros(-(-self.bits // 8), np.uint8)
 
+    def state(self) -> tuple:
+        """Numbers and an array alone: a broadcast names classes by their module, which workers need not have."""
+        return self.bits, self.hashes, self.level, self.table
+
+    @classmethod
+    def of(cls, state: tuple) -> Bloom:
+        one = cls.__new__(cls)
+        one.bits, one.hashes, one.level, one.table = state
+        return one
+
     def places(self, key: str) -> list[int]:
         h = xxhash.xxh3_128_intdigest(key.encode(), self.level)
         a, b = h >> 64, (h & ((1 << 64) - 1)) | 1
@@ -123,10 +133,10 @@ def build(universe: DataFrame, listed: DataFrame, max_bytes: int = MAX_BYTES) ->
             return Cascade(levels, inside)
         level = _filled(inside, level)
         levels.append(level)
-        shared = spark.sparkContext.broadcast(level)
+        shared = spark.sparkContext.broadcast(level.state())
 
         def taken(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            one = shared.value
+            one = Bloom.of(shared.value)
             for batch in batches:
                 keys = [k for k in dict.fromkeys(column(batch, "key").to_pylist()) if k in one]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string())], ["key"])
@@ -152,7 +162,7 @@ def _keys(lengths: list[int]):
 
 def _judged(shared, lengths: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = shared.value
+        levels = [Bloom.of(state) for state in shared.value]
         for batch in batches:
             hits = []
             for host, path in zip(column(batch, "host").to_pylist(), column(batch, "path").to_pylist()):
@@ -176,7 +186,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, max_bytes
     for verdict in ("block", "allow"):
         keys = [(h + p,) for v, h, p in rules if v == verdict]
         cascade = build(universe, spark.createDataFrame(keys, "key string"), max_bytes)
-        shared = spark.sparkContext.broadcast(cascade.levels)
+        shared = spark.sparkContext.broadcast([level.state() for level in cascade.levels])
         schema = ", ".join(f"{n} {t}" for n, t in out.dtypes) + ", hits array<string>"
         out = out.mapInArrow(_judged(shared, lengths), schema)
         if cascade.rest is not None:

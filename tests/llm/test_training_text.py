@@ -4,6 +4,8 @@ import hashlib
 import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -35,7 +37,8 @@ WORDS = [a + b for a in "ba ke li mo nu so ta vi we xo ze ru".split() for b in "
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
      T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]
-    + [T.StructField(c, T.StringType()) for c in ("doc", "score", "shard", "n", "hi", "bits", "key", "kept", "entry", "root", "size", "length")]
+    + [T.StructField(c, T.StringType()) for c in ("doc", "score", "shard", "n", "hi", "bits", "key", "kept", "entry", "root", "size", "length", "_map_doc", "_map_text", "_keep_bits",
+        "_group_doc", "_group_text", "_found_doc", "_found_text", "_text", "_words")]
 )
 
 
@@ -51,7 +54,7 @@ def odd_rows():
     texts += [said(40, 3), said(40, 3), said(40, 3), said(40, 3) + " end", long, "x", "a\nb\nc", "\n\n", "東京都 に 行き ます", "*** $$$ ###", said(9, 4), said(10, 4)]
     rows = [(i, t) for i, t in enumerate(texts)]
     rows += [(5, shared), (9, said(40, 3)), (None, shared), (None, "without a number"), (None, None), (77, said(25, 9)), (77, said(25, 10))]
-    return [(i, t, "en" if n % 3 else None, None, None, *["clash"] * 12) for n, (i, t) in enumerate(rows)]
+    return [(i, t, "en" if n % 3 else None, None, None, *["clash"] * 21) for n, (i, t) in enumerate(rows)]
 
 
 @pytest.fixture(scope="module")
@@ -65,7 +68,7 @@ def none(spark):
 
 
 def docs_of(spark, texts):
-    return spark.createDataFrame([(i, t, None, None, None, *[None] * 12) for i, t in enumerate(texts)], SCHEMA)
+    return spark.createDataFrame([(i, t, None, None, None, *[None] * 21) for i, t in enumerate(texts)], SCHEMA)
 
 
 # ---- line dedup -----------------------------------------------------------------------------
@@ -473,3 +476,27 @@ def test_pipeline_rows(spark):
     assert not kept & bad and len(kept) > 0.6 * docs.count()
     got = corpus_pipeline.run(spark, SMALL).toPandas()
     assert set(got.doc_id) == kept
+
+
+# ---- workers without the package ------------------------------------------------------------
+
+ALONE = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+from passagemill.llm import queries
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+for name in {names!r}:
+    print(name, queries.QUERIES[name](spark, {folder!r}).count())
+"""
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are not here")
+def test_workers_need_no_package(tmp_path):
+    """The driver finds the package through its own path only; workers start in a folder without it."""
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    names = ["op3_quality_classifier", "op6_url_filter", "op8_pattern_packing", "op10_language_mixture", "op11_square_runs", "op12_token_alignment"]
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", ALONE.format(repo=repo, names=names, folder=SMALL)], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert run.returncode == 0, run.stderr[-2000:]
+    assert [x.split()[0] for x in run.stdout.split("\n") if x.startswith("op")] == names
