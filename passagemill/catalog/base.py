@@ -41,16 +41,14 @@ INTEGER_COLUMNS = {
     "write_vectors_csv": "n",
     "read_vectors_csv": "pos",
     "write_vectors_parquet": "pos",
-    "knn_lsh": "rank",
     "maxsim": "rank",
     "maxsim_rerank": "rank",
-    "knn_ivf": "rank",
-    "pq_encode": "rank",
     "batch_encode": "pos",
     "late_chunk_pool": "span_no pos",
     "late_chunk_long": "span_no pos",
     "inverted_index": "doc_len",
     "bm25_search": "rank",
+    "bm25_stored": "rank",
     "hybrid_search": "rank",
     "hybrid_search_weighted": "rank",
     "query_expansion": "rank",

@@ -6,20 +6,21 @@ from pyspark.sql import functions as F
 
 from passagemill.catalog.base import block, query, sql, table
 from passagemill.catalog.lexical_queries import W, asked
-from passagemill.catalog.vector_queries import big_chunks, chunk_hits, items, self_hits, vec_queries
+from passagemill.catalog.text_queries import doc_chunks
+from passagemill.catalog.vector_queries import chunk_hits, items, self_hits, vec_queries
 from passagemill.functions import vectors as V
 from passagemill.operators import graph
 from passagemill.plans.session import cut_lineage
 
 # ---- text graph -----------------------------------------------------------------------------
 
-block("ctf", f"SELECT chunk_id, t AS term, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(sentence_chunk), {W})) AS t FROM big_ch) GROUP BY ALL", ("big_ch",))
+block("ctf", f"SELECT chunk_id, t AS term, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(sentence_chunk), {W})) AS t FROM ch) GROUP BY ALL", ("ch",))
 block("cdf", "SELECT term, count(*) AS df FROM ctf GROUP BY term", ("ctf",))
 block(
     "ment",
     """SELECT chunk_id, term AS entity, score FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY score DESC, term) AS place FROM (
-      SELECT chunk_id, term, round(tf * ln((SELECT count(*) FROM big_ch) / df), 6) AS score FROM ctf JOIN cdf USING (term))) WHERE place <= 5""",
-    ("ctf", "cdf", "big_ch"),
+      SELECT chunk_id, term, round(tf * ln((SELECT count(*) FROM ch) / df), 6) AS score FROM ctf JOIN cdf USING (term))) WHERE place <= 5""",
+    ("ctf", "cdf", "ch"),
 )
 block("edg", "SELECT a.entity AS src, b.entity AS dst, count(*) AS weight FROM ment a JOIN ment b ON a.chunk_id = b.chunk_id AND a.entity < b.entity GROUP BY ALL", ("ment",))
 block("sym", "SELECT src, dst, weight FROM edg UNION ALL SELECT dst, src, weight FROM edg", ("edg",))
@@ -43,7 +44,7 @@ TEXT_LABELS = label_blocks("tl", "sym", 2)
 
 def mentions(spark, sf):
     """Extracted once and kept in the shared folder: every graph step reads them several times."""
-    return cut_lineage(graph.extract_entities(big_chunks(spark, sf).select("chunk_id", "sentence_chunk")))
+    return cut_lineage(graph.extract_entities(doc_chunks(spark, sf).select("chunk_id", "sentence_chunk")))
 
 
 def text_edges(m):
@@ -56,7 +57,7 @@ def text_labels(edges):
 
 @query("extract_entities", sql("SELECT * FROM ment", "ment"))
 def _(spark, sf):
-    return graph.extract_entities(big_chunks(spark, sf).select("chunk_id", "sentence_chunk"))
+    return graph.extract_entities(doc_chunks(spark, sf).select("chunk_id", "sentence_chunk"))
 
 
 @query("build_edges", sql("SELECT * FROM edg", "edg"))
@@ -80,12 +81,12 @@ def _(spark, sf):
     "entity_profiles",
     sql(
         """SELECT entity, string_agg(sentence_chunk, chr(10) ORDER BY place) AS profile FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score DESC, chunk_id) AS place
-        FROM ment) JOIN big_ch USING (chunk_id) WHERE place <= 3 GROUP BY entity""",
+        FROM ment) JOIN ch USING (chunk_id) WHERE place <= 3 GROUP BY entity""",
         "ment",
     ),
 )
 def _(spark, sf):
-    return graph.entity_profiles(mentions(spark, sf), big_chunks(spark, sf))
+    return graph.entity_profiles(mentions(spark, sf), doc_chunks(spark, sf))
 
 
 @query(
@@ -171,7 +172,7 @@ def _(spark, sf):
 
 
 LONG_SQL = f"""SELECT chunk_id, unnest(list_slice(list_sort(list_transform(list_filter(list_distinct(regexp_extract_all(lower(sentence_chunk), {W})), lambda t: length(t) >= 8),
-    lambda t: struct_pack(o := -length(t), entity := t))), 1, 5)).entity AS entity FROM big_ch"""
+    lambda t: struct_pack(o := -length(t), entity := t))), 1, 5)).entity AS entity FROM ch"""
 
 
 @query(
@@ -179,12 +180,12 @@ LONG_SQL = f"""SELECT chunk_id, unnest(list_slice(list_sort(list_transform(list_
     sql(
         f""", m AS ({LONG_SQL}) SELECT 'node' AS part, entity AS src, '' AS dst, count(*)::BIGINT AS n FROM m GROUP BY entity
         UNION ALL SELECT 'edge', a.entity, b.entity, count(*) FROM m a JOIN m b ON a.chunk_id = b.chunk_id AND a.entity < b.entity GROUP BY ALL""",
-        "big_ch",
+        "ch",
     ),
 )
 def _(spark, sf):
     """Documents with even ids first, odd ids added later; the oracle builds from all at once."""
-    chunks = big_chunks(spark, sf)
+    chunks = doc_chunks(spark, sf)
     halves = [graph.long_word_entities(chunks.where(F.col("doc_id") % 2 == i)) for i in (0, 1)]
     nodes = graph.merge_graph_increment(*[graph.build_nodes(h) for h in halves], ["entity"], ["n_chunks"])
     edges = graph.merge_graph_increment(*[graph.build_edges(h) for h in halves], ["src", "dst"], ["weight"])

@@ -8,7 +8,8 @@ from passagemill.catalog.base import block, query, sql, table
 from passagemill.catalog.text_queries import QRELS_SQL, eval_triple
 from passagemill.catalog.vector_queries import BENCH, DOCS, bench_vectors, big_chunks, chunk_hits, doc_hits, doc_vectors
 from passagemill.functions.text import BLANKS
-from passagemill.operators import lexical, prompt, search
+from passagemill.operators import lexical, postings, prompt, search
+from passagemill.plans.session import fresh_path
 
 W = r"'[\p{L}\p{N}]+'"
 block("tf", f"SELECT doc_id, t AS term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), {W})) AS t FROM documents) GROUP BY ALL")
@@ -59,6 +60,14 @@ def _(spark, sf):
     return lexical.inverted_index(docs(spark, sf), "doc_id")
 
 
+@query("bm25_stored", sql("SELECT * FROM bm5", "bm5"))
+def _(spark, sf):
+    """The same hits from a stored index: the postings of the terms asked for, and of those only what can matter."""
+    path = fresh_path(spark, "postings")
+    postings.store_postings(docs(spark, sf), "doc_id", path)
+    return postings.search_postings(asked(spark, sf), path, 5)
+
+
 @query("bm25_search", sql("SELECT * FROM bm5", "bm5"))
 def _(spark, sf):
     return bm25_hits(spark, sf)

@@ -87,7 +87,7 @@ def _(spark, sf):
     return eval_triple(spark, sf)[2]
 
 
-QA_SQL = """WITH qa AS (SELECT u.conv_id * 1000 + u.turn AS query_id, u.text AS query, a.conv_id * 1000 + a.turn AS item, a.text AS passage
+QA_SQL = """WITH qa AS (SELECT u.conv_id || ':' || u.turn AS query_id, u.text AS query, a.conv_id || ':' || a.turn AS item, a.text AS passage
       FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
       WHERE u.role = 'user' AND a.role = 'assistant')"""
 
@@ -98,7 +98,7 @@ def question_answer(spark, sf):
     user = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"))
     reply = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("passage"))
     return user.join(reply, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "query", (F.col("conv_id") * 1000 + F.col("turn") + 1).alias("item"), "passage"
+        F.concat_ws(":", "conv_id", "turn").alias("query_id"), "query", F.concat_ws(":", F.col("conv_id"), F.col("turn") + 1).alias("item"), "passage"
     )
 
 
@@ -107,14 +107,14 @@ def question_answer(spark, sf):
     QA_SQL
     + """SELECT 'queries' AS part, query_id AS id, query AS text FROM qa
     UNION ALL SELECT DISTINCT 'corpus', item, passage FROM qa
-    UNION ALL SELECT DISTINCT 'qrels', query_id, CAST(item AS VARCHAR) FROM qa""",
+    UNION ALL SELECT DISTINCT 'qrels', query_id, item FROM qa""",
 )
 def _(spark, sf):
     items, queries, qrels = corpus.load_qa_dataset(question_answer(spark, sf), "query_id", "query", "item", "passage")
     return (
         queries.select(F.lit("queries").alias("part"), F.col("query_id").alias("id"), "text")
         .unionByName(items.select(F.lit("corpus").alias("part"), F.col("item_id").alias("id"), "text"))
-        .unionByName(qrels.select(F.lit("qrels").alias("part"), F.col("query_id").alias("id"), F.col("item_id").cast("string").alias("text")))
+        .unionByName(qrels.select(F.lit("qrels").alias("part"), F.col("query_id").alias("id"), F.col("item_id").alias("text")))
     )
 
 

@@ -149,7 +149,7 @@ def _(spark, sf):
     return search.hits_with_text(doc_hits(spark, sf), docs)
 
 
-block("tn", "SELECT conv_id * 1000 + turn AS id, text FROM conversations")
+block("tn", "SELECT printf('%020d:%020d', conv_id, turn) AS id, text FROM conversations")
 TURN_PAGES = vector_block("tp", "tn", "id", "text", ("tn",))
 knn_block("turn5", BENCH, TURN_PAGES, 5)
 
@@ -158,7 +158,7 @@ knn_block("turn5", BENCH, TURN_PAGES, 5)
     "hit_page_lookup",
     sql(
         """SELECT query_id, rank, conv_id AS doc_id, (turn - 2)::INTEGER AS page_number, turn AS source_page, length(text) AS page_chars
-        FROM turn5 JOIN conversations ON conv_id = item_id // 1000 AND turn = item_id % 1000""",
+        FROM turn5 JOIN conversations ON printf('%020d:%020d', conv_id, turn) = item_id""",
         "turn5",
     ),
 )

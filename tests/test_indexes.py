@@ -1,10 +1,12 @@
 """Trained cells, residual codes, multi-probe signs and the angle join against brute force."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from passagemill.operators import ann, balls, cells, search
+from passagemill.operators import ann, balls, cells, lexical, postings, search
 from passagemill.plans.session import fresh_path
 
 DIM = 16
@@ -116,3 +118,61 @@ def test_angle_join_leaves_out_far_balls(spark):
     odd = items.unionByName(spark.createDataFrame([(9999, [0.0] * DIM), (None, [1.0] * DIM), (9998, None)], items.schema))
     assert balls.pairs_by_angle(odd, 0.9, 64).count() == balls.pairs_by_angle(items, 0.9, 64).count()
     assert balls.pairs_by_angle(items.where("false"), 0.9).count() == 0
+
+
+# ---- stored postings ------------------------------------------------------------------------
+
+
+def test_stored_postings_give_the_hits_of_a_full_scan(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(400)]
+    texts = [" ".join([*rng.choice(common, rng.integers(0, 60)), *rng.choice(rare, rng.integers(0, 6))]) for _ in range(1500)]
+    texts[5], texts[6:300] = None, [texts[6]] * 294  # a null text, and a third of ties
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    asked = [" ".join([*rng.choice(common, 6), *rng.choice(rare, 3)]) for _ in range(25)] + [texts[6], "nowhere", "", None, "c1", "c1 c2"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    path = fresh_path(spark, "postings")
+    postings.store_postings(docs, "doc_id", path, block_rows=50)
+    for k, first in ((5, 200), (1, 1), (2000, 3)):
+        want = lexical.bm25_search(queries, docs, "doc_id", k)
+        found = postings.search_postings(queries, path, k, first)
+        assert hits(found) == hits(want)
+    one = postings.Search(queries.where("query_id < 25"), path, 1)
+    shares = one.shares()
+    assert shares["postings"] < 0.8 and shares["pairs"] < 0.6
+    plan = one.candidates()._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters: [")[1][:40]
+    empty = fresh_path(spark, "postings")
+    postings.store_postings(docs.where("false"), "doc_id", empty)
+    assert postings.search_postings(queries, empty).count() == 0
+
+
+def test_answers_of_long_conversations(spark, tmp_path):
+    """1,500 turns a conversation: no key is another conversation's; true letters are compared."""
+    from passagemill.catalog import QUERIES
+
+    rng = random.Random(4)
+    words = ["über", "uber", "niño", "nino", "straße", "x", "the"]
+    rows = [(c, t, "assistant" if t % 2 else "user", " ".join(rng.choice(words) for _ in range(rng.randrange(1, 5)))) for c in (1, 2) for t in range(1500)]
+    rows += [(3, t, "assistant" if t % 2 else "user", rng.choice(words)) for t in range(5)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    f1 = QUERIES["token_f1"](spark, str(tmp_path)).select("answer_id")
+    assert f1.count() == f1.distinct().count() == sum(r[1] % 2 == 1 and r[1] >= 3 for r in rows)
+    qa = QUERIES["load_qa_dataset"](spark, str(tmp_path)).where("part = 'queries'")
+    assert qa.count() == qa.select("id").distinct().count() == 750 * 2 + 2
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    best = []
+    for c in (1, 2, 3):
+        told = [r[3] for r in rows if r[0] == c and r[2] == "assistant"]
+        s = max(1 - edits(told[-1], g) / max(len(told[-1]), len(g)) for g in told[:-1])
+        best.append(s if s >= 0.5 else 0)
+    got = QUERIES["anls"](spark, str(tmp_path)).first()
+    assert got["n"] == 3 and abs(got["anls"] - sum(best) / 3) < 1e-6
