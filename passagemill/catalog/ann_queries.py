@@ -110,6 +110,20 @@ def _(spark, sf):
     return multivec.maxsim(e.select(group.alias("query_id"), pos, vec), e.select(group.alias("item_id"), pos, vec))
 
 
+@query("maxsim_index")
+def _(spark, sf):
+    """Every 20th item against all of them, by centres first and then by the vectors of the candidates."""
+    e = table(spark, sf, "embeddings")
+    pos, vec = (F.col("vec_id") % 10).alias("pos"), F.col("embedding").alias("vec")
+    group = F.floor(F.col("vec_id") / 10)
+    many, path = e.select(group.alias("item_id"), pos, vec), fresh_path(spark, "centroids")
+    # few vectors a centre, as centres stand for the vectors here
+    tree = cells.fit_tree(e.select(F.col("vec_id").alias("item_id"), vec), (16, 32))
+    multivec.store_centroids(many, tree, path)
+    asked = e.select(group.alias("query_id"), pos, vec).where("query_id % 20 = 0")
+    return multivec.maxsim_search(asked, many, spark.read.parquet(path), tree, 5, 32, 24)
+
+
 @query(
     "maxsim_rerank",
     sql(

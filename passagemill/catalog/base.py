@@ -60,6 +60,7 @@ INTEGER_COLUMNS = {
     "dual_level_search": "rank",
     "organise_context": "position",
     "prune_paths": "rank position",
+    "best_paths": "rank position",
     "graph_vector_search": "rank",
     "stream_chunks": "chunk_no chunk_char_count chunk_word_count",
 }

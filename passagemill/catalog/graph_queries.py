@@ -222,9 +222,8 @@ block(
 block("ke", "SELECT query_id, chunk_id, list(entity) AS e FROM kp JOIN ment USING (chunk_id) GROUP BY ALL", ("kp", "ment"))
 block(
     "kl",
-    """SELECT query_id, chunk_id, other FROM (SELECT a.query_id, a.chunk_id, b.chunk_id AS other, row_number() OVER (PARTITION BY a.query_id, a.chunk_id
-      ORDER BY len(list_intersect(a.e, b.e)) DESC, b.chunk_id) AS place FROM ke a JOIN ke b ON a.query_id = b.query_id AND a.chunk_id <> b.chunk_id
-      WHERE len(list_intersect(a.e, b.e)) > 0) WHERE place = 1""",
+    """SELECT a.query_id, a.chunk_id, b.chunk_id AS other, len(list_intersect(a.e, b.e)) AS n FROM ke a JOIN ke b ON a.query_id = b.query_id AND a.chunk_id <> b.chunk_id
+      WHERE len(list_intersect(a.e, b.e)) > 0""",
     ("ke",),
 )
 block("ks", "SELECT query_id, chunk_id AS a, other AS b FROM kl UNION SELECT query_id, other, chunk_id FROM kl", ("kl",))
@@ -250,6 +249,26 @@ def _(spark, sf):
     return graph.organise_context(scored, m)
 
 
+@query(
+    "context_forest",
+    sql(
+        """, e AS (SELECT query_id, chunk_id AS src, other AS dst, n AS weight, row_number() OVER (PARTITION BY query_id ORDER BY n, chunk_id DESC, other DESC) AS r
+          FROM kl WHERE chunk_id < other),
+        s AS (SELECT query_id, src AS a, dst AS b, r FROM e UNION ALL SELECT query_id, dst, src, r FROM e),
+        w AS (SELECT query_id, a, b, r FROM s UNION SELECT w.query_id, w.a, s.b, least(w.r, s.r) FROM w JOIN s ON s.query_id = w.query_id AND s.a = w.b AND s.b <> w.a)
+        SELECT query_id, src, dst, weight FROM e WHERE r = (SELECT max(w.r) FROM w WHERE w.query_id = e.query_id AND w.a = e.src AND w.b = e.dst)""",
+        "kl",
+        recursive=True,
+    ),
+)
+def _(spark, sf):
+    """The skeleton of each query's best chunks. In SQL an edge is in it if no way between its ends has better edges only."""
+    m = mentions(spark, sf)
+    scored = expanded(spark, sf, m).select("query_id", "chunk_id", (F.col("shared") + F.col("linked") / 2).alias("score"))
+    kept = cut_lineage(graph.best_chunks(scored))
+    return graph.spanning_forest(graph.shared_entities(kept, m))
+
+
 # ---- vector graph ---------------------------------------------------------------------------
 
 block("vg", "SELECT a.query_id AS src, a.item_id AS dst, a.score AS weight FROM self5 a JOIN self5 b ON a.query_id = b.item_id AND a.item_id = b.query_id", ("self5",))
@@ -366,9 +385,7 @@ def _(spark, sf):
     return paths.select("query_id", F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"))
 
 
-@query(
-    "prune_paths",
-    sql(
+PRUNED_SQL = sql(
         """, n AS (SELECT query_id, path AS p, unnest(path) AS node FROM pth), m AS (SELECT query_id, p, avg(round(list_dot_product(a.vec, b.vec), 6)) AS mean
           FROM n JOIN em a ON a.k = query_id JOIN em b ON b.k = node GROUP BY ALL),
         s AS (SELECT query_id, array_to_string(p, '-') AS path, (len(p) - 1)::INT AS hops, round(pow(0.8::DOUBLE, len(p) - 2) * mean, 6) AS score FROM m),
@@ -376,8 +393,10 @@ def _(spark, sf):
         SELECT query_id, path, hops, score, rank, row_number() OVER (PARTITION BY query_id ORDER BY hops, score DESC, path) AS position FROM r WHERE rank <= 5""",
         "pth",
         "em",
-    ),
 )
+
+
+@query("prune_paths", PRUNED_SQL)
 def _(spark, sf):
     paths = graph.relational_paths(vector_graph(spark, sf), seed_nodes(spark, sf))
     on_paths = paths.select("query_id", F.explode("path").alias("node"))
@@ -385,6 +404,15 @@ def _(spark, sf):
     return graph.prune_paths(paths, scores)
 
 
+@query("best_paths", PRUNED_SQL)
+def _(spark, sf):
+    """The same paths, found without listing all of them."""
+    links, seeds = vector_graph(spark, sf), seed_nodes(spark, sf)
+    near = graph.k_hop(links, seeds, 3).select("query_id", "node")
+    scores = graph.node_scores(vec_queries(spark, sf), items(spark, sf), near, V.dot_product)
+    return graph.best_paths(links, seeds, scores)
+
+
 @query(
     "graph_vector_search",
     sql(

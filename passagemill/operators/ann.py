@@ -123,8 +123,8 @@ def bits_for(rows: int, per_cell: int = 2) -> int:
 
 
 def probes_for(bits: int) -> int:
-    """A sixteenth of a table's cells, 64 at most."""
-    return min(64, 1 << max(0, bits - 4))
+    """An eighth of a table's cells, 64 at most."""
+    return min(64, 1 << max(0, bits - 3))
 
 
 def knn_multiprobe(

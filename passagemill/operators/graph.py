@@ -282,6 +282,101 @@ def prune_paths(paths: DataFrame, scores: DataFrame, m: int = 5, alpha: float =
     return kept.withColumn("position", F.row_number().over(w)).withColumnRenamed("item_id", "path")
 
 
+def best_paths(edges: DataFrame, seeds: DataFrame, scores: DataFrame, m: int = 5, hops: int = 3, alpha: float = 0.8, counts: list | None = None) -> DataFrame:
+    """What ``prune_paths`` keeps of all ``relational_paths``, without listing them all.
+
+    Short paths come first, and the m-th best score among a query's finished ones is its floor. An unfinished path goes on only if
+    some length could still lift it to the floor: its nodes' scores so far, the target's, and the best of the query's
+    node scores for every step between. Nodes without a score leave their paths' means, as in ``prune_paths``. ``counts`` takes the
+    unfinished paths before and after each cut.
+    """
+    links = edges.select("src", "dst").distinct()
+    degree = cut_lineage(links.groupBy("src").agg(F.count(F.lit(1)).alias("n")), "degree").withColumnRenamed("src", "at")
+    value = cut_lineage(scores.groupBy("query_id", "node").agg(F.max("score").alias("score")), "scores")
+    top = value.groupBy("query_id").agg(F.max("score").alias("top"))
+    of = lambda node, name: value.select("query_id", F.col("node").alias(node), F.col("score").alias(name))
+    s = seeds.select("query_id", F.col("node").alias("s")).distinct()
+    pairs = s.join(s.select("query_id", F.col("s").alias("t")), "query_id").where("s < t")
+    rows = pairs.join(of("s", "a"), ["query_id", "s"], "left").join(of("t", "last"), ["query_id", "t"], "left")
+    rows = rows.join(top, "query_id", "left").select(
+        "query_id", F.col("s").alias("at"), "t", F.array("s").alias("path"), F.coalesce("a", F.lit(0.0)).alias("sum"), F.col("a").isNotNull().cast("int").alias("n"),
+        F.coalesce("last", F.lit(0.0)).alias("last"), F.col("last").isNotNull().cast("int").alias("n_last"), F.coalesce("top", F.lit(0.0)).alias("top"),
+    )
+    kept = None
+    for hop in range(1, hops + 1):
+        if hop > 1:
+            onward = links.select(F.col("src").alias("at"), F.col("dst").alias("to"))
+            rows = salted_join(onward, rows, "at", degree).where((F.col("to") != F.col("t")) & ~F.array_contains("path", F.col("to")))
+            rows = rows.join(of("to", "score"), ["query_id", "to"], "left").select(
+                "query_id", F.col("to").alias("at"), "t", F.array_append("path", F.col("to")).alias("path"), (F.col("sum") + F.coalesce("score", F.lit(0.0))).alias("sum"),
+                (F.col("n") + F.col("score").isNotNull().cast("int")).alias("n"), "last", "n_last", "top",
+            )
+        rows = cut_lineage(rows, "paths")
+        done = rows.join(links.select(F.col("src").alias("at"), F.col("dst").alias("t")), ["at", "t"])
+        score = F.pow(F.lit(alpha), F.lit(hop - 1)) * (F.col("sum") + F.col("last")) / (F.col("n") + F.col("n_last"))
+        name = F.array_join(F.transform(F.array_append("path", F.col("t")), lambda x: x.cast("string")), "-")
+        found = done.where(F.col("n") + F.col("n_last") > 0).select("query_id", name.alias("item_id"), F.lit(hop).alias("hops"), F.round(score, DIGITS).alias("score"))
+        kept = cut_lineage(ranked(found if kept is None else kept.unionByName(found), m).drop("rank"), "kept")
+        if hop == hops:
+            break
+        full = kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("k"), F.min("score").alias("floor")).where(F.col("k") >= m)
+        # with j nodes to come between, the mean is highest when all of them have the best score, or none has any
+        may = [
+            F.pow(F.lit(alpha), F.lit(hop + j - 1)) * (F.col("sum") + F.col("last") + j * F.col("top")) / F.greatest(F.col("n") + F.col("n_last") + j, F.lit(1))
+            for j in range(1, hops - hop + 1)
+        ]
+        may += [F.pow(F.lit(alpha), F.lit(hop)) * (F.col("sum") + F.col("last")) / F.greatest(F.col("n") + F.col("n_last"), F.lit(1))]
+        open_ = rows.join(full.select("query_id", "floor"), "query_id", "left").where(F.greatest(*may, F.lit(0.0)) + 1e-5 >= F.coalesce("floor", F.lit(0.0)))
+        open_ = cut_lineage(open_.drop("floor"), "open")
+        if counts is not None:
+            counts.append((hop, rows.count(), open_.count()))
+        rows = open_
+    w = Window.partitionBy("query_id").orderBy("hops", F.desc("score"), "item_id")
+    return ranked(kept, m).withColumn("position", F.row_number().over(w)).withColumnRenamed("item_id", "path")
+
+
+def _rooted(best: DataFrame) -> DataFrame:
+    """(query_id, tree, root) where each tree points to another by its best edge: two that point to each other end the way, at the lower one."""
+    point = lambda df, tree, to: df.select("query_id", F.col("tree").alias(tree), F.col("to").alias(to))
+    ends = best.join(point(best, "to", "back"), ["query_id", "to"])
+    up = cut_lineage(ends.select("query_id", "tree", F.when((F.col("back") == F.col("tree")) & (F.col("tree") < F.col("to")), F.col("tree")).otherwise(F.col("to")).alias("to")), "up")
+    while True:  # the ways halve with every step
+        further = cut_lineage(up.join(point(up, "to", "far"), ["query_id", "to"]), "further")
+        up = further.select("query_id", "tree", F.col("far").alias("to"))
+        if further.where("far <> to").isEmpty():
+            return up.withColumnRenamed("to", "root")
+
+
+def forest_and_trees(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The maximum spanning forest (query_id, src, dst, weight) and the tree of each node with an edge (query_id, node, tree)."""
+    left = cut_lineage(edges.where("src <> dst").select("query_id", "src", "dst", "weight"), "edges")
+    trees = left.select("query_id", F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("tree", F.col("node"))
+    forest, left = left.where("false"), left.withColumns({"t_src": F.col("src"), "t_dst": F.col("dst")})
+    while True:
+        place = F.struct((-F.col("weight")).alias("w"), "src", "dst", "t_src", "t_dst")
+        out = left.select("query_id", F.explode(F.array("t_src", "t_dst")).alias("tree"), place.alias("e"))
+        best = cut_lineage(out.groupBy("query_id", "tree").agg(F.min("e").alias("e")).select("query_id", "tree", "e.*"), "best")
+        if best.isEmpty():
+            return forest, trees
+        forest = forest.unionByName(best.select("query_id", "src", "dst", (-F.col("w")).alias("weight")).distinct())
+        other = F.when(F.col("tree") == F.col("t_src"), F.col("t_dst")).otherwise(F.col("t_src"))
+        roots = cut_lineage(_rooted(best.select("query_id", "tree", other.alias("to"))), "roots")
+        trees = cut_lineage(trees.join(roots, ["query_id", "tree"], "left").select("query_id", "node", F.coalesce("root", "tree").alias("tree")), "trees")
+        to = lambda end: roots.select("query_id", F.col("tree").alias(end), F.col("root").alias(f"{end}_root"))
+        met = left.join(to("t_src"), ["query_id", "t_src"]).join(to("t_dst"), ["query_id", "t_dst"]).where("t_src_root <> t_dst_root")
+        left = cut_lineage(met.select("query_id", "src", "dst", "weight", F.col("t_src_root").alias("t_src"), F.col("t_dst_root").alias("t_dst")), "edges")
+
+
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """(query_id, src, dst, weight): the maximum spanning forest of every query's graph, by Borůvka rounds for all queries at once.
+
+    ``edges(query_id, src, dst, weight)`` hold a pair once, src < dst. Heavier edges come first, then lower src and dst, so
+    that the forest is one and only. Each round every tree takes its best edge to another tree, and trees that touch are joined;
+    their number halves at least.
+    """
+    return forest_and_trees(edges)[0]
+
+
 # ---- search over graphs ---------------------------------------------------------------------
 
 
@@ -343,24 +438,31 @@ def expand_by_entities(seeds: DataFrame, mentions: DataFrame, edges: DataFrame,
     return met.groupBy("query_id", "chunk_id").agg(F.sum("shared").alias("shared"), F.sum(1 - F.col("shared")).alias("linked"))
 
 
+def shared_entities(kept: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(query_id, src, dst, weight): how many entities two of a query's chunks share; each pair once. ``kept`` holds few chunks a query."""
+    terms = kept.select("query_id", "chunk_id").join(mentions, "chunk_id").groupBy("query_id", "chunk_id").agg(F.collect_set("entity").alias("e"))
+    # at most keep chunks per query: their pairs are bounded by keep squared
+    other = terms.select("query_id", F.col("chunk_id").alias("dst"), F.col("e").alias("f"))
+    pairs = terms.withColumnRenamed("chunk_id", "src").join(other, "query_id").where("src < dst")
+    return pairs.select("query_id", "src", "dst", F.size(F.array_intersect("e", "f")).cast("long").alias("weight")).where("weight > 0")
+
+
+def best_chunks(expanded: DataFrame, keep: int = 10) -> DataFrame:
+    return ranked(expanded.withColumnRenamed("chunk_id", "item_id"), keep).withColumnRenamed("item_id", "chunk_id")
+
+
 def organise_context(expanded: DataFrame, mentions: DataFrame, keep: int = 10) -> DataFrame:
     """Expanded chunks filtered, linked and arranged: (query_id, chunk_id, component, position).
 
-    ``expanded(query_id, chunk_id, score)``. The ``keep`` best chunks of a query stay; two of them
-    are linked by the entities they share, every chunk keeps its strongest link only, and linked
-    chunks are put together, the component with the best chunk first.
+    ``expanded(query_id, chunk_id, score)``. The ``keep`` best chunks of a query stay. Links by shared entities are thinned to the
+    maximum spanning forest, which holds every chunk by its strongest links and leaves out the redundant ones. Trees are put
+    together, the one with the best chunk first.
     """
-    kept = cut_lineage(ranked(expanded.withColumnRenamed("chunk_id", "item_id"), keep).withColumnRenamed("item_id", "chunk_id"))
-    terms = kept.select("query_id", "chunk_id").join(mentions, "chunk_id").groupBy("query_id", "chunk_id").agg(F.collect_set("entity").alias("e"))
-    # at most keep chunks per query: their pairs are bounded by keep squared
-    other = terms.select("query_id", F.col("chunk_id").alias("other"), F.col("e").alias("f"))
-    shared = terms.join(other, "query_id").where("chunk_id <> other").withColumn("n", F.size(F.array_intersect("e", "f"))).where("n > 0")
-    w = Window.partitionBy("query_id", "chunk_id").orderBy(F.desc("n"), "other")
-    best = shared.withColumn("place", F.row_number().over(w)).where("place = 1")
-    name = F.concat_ws("|", "query_id", "chunk_id")
-    links = best.select(name.alias("src"), F.concat_ws("|", "query_id", "other").alias("dst"))
-    parts = connected_components(links).select(F.col("node").alias("name"), "component")
-    named = kept.withColumn("name", name).join(parts, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    kept = cut_lineage(best_chunks(expanded, keep))
+    _, trees = forest_and_trees(shared_entities(kept, mentions))
+    lowest = F.min("node").over(Window.partitionBy("query_id", "tree"))
+    parts = trees.select("query_id", F.col("node").alias("chunk_id"), lowest.alias("low"))
+    named = kept.join(parts, ["query_id", "chunk_id"], "left").withColumn("component", F.concat_ws("|", "query_id", F.coalesce("low", "chunk_id")))
     lead = F.min("rank").over(Window.partitionBy("query_id", "component"))
     order = Window.partitionBy("query_id").orderBy("lead", "component", "chunk_id")
     return named.withColumn("lead", lead).withColumn("position", F.row_number().over(order)).select("query_id", "chunk_id", "component", "score", "position")

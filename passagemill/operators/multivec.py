@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.functions import vectors as V
-from passagemill.operators.search import _ARROW, DIGITS, Best, _ids, _in_blocks, ranked
+from passagemill.operators import cells
+from passagemill.operators.search import _ARROW, DIGITS, Best, _ids, _in_blocks, _matrix, ranked
 from passagemill.plans.session import cut_lineage
+from passagemill.plans.skew import salted_join
 
 #: Vectors to a row while items are moved and packed.
 RUN = 256
@@ -114,6 +116,49 @@ def maxsim_rerank(hits: DataFrame, queries: DataFrame, items: DataFrame, k: int
     return ranked(together.applyInArrow(score, schema), k)
 
 
+# ---- late interaction over an index ---------------------------------------------------------
+
+
+def store_centroids(items: DataFrame, tree: cells.Tree, path: str) -> None:
+    """(item_id, cell): which cells of ``tree`` an item's vectors lie in, each once, laid out by cell. No vector is stored."""
+    cells.file_items(items.select("item_id", "vec"), tree, 1).select("item_id", "cell").distinct().hint("rebalance", "cell").write.partitionBy("cell").parquet(path)
+
+
+def _interacting(queries: DataFrame, tree: cells.Tree, n_probe: int) -> DataFrame:
+    """(query_id, pos, cell, gain): each query vector's ``n_probe`` nearest cells; ``gain`` is the product with the
+    centre, above that of the last of them."""
+    source = V.as_vectors(V.as_arrays(queries)).where("query_id IS NOT NULL").select("query_id", F.col("pos").cast("long").alias("pos"), "vec")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(2))
+                near, _ = cells._nearest(x, tree, n_probe, len(tree.top))
+                product = np.einsum("qd,qpd->qp", x, tree.cells[near])
+                at = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
+                gain = product - product.min(axis=1, keepdims=True)
+                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(near.ravel().astype(np.int32)), pa.array(gain.ravel())]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "pos", "cell", "gain"])
+
+    return source.mapInArrow(run, f"query_id {source.schema['query_id'].dataType.simpleString()}, pos long, cell int, gain double")
+
+
+def maxsim_candidates(queries: DataFrame, index: DataFrame, tree: cells.Tree, keep: int, n_probe: int = 16) -> DataFrame:
+    """(query_id, item_id, score, rank): the ``keep`` best items by centres alone: for each query vector the best centre among the item's cells.
+
+    ``index`` is what ``store_centroids`` wrote; ids and cells are all that is read, and only of the cells asked for.
+    """
+    asked = cut_lineage(_interacting(queries, tree, n_probe), "interacting")
+    found = index.where(F.col("cell").isin([r["cell"] for r in asked.select("cell").distinct().collect()]))  # at most the model's cells
+    met = salted_join(found.select("cell", "item_id"), asked, "cell").groupBy("query_id", "item_id", "pos").agg(F.max("gain").alias("gain"))
+    return ranked(met.groupBy("query_id", "item_id").agg(F.round(F.sum("gain"), DIGITS).alias("score")), keep)
+
+
+def maxsim_search(queries: DataFrame, items: DataFrame, index: DataFrame, tree: cells.Tree, k: int = 5, n_probe: int = 16, short: int = 12) -> DataFrame:
+    """Late interaction without a scan: ``k * short`` candidates a query by centres, scored by their own vectors."""
+    return maxsim_rerank(maxsim_candidates(queries, index, tree, k * short, n_probe), queries, items, k)
+
+
 # ---- late chunking --------------------------------------------------------------------------
 
 

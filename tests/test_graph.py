@@ -134,3 +134,42 @@ def test_steps_are_deleted_with_their_job(spark, tmp_path):
         rows = session.cut_lineage(spark.range(5)).count()
         assert rows == 5 and os.listdir(folder)
     assert not os.path.exists(folder)
+
+
+def test_best_paths_without_listing_all(spark):
+    rng = random.Random(8)
+    nodes = range(40)
+    pairs = {tuple(sorted(rng.sample(nodes, 2))) for _ in range(110)}
+    edges = spark.createDataFrame([e for a, b in pairs for e in ((a, b), (b, a))], "src long, dst long")
+    seeds = spark.createDataFrame([(q, n) for q in range(6) for n in rng.sample(nodes, 4)], "query_id long, node long")
+    for low in (0.0, -0.5):
+        scored = [(q, n, round(rng.uniform(low, 1) ** 3, 6)) for q in range(6) for n in nodes if rng.random() < 0.9]
+        scores = spark.createDataFrame(scored, "query_id long, node long, score double")
+        counts = []
+        got = graph.best_paths(edges, seeds, scores, 4, 4, counts=counts)
+        want = graph.prune_paths(graph.relational_paths(edges, seeds, 4), scores, 4)
+        key = lambda df: sorted((r["query_id"], r["rank"], r["position"], r["path"], r["hops"], r["score"]) for r in df.collect())
+        assert key(got) == key(want)
+    assert graph.best_paths(edges, seeds, scores.where("false"), 4, 3).count() == 0
+    assert len(counts) == 3 and sum(c[2] for c in counts) <= sum(c[1] for c in counts)
+
+
+def test_spanning_forest(spark):
+    rng = random.Random(3)
+    rows = [(q, a, b, rng.randrange(1, 4)) for q in range(5) for a in range(14) for b in range(a + 1, 14) if rng.random() < 0.25 and (q or a < 6 <= b)]
+    want = set()
+    for q in range(5):
+        root = list(range(14))
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for _, a, b, w in sorted((r for r in rows if r[0] == q), key=lambda r: (-r[3], r[1], r[2])):
+            if top(a) != top(b):
+                root[top(a)] = top(b)
+                want.add((q, a, b, w))
+    edges = spark.createDataFrame(rows, "query_id long, src long, dst long, weight long")
+    assert {tuple(r) for r in graph.spanning_forest(edges).collect()} == want
+    assert graph.spanning_forest(edges.where("false")).count() == 0

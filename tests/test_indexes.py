@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from passagemill.operators import ann, balls, cells, lexical, postings, search
+from passagemill.operators import ann, balls, cells, lexical, multivec, postings, search
 from passagemill.plans.session import fresh_path
 
 DIM = 16
@@ -176,3 +176,28 @@ def test_answers_of_long_conversations(spark, tmp_path):
         best.append(s if s >= 0.5 else 0)
     got = QUERIES["anls"](spark, str(tmp_path)).first()
     assert got["n"] == 3 and abs(got["anls"] - sum(best) / 3) < 1e-6
+
+
+# ---- late interaction -----------------------------------------------------------------------
+
+
+def test_late_interaction_over_centroids(spark, table, index):
+    """Items of ten vectors each; a hot group makes 40 items equal."""
+    tree = index[0]
+    many = table[1].select(F.floor(F.col("item_id") / 10).alias("item_id"), (F.col("item_id") % 10).alias("pos"), "vec")
+    asked = many.where("item_id % 5 = 0").withColumnRenamed("item_id", "query_id")
+    path = fresh_path(spark, "centroids")
+    multivec.store_centroids(many, tree, path)
+    stored = spark.read.parquet(path)
+    x = table[0].astype(float)
+    far = ((x[:, None, :] - tree.cells[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert {(r["item_id"], r["cell"]) for r in stored.collect()} == {(i // 10, c) for i, c in enumerate(far.tolist())}
+    want = multivec.maxsim(asked, many, 5)
+    some = multivec.maxsim_search(asked, many, stored, tree, 5, 6, 8)
+    assert ann.recall_against(want, some).first()["recall"] >= 0.9
+    assert hits(multivec.maxsim_search(asked, many, stored, tree, 5, 20, 30)) == hits(want)
+    gains = {(r["query_id"], r["item_id"]): r["score"] for r in multivec.maxsim_candidates(asked, stored, tree, 1000, 20).collect()}
+    for q, i in [(0, 3), (10, 70), (145, 20)]:
+        products = x[10 * q : 10 * q + 10] @ tree.cells.T
+        held = sorted({int(c) for c in far[10 * i : 10 * i + 10]})
+        assert abs(gains[q, i] - (products[:, held].max(axis=1) - products.min(axis=1)).sum()) < 1e-5
