@@ -9,7 +9,7 @@ from passagemill.catalog.lexical_queries import W, asked
 from passagemill.catalog.text_queries import doc_chunks
 from passagemill.catalog.vector_queries import chunk_hits, items, self_hits, vec_queries
 from passagemill.functions import vectors as V
-from passagemill.operators import graph
+from passagemill.operators import graph, modularity
 from passagemill.plans.session import cut_lineage
 
 # ---- text graph -----------------------------------------------------------------------------
@@ -327,6 +327,29 @@ def _(spark, sf):
     return graph.community_levels(vector_graph(spark, sf), 2, 2)
 
 
+@query(
+    "community_quality",
+    sql(
+        f""", e AS (SELECT src, dst, round(weight * 1000000)::BIGINT AS w FROM vg),
+        l AS (SELECT a.community, sum(w) FILTER (WHERE a.community = b.community) AS i, sum(w) AS t FROM e JOIN {VEC_LABELS} a ON a.node = src JOIN {VEC_LABELS} b ON b.node = dst GROUP BY a.community)
+        SELECT community, n_members, coalesce(i, 0)::DOUBLE / 1000000 AS inner_weight, t::DOUBLE / 1000000 AS total_weight,
+          round(coalesce(i, 0)::DOUBLE / m - pow(t::DOUBLE / m, 2), 9) AS modularity
+        FROM (SELECT community, count(*) AS n_members FROM {VEC_LABELS} GROUP BY community) JOIN l USING (community), (SELECT sum(w)::DOUBLE AS m FROM e)""",
+        "vg",
+        VEC_LABELS,
+    ),
+)
+def _(spark, sf):
+    edges = vector_graph(spark, sf)
+    return modularity.community_quality(edges, graph.communities(edges, 3))
+
+
+@query("modular_levels")
+def _(spark, sf):
+    """Communities by local moves and refinement; tests hold them against the best partition and label propagation."""
+    return modularity.modular_levels(vector_graph(spark, sf))
+
+
 block(
     "hop2",
     """SELECT query_id, node, min(hop) AS hop FROM (SELECT DISTINCT src AS query_id, src AS node, 0 AS hop FROM vg
