@@ -40,8 +40,8 @@ def community_quality(edges: DataFrame, labels: DataFrame, resolution: float = 1
     )
 
 
-def _coin(column: str, turn: int) -> Column:
-    return F.pmod(F.xxhash64(column, F.lit(turn)), F.lit(2)) == 0
+def _one_in(n: int, column: str, turn: int) -> Column:
+    return F.pmod(F.xxhash64(column, F.lit(turn)), F.lit(n)) == 0
 
 
 def _labelled(state: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
@@ -86,7 +86,7 @@ def _apart(offers: DataFrame) -> DataFrame:
 
 
 def local_moves(
-    links: DataFrame, state: DataFrame, all_weight: int, resolution: float = 1.0, tolerance: float = 1e-3, rounds: int = 8
+    links: DataFrame, state: DataFrame, all_weight: int, resolution: float = 1.0, tolerance: float = 1e-3, rounds: int = 4
 ) -> tuple[DataFrame, float, float]:
     """Move nodes to the neighbouring community with the largest gain; returns the state, its modularity and that before.
 
@@ -103,7 +103,7 @@ def local_moves(
             break
         gained = -1.0
         while gained < 0 and mode < 3:
-            chosen = (offers, offers.where(_coin("node", turn)), _apart(offers))[mode]
+            chosen = (offers, offers.where(_one_in(2, "node", turn)), _apart(offers))[mode]
             moved = state.join(chosen.select("node", "to"), "node", "left").withColumn("community", F.coalesce("to", "community")).drop("to")
             tried = _offers(links, moved, degrees, sums, resolution)
             gained = tried[2] - q
@@ -116,11 +116,10 @@ def local_moves(
     return state, q, start
 
 
-def refine(links: DataFrame, state: DataFrame, all_weight: int, resolution: float = 1.0, rounds: int = 4) -> DataFrame:
+def refine(links: DataFrame, state: DataFrame, all_weight: int, resolution: float = 1.0, rounds: int = 2) -> DataFrame:
     """(node, k, loops, community, part): communities cut into parts, every part connected.
 
-    All nodes begin alone. In a round a hash splits the parts of a community into those that stay and those that may join; a node
-    still alone joins the staying part it gains most with, to which it has an edge, so parts grow connected and never break.
+    All nodes begin alone. In a round a hash names the quarter of the parts that stay; a node still alone among the others joins the staying part it gains most with, to which it has an edge, so parts grow connected and never break.
     """
     parts, c = state.withColumn("part", F.col("node")), state.select("node", "community")
     inside = salted_join(salted_join(links, c.toDF("src", "c_src"), "src"), c.toDF("dst", "c_dst"), "dst").where("c_src = c_dst").select("src", "dst", "w")
@@ -128,8 +127,8 @@ def refine(links: DataFrame, state: DataFrame, all_weight: int, resolution: floa
     degrees = cut_lineage(inside.groupBy("dst").agg(F.count(F.lit(1)).alias("n")), "degrees")
     for turn in range(rounds):
         _, wide = _labelled(parts, "part")
-        alone = wide.where((F.col("size") == 1) & _coin("part", turn)).select("node", "k")
-        ties = _ties(inside, wide, degrees, "part").where(~_coin("part", turn)).join(alone, "node")
+        alone = wide.where((F.col("size") == 1) & ~_one_in(4, "part", turn)).select("node", "k")
+        ties = _ties(inside, wide, degrees, "part").where(_one_in(4, "part", turn)).join(alone, "node")
         gain = F.lit(float(all_weight)) * F.col("w") - resolution * F.col("k").cast("double") * F.col("tot")
         best = ties.withColumn("gain", gain).where("gain > 0").groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("loss"), F.col("part").alias("to"))).alias("b"))
         joined = wide.drop("tot", "size").join(best.select("node", "b.to"), "node", "left")
@@ -148,7 +147,7 @@ def _contract(links: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]
     return between.where("src <> dst"), cut_lineage(state, "state")
 
 
-def modular_levels(edges: DataFrame, resolution: float = 1.0, tolerance: float = 1e-3, levels: int = 8, rounds: int = 8) -> DataFrame:
+def modular_levels(edges: DataFrame, resolution: float = 1.0, tolerance: float = 1e-3, levels: int = 32, rounds: int = 4) -> DataFrame:
     """(level, node, community), nested, finest first; the last level holds the communities, all of them connected.
 
     Each level is local moves, a refinement, and the graph of the refined parts, until a level's moves raise the modularity by less than
