@@ -8,6 +8,7 @@ import subprocess
 import sys
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -241,6 +242,14 @@ def test_shards(spark, odd, none):
     got["text"] = [texts[i] for i in got.doc_id]
     parts = got[got.text != "the same"].groupby("text").shard.nunique()
     assert (parts == 1).mean() > 0.9  # one text fills more than its shard, the others give way for each other
+    # a claim is a whole shard, but for the last one
+    hot = sorted(got[got.text == "the same"].groupby("shard").size(), reverse=True)
+    assert sum(n * (n - 1) for n in hot) >= 0.75 * (5 * 56 * 55 + 20 * 19)
+    texts = ["the same"] * 300 + [said(5, i) for i in range(600)]
+    got = sharding.shard(docs_of(spark, texts)).toPandas()
+    lawful(got, list(enumerate(texts)))
+    hot = sorted(got[got.doc_id < 300].groupby("shard").size(), reverse=True)
+    assert hot == [56, 56, 56, 56, 56, 20]
     texts = [said(5, i if i % 4 else i // 40) for i in range(800)]
     got = sharding.shard(docs_of(spark, texts)).toPandas()
     lawful(got, list(enumerate(texts)))
@@ -248,6 +257,36 @@ def test_shards(spark, odd, none):
     assert (got.groupby("text").shard.nunique() == 1).all()
 
 
+def test_quotas_keep_sizes():
+    rng = random.Random(5)
+    for _ in range(300):
+        rows = [{"shard": s, "best": t, "n": rng.randrange(1, 9)} for s in range(6) for t in [*range(6), None] if s != t and rng.random() < 0.3]
+        go, back = sharding._quotas(rows, 6)
+        want = {(r["shard"], r["best"]): r["n"] for r in rows}
+        assert all(n <= want[k] for k, n in go.items())
+        for s in range(6):
+            assert sum(n for (a, _), n in back.items() if a == s) <= want.get((s, None), 0)
+            moves = [*go.items(), *back.items()]
+            assert sum(n for (a, _), n in moves if a == s) == sum(n for (_, b), n in moves if b == s)
+    ring = [{"shard": s, "best": (s + 1) % 3, "n": 4} for s in range(3)]
+    assert sharding._quotas(ring, 3)[0] == {(0, 1): 4, (1, 2): 4, (2, 0): 4}
+
+
+def test_shards_against_the_best_there_is(spark):
+    """Every way to put eight documents in two shards of four, by how many links it keeps."""
+    links = lambda sizes: sum(n * (n - 1) // 2 for n in sizes)
+    for names in ("aaaabcde", "aabbcdef", "aaabcdef", "aaaaabcd", "abcdefgh", "aabbccde"):
+        best = 0
+        for chosen in combinations(range(8), 4):
+            sides = [[names[i] for i in range(8) if (i in chosen) == here] for here in (True, False)]
+            best = max(best, sum(links([side.count(x) for x in set(side)]) for side in sides))
+        got = sharding.shard(docs_of(spark, list(names)), 2).collect()
+        counts = {}
+        for r in got:
+            counts[names[r.doc_id], r.shard] = counts.get((names[r.doc_id], r.shard), 0) + 1
+        assert links(counts.values()) == best, names
+
+
 # ---- urls -----------------------------------------------------------------------------------
 
 
