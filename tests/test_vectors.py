@@ -234,3 +234,46 @@ def test_hit_page_lookup_of_long_conversations(spark, tmp_path):
     found = QUERIES["hit_page_lookup"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.source_page) for r in found) == [(1, 1002), (2, 1), (2, 2)]
     assert [(r.doc_id, r.source_page) for r in found if r["rank"] == 1] == [(1, 1002)]
+
+
+def test_many_queries_are_many_tasks(spark):
+    """Blocks of queries meet groups of items in tasks of their own, whatever the planner would broadcast."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, vec array<float>").repartition(4)
+    asked = df.withColumnRenamed("item_id", "query_id")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, ("-1", "false")):
+            spark.conf.set(k, v)
+        scored = search._scored(asked, df, (3, "dot", True, None), search.QUERY_ROWS, search.BLOCK_ROWS)
+        assert scored.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = x.astype(np.float64) @ x.T.astype(np.float64)
+    np.fill_diagonal(want, -np.inf)
+    got = {(r["query_id"], r["rank"]): r["item_id"] for r in search.knn_exact(asked, df, 3, skip_self=True).collect()}
+    assert all([got[i, r + 1] for r in range(3)] == list(np.argsort(-want[i], kind="stable")[:3]) for i in range(3000))
+
+
+@pytest.mark.parametrize("size", [1.0, 1e25])
+def test_scan_of_tiles_against_all_scores(monkeypatch, size):
+    """Tiles of 32-bit products leave out nothing: ties, numbers too large for 32 bits, missing numbers, fewer items than hits."""
+    monkeypatch.setattr(search, "TILE", (7, 11))
+    monkeypatch.setattr(search, "MERGED", 5)
+    rng = np.random.default_rng(5)
+    items = (rng.integers(-2, 3, (60, 4)) * size).astype(np.float32)
+    items[3] = np.nan
+    queries, ids = items[:20].astype(np.float64), np.arange(60) // 2
+    for k in (1, 4, 100):
+        scan, found = search.Scan(np.arange(20), queries, k, "dot", True, None), {}
+        for part in (slice(0, 25), slice(25, 60)):
+            assert not list(scan.add(ids[part], items[part], np.full(len(ids[part]), "")))
+        for q, i, score, _ in scan.rest():
+            for row in zip(q, i, score):
+                found.setdefault(row[0], []).append((-row[2], row[1]))
+        scores = np.round(queries @ items.T.astype(np.float64), 6)
+        for q in range(20):
+            want = sorted((-s, i) for s, i in zip(scores[q], ids) if i != q and s == s)[:k]
+            assert sorted(found.get(q, [])) == want
