@@ -1,6 +1,7 @@
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from passagemill.operators import chunk, graph
@@ -173,3 +174,16 @@ def test_spanning_forest(spark):
     edges = spark.createDataFrame(rows, "query_id long, src long, dst long, weight long")
     assert {tuple(r) for r in graph.spanning_forest(edges).collect()} == want
     assert graph.spanning_forest(edges.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["best_paths", "graph_vector_search", "prune_paths"])
+def test_one_search_for_graph_and_seeds(spark, tmp_path, monkeypatch, name):
+    from passagemill.catalog import QUERIES
+    from passagemill.operators import search
+
+    rows = [(i, [float((i * j) % 7 - 3) for j in range(1, 65)], i % 3) for i in range(30)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    scans, scored = [], search._scored
+    monkeypatch.setattr(search, "_scored", lambda *a, **b: scans.append(1) or scored(*a, **b))
+    assert QUERIES[name](spark, str(tmp_path)).count() > 0
+    assert len(scans) == 1
