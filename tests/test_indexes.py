@@ -216,3 +216,12 @@ def test_late_interaction_over_centroids(spark, table, index):
         products = x[10 * q : 10 * q + 10] @ tree.cells.T
         held = sorted({int(c) for c in far[10 * i : 10 * i + 10]})
         assert abs(gains[q, i] - (products[:, held].max(axis=1) - products.min(axis=1)).sum()) < 1e-5
+
+
+def test_words_are_counted_a_few_at_a_time(spark, monkeypatch):
+    """Pieces of so many words of a batch; a text of more is a piece by itself, and one without words has no terms."""
+    monkeypatch.setattr(lexical, "COUNTED_WORDS", 6)
+    texts = ["a b a", "c", None, "", "d " * 9, "b a", "e f g h", "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = sorted(map(tuple, lexical.term_frequencies(docs, "doc_id").collect()))
+    assert got == sorted((i, len(w), t, w.count(t)) for i, x in enumerate(texts) for w in [(x or "").split()] for t in set(w))

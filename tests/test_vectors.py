@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -277,3 +278,16 @@ def test_scan_of_tiles_against_all_scores(monkeypatch, size):
         for q in range(20):
             want = sorted((-s, i) for s, i in zip(scores[q], ids) if i != q and s == s)[:k]
             assert sorted(found.get(q, [])) == want
+
+
+def test_encoder_holds_few_words_at_once():
+    """Long texts are cut into words a few at a time; the vectors are those of one text by itself."""
+    texts = [" ".join(f"w{(i * 7919 + j * 31) % 50021}" for j in range(20_000)) for i in range(40)] + [None, ""]
+    encode = V.hashing_encoder(64)()
+    tracemalloc.start()
+    try:
+        together = encode(texts)
+        assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    finally:
+        tracemalloc.stop()
+    assert len(together) == len(texts) and all((a == V.hashing_encoder(64)()([t])[0]).all() for a, t in zip(together, texts))
