@@ -12,7 +12,7 @@ from passagemill.catalog.vector_queries import BENCH, DOCS, bench_vectors, doc_h
 from passagemill.functions import text as X
 from passagemill.functions import vectors as V
 from passagemill.operators import chunk, metrics, search
-from passagemill.plans.session import fresh_path
+from passagemill.plans.session import cut_lineage, fresh_path
 from passagemill.sources import stores
 
 block("qr", QRELS_SQL)
@@ -130,9 +130,9 @@ block(
 )
 def _(spark, sf):
     """Chunk sizes as lanes of one search; a document ranks where its first chunk does."""
-    rows = None
+    rows, pages = None, cut_lineage(chunk.split_sentences(doc_pages(spark, sf)).select("doc_id", "page_number", "sentences"), "sentences")
     for size in SIZES:
-        part = chunk.min_token_filter(chunk.make_chunks(doc_pages(spark, sf), size)).withColumn("chunk_size", F.lit(size))
+        part = chunk.min_token_filter(chunk.make_chunks(pages, size)).withColumn("chunk_size", F.lit(size))
         rows = part if rows is None else rows.unionByName(part)
     named = rows.select("chunk_size", F.concat_ws("/", "chunk_size", "chunk_id").alias("item_id"), "sentence_chunk")
     hits = search.knn_exact(bench_vectors(spark, sf), V.embed_text(named, "sentence_chunk"), 20, lane="chunk_size")

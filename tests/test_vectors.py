@@ -291,3 +291,24 @@ def test_encoder_holds_few_words_at_once():
     finally:
         tracemalloc.stop()
     assert len(together) == len(texts) and all((a == V.hashing_encoder(64)()([t])[0]).all() for a, t in zip(together, texts))
+
+
+def test_searched_texts_are_encoded_once(spark, tmp_path):
+    """A filter on the vectors made Spark run the encoder a second time for every text."""
+    log = str(tmp_path / "encoded")
+
+    def load():
+        def encode(texts):
+            with open(log, "a") as out:
+                out.write("x" * len(texts))
+            return [None if t == "none" else np.zeros(0, np.float32) if t == "empty" else np.array([float(t), 1.0], np.float32) for t in texts]
+
+        return encode
+
+    rows = [(0, "none", "a"), (1, "empty", "a"), (2, "3", "a"), (3, "5", "b"), (4, "7", "a")]
+    items = V.embed_text(spark.createDataFrame(rows, "item_id long, text string, part string"), "text", load=load)
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vec array<float>")
+    found = search.knn_exact(queries, items, 2, lane="part").collect()
+    assert sorted((r["part"], r["item_id"], r["score"]) for r in found) == [("a", 2, 3.0), ("a", 4, 7.0), ("b", 3, 5.0)]
+    with open(log) as f:
+        assert len(f.read()) == len(rows)
