@@ -124,6 +124,24 @@ def test_angle_join(spark, table, block_rows, n_pivots):
         assert len(got) == len(set(got)) and sure <= set(got) and all(scores[p] >= low - 2e-6 for p in got)
 
 
+def test_angle_join_stores_each_vector_once(spark):
+    """Before, each vector was repeated for every ball it looks into: about half of all balls, whose number grows with the table."""
+    x = np.random.default_rng(4).standard_normal((3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    items = frame(spark, x)
+    rows = balls._with_length(items)
+    pivots = balls.pivots_of(rows)
+    members = balls._members(rows, pivots)
+    size, reach = balls._shape(members, len(pivots), 0.3)
+    groups = balls._packed(members, pivots, size, reach, 512).collect()
+    assert sum(len(r["ids"]) for r in groups) == 3000 and max(len(r["ids"]) for r in groups) < 700
+    # what moves: two groups a meeting, and not one vector for each ball
+    n = len(groups)
+    assert len(groups) <= 6 and sum(len(r["to"]) for r in groups) <= n * (n + 1) // 2
+    visits = balls.share_scored(items, 0.3) * 3000 * len(pivots) / 2
+    assert sum(len(r["ids"]) * len(r["to"]) for r in groups) < visits / 4
+
+
 def test_angle_join_leaves_out_far_balls(spark):
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((30, DIM))
