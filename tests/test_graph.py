@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,3 +188,22 @@ def test_one_search_for_graph_and_seeds(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(search, "_scored", lambda *a, **b: scans.append(1) or scored(*a, **b))
     assert QUERIES[name](spark, str(tmp_path)).count() > 0
     assert len(scans) == 1
+
+
+def test_chunk_scores_sum_what_can_reach_the_floor(spark, monkeypatch):
+    """Before, every chunk of every entity with any relevance was summed. Same hits, repeated rows, NULL keys and queries without a floor included."""
+    rng = np.random.default_rng(5)
+    mentions = [(f"c{c}", f"e{e}") for c in range(300) for e in rng.choice(40, 4, replace=False)] + [("c1", "e1"), ("c1", "e1"), (None, "e2")]
+    relevance = [(q, f"e{e}", 1.0 if e < 3 else round(float(rng.random()) ** 3 / 2, 3)) for q in (1, 2, None) for e in range(40)] + [(3, "e7", 0.25)]
+    m = spark.createDataFrame(mentions, "chunk_id string, entity string")
+    r = spark.createDataFrame(relevance, "query_id long, entity string, r double")
+    summed = []
+    whole = graph._summed
+    monkeypatch.setattr(graph, "_summed", lambda met: summed.append(met.select("query_id", "chunk_id").distinct()) or whole(met))
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "item_id", "score", "rank").collect()), key=str)
+    want = [x for x in rows(graph.chunk_scores(r, m, None)) if x[3] <= 5]
+    every = summed[-1].where("query_id = 1").count()
+    assert rows(graph.chunk_scores(r, m, 5)) == want and len(want) == 20
+    assert summed[-1].where("query_id = 1").count() < 0.6 * every
+    few = r.where("query_id = 3").withColumn("entity", F.lit("e1")).limit(1).unionByName(spark.createDataFrame([(3, "nowhere", 1.0)], r.schema))
+    assert rows(graph.chunk_scores(few, m, 500)) == rows(graph.chunk_scores(few, m, None))
