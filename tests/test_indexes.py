@@ -111,6 +111,43 @@ def test_multiprobe_recall_holds_with_more_rows(spark):
     assert len(found) == 500 and np.mean([(q, i) in got for q, row in zip(asked.tolist(), want.tolist()) for i in row]) >= 0.9
 
 
+@pytest.fixture(scope="module")
+def stored_vectors(spark, tmp_path_factory):
+    """A folder with a table of 130 vectors that no id divisible by 20 tells from the rest."""
+    x = np.random.default_rng(3).standard_normal((130, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    folder = str(tmp_path_factory.mktemp("vectors"))
+    spark.createDataFrame([(7 * i + 3, i % 10, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    return folder, x
+
+
+@pytest.mark.parametrize("name", ["knn_ivf", "knn_lsh"])
+def test_every_row_asks(spark, stored_vectors, name):
+    """Before, only rows with ids divisible by 20 were queries."""
+    from passagemill.catalog import QUERIES
+
+    folder, x = stored_vectors
+    got = QUERIES[name](spark, folder).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in got) == [(7 * i + 3, n) for i in range(130) for n in range(1, 6)]
+    scores = x.astype(float) @ x.T.astype(float)
+    np.fill_diagonal(scores, -9)
+    want = {(7 * i + 3, 7 * int(j) + 3) for i, row in enumerate(scores) for j in np.argsort(-row)[:5]}
+    assert len(want & {(r["query_id"], r["item_id"]) for r in got}) >= 0.9 * len(want)
+
+
+def test_multiprobe_matches_its_sql(spark, stored_vectors):
+    """Before, the query had no SQL."""
+    import duckdb
+
+    from passagemill.catalog import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{stored_vectors[0]}/embeddings.parquet/*.parquet'")
+    want = con.sql(ORACLES["knn_lsh"])
+    assert want.columns == ["query_id", "item_id", "score", "rank"]
+    assert hits(QUERIES["knn_lsh"](spark, stored_vectors[0])) == sorted((q, n, i, s) for q, i, s, n in want.fetchall())
+
+
 @pytest.mark.parametrize("block_rows, n_pivots", [(8192, None), (37, 9), (50, 1)])
 def test_angle_join(spark, table, block_rows, n_pivots):
     x = table[0][:700].astype(float)
