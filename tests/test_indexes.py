@@ -251,6 +251,25 @@ def test_answers_of_long_conversations(spark, tmp_path):
 # ---- late interaction -----------------------------------------------------------------------
 
 
+def test_late_interaction_moves_large_blocks(spark, monkeypatch):
+    """Before, every 64 runs were a block, so that each vector was moved once for every 64 items."""
+    x = np.random.default_rng(6).standard_normal((900, DIM)).astype(np.float32)
+    rows = [(i // 3, i % 3, v.tolist()) for i, v in enumerate(x)]
+    many = spark.createDataFrame(rows, "item_id long, pos long, vec array<float>").repartition(3)
+    asked = many.withColumnRenamed("item_id", "query_id")
+    best = (x.astype(float) @ x.T.astype(float)).reshape(900, 300, 3).max(axis=2).reshape(300, 3, 300).sum(axis=1)
+    want = sorted((q, n + 1, int(i), round(float(best[q, i]), 6)) for q in range(300) for n, i in enumerate(np.lexsort((np.arange(300), -np.round(best[q], 6)))[:4]))
+    got = hits(multivec.maxsim(asked, many, 4))
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], atol=2e-6)
+    assert multivec.shape_of(900, 900, 8) == (1, 1) and multivec.shape_of(600_000, 600_000, 12) == (19, 10)
+    monkeypatch.setattr(multivec, "BLOCK_VECTORS", (128, 256))
+    monkeypatch.setattr(multivec, "TILE_VECTORS", (16, 30))
+    assert hits(multivec.maxsim(asked, many, 4)) == got
+    hot = many.withColumn("pos", F.col("pos") + 3 * F.col("item_id")).withColumn("item_id", F.when(F.col("item_id") < 100, 0).otherwise(F.col("item_id")))
+    found = multivec.maxsim(asked.where("query_id > 290"), hot, 1).collect()
+    assert len(found) == 9
+
+
 def test_late_interaction_over_centroids(spark, table, index):
     """Items of ten vectors each; a hot group makes 40 items equal."""
     tree = index[0]
