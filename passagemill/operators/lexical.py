@@ -5,7 +5,7 @@ A document is one row, so its words are counted where it is, a batch of rows at
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,50 @@ def words_of(docs: DataFrame, keep: list, words: Column) -> DataFrame:
 
 def term_frequencies(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, doc_len, term, tf), counted where the rows are, an Arrow batch at a time; ``key`` names a row."""
+    def counted(keys: pa.Array, lists: pa.Array, size: np.ndarray) -> pa.RecordBatch:
+        at, term, terms, tf = _counts(lists, size)
+        columns = [keys.take(pa.array(at)), pa.array(size[at].astype(np.int32)), terms.take(pa.array(term)), pa.array(tf)]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "doc_len", "term", "tf"])
+
+    return _in_pieces(docs, key, text, counted, "key {}, doc_len int, term string, tf long").withColumnRenamed("key", key)
+
+
+def term_lists(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, terms, tfs): a row for each row of ``docs``, with its words and how often they occur, also where it has none."""
+
+    def counted(keys: pa.Array, lists: pa.Array, size: np.ndarray) -> pa.RecordBatch:
+        at, term, terms, tf = _counts(lists, size)
+        ends = pa.array(np.searchsorted(at, np.arange(len(size) + 1)).astype(np.int32))
+        columns = [keys, pa.ListArray.from_arrays(ends, terms.take(pa.array(term))), pa.ListArray.from_arrays(ends, pa.array(tf))]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "terms", "tfs"])
+
+    return _in_pieces(docs, key, text, counted, "key {}, terms array<string>, tfs array<long>").withColumnRenamed("key", key)
+
+
+def term_postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(term, key, tf, doc_len): ``term_frequencies`` with the rows of a term in arrays, a row for each term of so many words."""
+
+    def counted(keys: pa.Array, lists: pa.Array, size: np.ndarray) -> pa.RecordBatch:
+        at, term, terms, tf = _counts(lists, size)
+        order = np.argsort(term, kind="stable")
+        at, ends = at[order], pa.array(np.searchsorted(term[order], np.arange(len(terms) + 1)).astype(np.int32))
+        values = keys.take(pa.array(at)), pa.array(tf[order]), pa.array(size[at].astype(np.int32))
+        return pa.RecordBatch.from_arrays([terms, *(pa.ListArray.from_arrays(ends, x) for x in values)], names=["term", "key", "tf", "doc_len"])
+
+    return _in_pieces(docs, key, text, counted, "term string, key array<{}>, tf array<long>, doc_len array<int>").withColumnRenamed("key", key)
+
+
+def _counts(lists: pa.Array, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Row, number of the term and count of each of a row's terms, by row; and the terms."""
+    coded = pc.dictionary_encode(lists.flatten())
+    bits = len(coded.dictionary).bit_length()
+    row = np.repeat(np.arange(len(size)), size)
+    found, tf = np.unique(row << bits | coded.indices.to_numpy(), return_counts=True)
+    return found >> bits, found & ((1 << bits) - 1), coded.dictionary, tf.astype(np.int64)
+
+
+def _in_pieces(docs: DataFrame, key: str, text: str, counted: Callable, schema: str) -> DataFrame:
+    """What ``counted`` makes of the keys, word lists and numbers of words of so many rows; ``{}`` in ``schema`` is the key's type."""
     words = docs.select(F.col(key).alias("key"), X.tokens(F.col(text)).alias("words"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,17 +87,7 @@ def term_frequencies(docs: DataFrame, key: str, text: str = "text") -> DataFrame
                 yield counted(batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), size[at:to])
                 at = to
 
-    def counted(keys: pa.Array, lists: pa.Array, size: np.ndarray) -> pa.RecordBatch:
-        coded = pc.dictionary_encode(lists.flatten())
-        bits = len(coded.dictionary).bit_length()
-        row = np.repeat(np.arange(len(size)), size)
-        found, tf = np.unique(row << bits | coded.indices.to_numpy(), return_counts=True)
-        at, term = found >> bits, found & ((1 << bits) - 1)
-        columns = [keys.take(pa.array(at)), pa.array(size[at].astype(np.int32)), coded.dictionary.take(pa.array(term)), pa.array(tf.astype(np.int64))]
-        return pa.RecordBatch.from_arrays(columns, names=["key", "doc_len", "term", "tf"])
-
-    kind = words.schema["key"].dataType.simpleString()
-    return words.mapInArrow(count, f"key {kind}, doc_len int, term string, tf long").withColumnRenamed("key", key)
+    return words.mapInArrow(count, schema.format(words.schema["key"].dataType.simpleString()))
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:

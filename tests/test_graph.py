@@ -1,11 +1,13 @@
+import math
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from passagemill.operators import chunk, graph
+from passagemill.operators import chunk, graph, lexical
 from passagemill.plans import session
 from passagemill.plans.session import fresh_path
 from passagemill.plans.skew import salted_join
@@ -207,3 +209,40 @@ def test_chunk_scores_sum_what_can_reach_the_floor(spark, monkeypatch):
     assert summed[-1].where("query_id = 1").count() < 0.6 * every
     few = r.where("query_id = 3").withColumn("entity", F.lit("e1")).limit(1).unionByName(spark.createDataFrame([(3, "nowhere", 1.0)], r.schema))
     assert rows(graph.chunk_scores(few, m, 500)) == rows(graph.chunk_scores(few, m, None))
+
+
+def test_entities_leave_their_chunk_only_where_they_can_be_among_the_best(spark, monkeypatch):
+    """Before, every word of every chunk was moved to its frequency and back. Here few words are known to all tasks; ids repeat and are null."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(60)], k=rng.randrange(0, 30))) for _ in range(200)] + ["", None, "rare words here", "w1 w1 w1 ab"]
+    chunks = spark.createDataFrame([(f"c{i % 190}" if i != 7 else None, t) for i, t in enumerate(texts)], "chunk_id string, sentence_chunk string").repartition(3)
+    rows = [(c, t) for c, t in chunks.collect()]
+    tf = [(c, w, t.split().count(w)) for c, t in rows if t for w in set(t.split())]
+    df = Counter(w for _, w, _ in tf)
+    for least in (1, 3):
+        by = {}
+        for c, w, n in tf:
+            if len(w) >= least:
+                by.setdefault(c, []).append((-round(n * math.log(len(rows) / df[w]), 6), w))
+        want = sorted((str(c), w, -s) for c, mine in by.items() for s, w in sorted(mine)[:5])
+        for common in (1 << 17, 10):
+            monkeypatch.setattr(graph, "COMMON", common)
+            got = sorted((str(r["chunk_id"]), r["entity"], r["score"]) for r in graph.extract_entities(chunks, min_length=least).collect())
+            assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(g[2] - w[2]) < 2e-6 for g, w in zip(got, want))
+    lists = lexical.term_lists(chunks, "chunk_id", "sentence_chunk")
+    assert lists.count() == len(rows)
+
+
+def test_expansion_keeps_the_best_chunks(spark):
+    """Before, every chunk with a linked entity was counted for the ten that stay."""
+    rng = random.Random(5)
+    rows = [(f"c{i}", f"e{j}") for i in range(150) for j in set(rng.choices(range(40), k=5))] + [(None, "e1"), (None, "e2")]
+    mentions = spark.createDataFrame(rows, "chunk_id string, entity string")
+    seeds = spark.createDataFrame([(q, f"c{3 * q + j}") for q in range(6) for j in range(2)] + [(None, "c4")], "query_id long, chunk_id string")
+    edges = graph.build_edges(mentions)
+    score = F.col("shared") + F.col("linked") / 2
+    every = graph.expand_by_entities(seeds, mentions, edges).select("query_id", "chunk_id", "shared", "linked", score.alias("score"))
+    want = sorted(map(str, graph.best_chunks(every, 4).drop("rank").collect()))
+    some = graph.expand_by_entities(seeds, mentions, edges, keep=4).select("query_id", "chunk_id", "shared", "linked", score.alias("score"))
+    assert sorted(map(str, some.collect())) == want and len(want) == 28
