@@ -217,6 +217,22 @@ def test_stored_postings_give_the_hits_of_a_full_scan(spark, monkeypatch):
     assert postings.search_postings(queries, empty).count() == 0
 
 
+def test_postings_move_in_arrays(spark):
+    """Before, a posting was a row with its term when it was stored, and moved once for each query when it was found."""
+    docs = spark.createDataFrame([(i, "a b " + "c " * (i % 3)) for i in range(6000)] + [(6000, "z0")], "doc_id long, text string").coalesce(1)
+    rows = lexical.term_postings(docs, "doc_id").collect()
+    assert [r["term"] for r in rows] == ["a", "b", "c", "z0"] and [len(r["doc_id"]) for r in rows] == [6000, 6000, 4000, 1]
+    got = sorted((d, n, r["term"], f) for r in rows for d, f, n in zip(r["doc_id"], r["tf"], r["doc_len"]))
+    assert got == sorted(map(tuple, lexical.term_frequencies(docs, "doc_id").collect()))
+    path = fresh_path(spark, "postings")
+    postings.store_postings(docs, "doc_id", path, block_rows=64)
+    # with few documents a share, some queries find nothing in one
+    queries = spark.createDataFrame([(q, "a b c") for q in range(30)] + [(30, "z0")], "query_id long, text string")
+    plan = postings.Search(queries, path, 2).candidates()._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "keys=[query_id" not in plan.split("Physical Plan")[1].split("FlatMapCoGroupsInArrow")[0]
+    assert hits(postings.search_postings(queries, path, 2)) == hits(lexical.bm25_search(queries, docs, "doc_id", 2))
+
+
 def test_answers_of_long_conversations(spark, tmp_path):
     """1,500 turns a conversation: no key is another conversation's; true letters are compared."""
     from passagemill.catalog import QUERIES
